@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from textloom.llm.decontamination import OP4_SQL, op4_decontamination
 from textloom.llm.media import op7_media_sniffing
 from textloom.llm.near_duplicates import op5_near_duplicates
 from textloom.llm.piece_encoding import op10_piece_encoding
 from textloom.llm.suffix_repeats import op9_suffix_repeats
 from textloom.llm.token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op5_near_duplicates, op6_token_counts, op7_media_sniffing, op9_suffix_repeats, op10_piece_encoding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_decontamination, op5_near_duplicates, op6_token_counts, op7_media_sniffing, op9_suffix_repeats, op10_piece_encoding)}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
