@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
-ZERO = F.lit(0.0)
-
-
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
@@ -30,7 +27,7 @@ def norm(xs: Column, p: int = 2) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector is all zeros."""
     sizes = norm(a) * norm(b)
-    return F.when(sizes > 0, dot(a, b) / sizes).otherwise(ZERO)
+    return F.when(sizes > 0, dot(a, b) / sizes).otherwise(F.lit(0.0))
 
 
 def scaled(xs: Column, by: Column) -> Column:
@@ -60,12 +57,12 @@ def softmax(xs: Column) -> Column:
 def entropy(ps: Column) -> Column:
     """In bits; the weights need not sum to one."""
     whole = total(ps)
-    return -total(F.transform(ps, lambda p: F.when(p > 0, p / whole * F.log2(p / whole)).otherwise(ZERO)))
+    return -total(F.transform(ps, lambda p: F.when(p > 0, p / whole * F.log2(p / whole)).otherwise(F.lit(0.0))))
 
 
 def kl_divergence(p: Column, q: Column) -> Column:
     """In bits; null where q lacks what p has."""
-    return total(F.zip_with(p, q, lambda x, y: F.when(x > 0, x * F.log2(x / y)).otherwise(ZERO)))
+    return total(F.zip_with(p, q, lambda x, y: F.when(x > 0, x * F.log2(x / y)).otherwise(F.lit(0.0))))
 
 
 def js_divergence(p: Column, q: Column) -> Column:
@@ -133,12 +130,12 @@ def permutations(n: Column, k: Column) -> Column:
 
 def bag_sum(a: Column, b: Column, sign: int = 1) -> Column:
     """Keys of both; differences that come to nothing go."""
-    both = F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, ZERO) + sign * F.coalesce(y, ZERO))
+    both = F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0.0)) + sign * F.coalesce(y, F.lit(0.0)))
     return F.map_filter(both, lambda k, v: F.abs(v) > 1e-6) if sign < 0 else both
 
 
 def bag_dot(a: Column, b: Column) -> Column:
-    return total(F.map_values(F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, ZERO) * F.coalesce(y, ZERO))))
+    return total(F.map_values(F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0)))))
 
 
 def bag_norm(a: Column, p: int = 2) -> Column:
@@ -147,7 +144,7 @@ def bag_norm(a: Column, p: int = 2) -> Column:
 
 def bag_cosine(a: Column, b: Column) -> Column:
     sizes = bag_norm(a) * bag_norm(b)
-    return F.when(sizes > 0, bag_dot(a, b) / sizes).otherwise(ZERO)
+    return F.when(sizes > 0, bag_dot(a, b) / sizes).otherwise(F.lit(0.0))
 
 
 def deducted_cosine(child: Column, parent: Column) -> Column:

@@ -297,7 +297,7 @@ def loss_and_gradient(rows: DataFrame, w: np.ndarray, objective: str) -> tuple[f
             n += len(y)
         g[-1] = total
         for k in range(0, len(g), width):
-            yield pa.RecordBatch.from_pydict({"block": [k], "n": [n], "g": [g[k : k + width].tolist()]})
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([g[k : k + width]], pa.list_(pa.float64()))], names=["block", "n", "g"])
 
     parts = rows.select("y", "index", "value").mapInArrow(run, "block int, n long, g array<double>")
     flat = parts.select("block", "n", F.posexplode("g").alias("k", "x")).groupBy((F.col("block") + F.col("k")).alias("i")).agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
