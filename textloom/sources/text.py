@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 def read_documents(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """(name, text): one document per file, or one per match of `separator`, whose first group is its name. Text before the first
     separator is a document without a name; nothing is dropped."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.input_file_name().alias("name"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("text"))
     if separator is None:
         return files
     parts = F.split("text", separator, -1)
@@ -38,7 +38,7 @@ def _groups(pattern: str) -> int:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, n, line): lines in their order in each file."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
     return whole.select("file", F.posexplode("lines").alias("n", "line"))
 
 
@@ -102,14 +102,14 @@ def write_dependencies(rows: DataFrame, path: str) -> None:
 
 def read_xml_articles(spark: SparkSession, path: str, title: str = "//title/text()", body: str = "//body//p/text()", date: str = "//pubdata/@date.publication") -> DataFrame:
     """(file, title, body, date) of one XML article per file."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     x = lambda q: F.array_join(F.xpath("value", F.lit(q)), "\n")
     return files.select(F.input_file_name().alias("file"), x(title).alias("title"), x(body).alias("body"), x(date).alias("date"))
 
 
 def read_relations_xml(spark: SparkSession, path: str) -> DataFrame:
     """(file, relation, type, subtype, first, second) of relation mentions in annotation files: ids of both arguments."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     n = F.size(F.xpath("value", F.lit("//relation_mention/@ID")))
     cols = {"relation": "//relation_mention/@ID", "first": "//relation_mention/relation_mention_argument[@ROLE='Arg-1']/@REFID", "second": "//relation_mention/relation_mention_argument[@ROLE='Arg-2']/@REFID"}
     arrays = [F.xpath("value", F.lit(q)).alias(c) for c, q in cols.items()]
