@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +58,23 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def slices(batches, column: str = "text", most: int = 2 << 20):
-    """Cuts Arrow batches by rows so that a slice holds at most about `most` bytes of the column (one row at least)."""
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on and serves other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def slices(batches, column: str = "text", most: int = 1 << 20):
+    """Cuts Arrow batches by rows so that a slice holds at most `most` bytes of the column, or one row."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -70,6 +87,7 @@ def slices(batches, column: str = "text", most: int = 2 << 20):
             stop = min(n, max(start + 1, stop))
             yield batch.slice(start, stop - start)
             start = stop
+        release()
 
 
 def offsets(col: pa.Array) -> np.ndarray:

@@ -121,13 +121,13 @@ def fit(labelled: DataFrame, fit_texts: int = FIT_TEXTS) -> Model:
                 grams, times = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "gram", "n"])
 
-        for b in slices(batches):
+        for b in slices(batches, "text", 512 << 10):
             texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
             grams, at = gram_hashes(texts)
             for i, lang in enumerate(langs):
                 held.setdefault(lang, []).append(grams[at[i] : at[i + 1]])
             n += len(grams)
-            if n > 8_000_000:
+            if n > 2_000_000:
                 yield from out()
                 held, n = {}, 0
         yield from out()
@@ -166,7 +166,7 @@ def identify(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
 
     def run(batches):
         known = shared.value
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 512 << 10):
             langs, scores = known.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 

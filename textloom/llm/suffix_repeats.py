@@ -28,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm.common import Rolling, broadcast_if_small, joined, materialise, mix, slices, table
+from textloom.llm.common import Rolling, broadcast_if_small, joined, materialise, mix, release, slices, table
 
 LENGTH, GRAM = 100, 32
 HOT = 64
 TASK_CONTEXTS = 200_000
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
-FLUSH = 1_500_000  # anchors that a worker packs at once
+FLUSH = 400_000  # anchors that a worker packs at once
+PIECE = 512 << 10  # bytes of text that are hashed at once
 
 ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("wins", "u1"), ("left", "u1"), ("hot", "u1")])
 RANGE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -53,8 +54,8 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(col: pa.Array, docs: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """The anchors of all windows of the texts; wins consecutive windows from start on have the anchor, the first at offset left."""
+def anchors(col: pa.Array, docs: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The anchors of all windows of the texts, which begin at `at` in their documents; wins consecutive windows from start on have the anchor, the first at offset left."""
     data, ends = joined(col)
     width = length - gram + 1
     if len(data) < length:
@@ -82,11 +83,24 @@ def anchors(col: pa.Array, docs: np.ndarray, length: int, gram: int) -> np.ndarr
     out["wins"] = count
     out["c"] = mix(roll.of(start, start + count - 1 + length) ^ (out["left"].astype(np.uint64) << np.uint64(8) | count.astype(np.uint64)))
     out["doc"] = docs[doc[first]]
-    out["start"] = start - ends[doc[first]]
+    out["start"] = start - ends[doc[first]] + at[doc[first]]
     out["hot"] = 0
     return out
 
 
+def pieces(batches, length: int):
+    """(texts, doc_ids, where in its document each text begins): longer documents are cut into pieces that share length - 1 bytes,
+    so that each window is in one of them."""
+    for b in slices(batches, "text", PIECE):
+        col, docs = b.column("text"), b.column("doc_id").to_numpy(zero_copy_only=False)
+        data, ends = joined(col)
+        if len(data) <= PIECE:
+            yield col, docs, np.zeros(len(docs), np.int64)
+        else:  # one row
+            for at in range(0, len(data) - length + 1, PIECE):
+                yield pa.array([data[at : at + PIECE + length - 1].tobytes()], pa.binary()), docs, np.array([at])
+
+
 def repeats(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted anchors: the first of each (h, c), and the rest as indexes; equal (doc, start) is the same occurrence."""
     order = np.lexsort((found["start"], found["doc"], found["c"], found["h"]))
@@ -138,8 +152,8 @@ def _scatter(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFram
             rows += _blobs(RANGES, (mix(gone["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), gone)
             return _batch(rows)
 
-        for b in slices(batches):
-            got = anchors(b.column("text"), b.column("doc_id").to_numpy(zero_copy_only=False), length, gram)
+        for col, docs, at in pieces(batches, length):
+            got = anchors(col, docs, at, length, gram)
             if len(got):
                 held.append(got)
                 n += len(got)
@@ -187,8 +201,10 @@ def _match(packed: DataFrame, buckets: int, length: int) -> DataFrame:
         gone = removed(rest, length)
         rows = _blobs(RANGES, (mix(gone["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), gone)
         rows += _blobs(CONTEXTS, (mix(on["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), on)
+        del found, first, rest, on, gone
         for k in range(0, len(rows), 1000):
             yield _batch(rows[k : k + 1000])
+        release()
 
     return packed.repartition("bucket").mapInArrow(run, PACKED)
 
@@ -233,16 +249,16 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> Da
     reach = width - 1 + length
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, "text", PIECE):
             data, ends = joined(b.column("text"))
             data = np.concatenate([np.zeros(width, np.uint8), data, np.zeros(length, np.uint8)])
             blobs = [np.frombuffer(x, ANCHOR) for x in b.column("blob").to_pylist()]
             rows = np.concatenate(blobs)
             owner = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
             at = ends[owner] + rows["start"] + rows["left"]  # the anchor's place in the bytes
-            for k in range(0, len(rows), 50_000):
-                part = rows[k : k + 50_000]
-                grid = data[(at[k : k + 50_000] + 1)[:, None] + np.arange(reach)[None, :]]
+            for k in range(0, len(rows), 20_000):
+                part = rows[k : k + 20_000]
+                grid = data[(at[k : k + 20_000] + 1)[:, None] + np.arange(reach)[None, :]]
                 col = np.arange(reach)[None, :]
                 low = width - 1 - part["left"].astype(np.int64)[:, None]
                 grid[(col < low) | (col >= low + part["wins"].astype(np.int64)[:, None] - 1 + length)] = 0
@@ -339,6 +355,7 @@ def _shared(contexts: DataFrame, buckets: int, length: int, gram: int) -> DataFr
         rows = _blobs(RANGES, (mix(gone["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), gone)
         for k in range(0, len(rows), 1000):
             yield _batch(rows[k : k + 1000])
+        release()
 
     return contexts.repartition("h").mapInArrow(run, PACKED)
 
