@@ -15,7 +15,7 @@ def connection(sf: str = SF):
 
 
 def shown(v) -> str:
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return "null"
     if isinstance(v, float):
         return f"{v:.6f}"
