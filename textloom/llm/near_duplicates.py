@@ -11,7 +11,7 @@ then resolved in one task from whole shingle sets, with a union-find that skips
 differ in over 20 symbols are passed over (at similarity 0.85 that happens once in ten million). A group too large for one task is
 cut into blocks; every pair of blocks is resolved in a task of its own, and the links found are joined by connected components.
 
-Documents without words or with null text link with nothing. Exact copies of a shingle set are one class from the start.
+Documents without words, text or doc_id link with nothing. Exact copies of a shingle set are one class from the start.
 """
 
 from __future__ import annotations
@@ -229,7 +229,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     df = df.select("doc_id", "text")
     profile = materialise(profiles(df), "profiles")
     classes = profile.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = materialise(classes, "classes")
+    classes = materialise(classes.where("rep is not null"), "classes")
 
     keys = materialise(bucket_keys(classes), "keys")
     buckets = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").select("key", "head")
