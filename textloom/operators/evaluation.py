@@ -141,3 +141,37 @@ def attachment(rows: DataFrame) -> DataFrame:
     """UAS and LAS of rows (gold_head, gold_label, head, label)."""
     right = F.col("gold_head") == F.col("head")
     return rows.agg(F.round(F.avg(right.cast("double")), 6).alias("uas"), F.round(F.avg((right & (F.col("gold_label") == F.col("label"))).cast("double")), 6).alias("las"))
+
+
+def without_singletons(rows: DataFrame, side: str = "gold") -> DataFrame:
+    """Leaves out points that are alone in their cluster of one side."""
+    w = Window.partitionBy(side)
+    return rows.withColumn("_n", F.count("*").over(w)).where("_n > 1").drop("_n")
+
+
+def blanc(rows: DataFrame) -> DataFrame:
+    """The mean of the F1 of coreferent and of other pairs, from sizes of meets."""
+    cells = overlaps(rows)
+    s = cells.agg(F.sum(F.expr("n * (n - 1)")).alias("rc"), F.sum(F.expr("n * (np - 1)")).alias("pc"), F.sum(F.expr("n * (ng - 1)")).alias("gc"), F.sum("n").alias("n"))
+    rc, pc, gc, every = F.col("rc"), F.col("pc"), F.col("gc"), F.expr("n * (n - 1)")
+    rn = every - pc - gc + rc
+    pn, gn = every - pc, every - gc
+    p, r = (ratio(rc, pc) + ratio(rn, pn)) / 2, (ratio(rc, gc) + ratio(rn, gn)) / 2
+    f = (f1(ratio(rc, pc), ratio(rc, gc)) + f1(ratio(rn, pn), ratio(rn, gn))) / 2
+    return s.select(F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
+
+
+def linking_accuracy(rows: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(micro, macro): the share of right links over all rows, and the mean of the shares by document."""
+    right = (F.col("gold") == F.col("predicted")).cast("double")
+    per = rows.groupBy(by).agg(F.sum(right).alias("s"), F.count("*").alias("n"))
+    return per.agg(F.round(F.sum("s") / F.sum("n"), 6).alias("micro"), F.round(F.avg(F.col("s") / F.col("n")), 6).alias("macro"))
+
+
+def mean_average_precision(per: DataFrame) -> DataFrame:
+    return per.agg(F.round(F.avg("ap"), 6).alias("map"))
+
+
+def same_partition(rows: DataFrame) -> bool:
+    """Whether both clusterings part the points alike: every meet is a whole cluster of both."""
+    return not overlaps(rows).where("n <> ng or n <> np").limit(1).count()
