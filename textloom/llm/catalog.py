@@ -8,6 +8,7 @@ from textloom.llm.decontamination import OP4_SQL, op4_decontamination
 from textloom.llm.language_id import op3_language_id
 from textloom.llm.media import op7_media_sniffing
 from textloom.llm.near_duplicates import op5_near_duplicates
+from textloom.llm.oracles import OP5_SQL, OP9_SQL
 from textloom.llm.piece_encoding import op10_piece_encoding
 from textloom.llm.suffix_repeats import op9_suffix_repeats
 from textloom.llm.token_counts import op6_token_counts
@@ -28,4 +29,4 @@ QUERIES = {
         op10_piece_encoding,
     )
 }
-ORACLES = {"op1_capture_index": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_decontamination": OP4_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op1_capture_index": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_suffix_repeats": OP9_SQL}
