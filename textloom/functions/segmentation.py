@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -14,6 +15,9 @@ _SHORT = "|".join(re.escape(a) for a in sorted(_ABBREVIATIONS, key=len, reverse=
 TOKEN = re.compile(
     "|".join(
         (
+            r"(?P<space>\s+)",
+            r"[^\W\d_]+(?=[\s,;])",  # most words; nothing longer begins so
+            r"[,;](?=\s)",
             r"</?[A-Za-z][^<>]{0,200}>",  # markup
             r"&(?:[A-Za-z]{2,8}|#\d{2,6});",  # entities
             r"(?:https?|ftp)://[^\s<>\"]+[^\s<>\".,;:!?)\]]",
@@ -50,7 +54,8 @@ TOKENS = StructType([StructField("start", IntegerType()), StructField("end", Int
 
 def tokenize(text: str | None, markup: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, string); markup is skipped unless asked for."""
-    return [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text or "") if markup or not (m[0][0] == "<" and len(m[0]) > 1)]
+    found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text or "") if m.lastgroup is None]
+    return found if markup else [t for t in found if t[2][0] != "<" or len(t[2]) == 1]
 
 
 @F.pandas_udf(ArrayType(TOKENS))
@@ -58,9 +63,32 @@ def token_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b, "string": s} for a, b, s in tokenize(t)])
 
 
-def tokens_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, start, end, string): every string is the text between its offsets."""
-    return docs.select("doc_id", F.posexplode(token_spans("text")).alias("pos", "t")).select("doc_id", "pos", "t.start", "t.end", "t.string")
+def tokens_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns of docs, then pos, start, end, string, a row per token: every string is the text between its offsets.
+
+    Tokens go to Spark as flat Arrow columns; the other columns are repeated by index."""
+    keep = [c for c in docs.columns if c != text]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                row, pos, start, end, string = [], [], [], [], []
+                for r, t in enumerate(part.column(text).to_pylist()):
+                    found = tokenize(t)
+                    row += [r] * len(found)
+                    pos += range(len(found))
+                    if found:
+                        a, z, w = zip(*found, strict=True)
+                        start += a
+                        end += z
+                        string += w
+                index = pa.array(row, pa.int32())
+                cols = [part.column(c).take(index) for c in keep]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(pos, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(string, pa.string())], names=[*keep, "pos", "start", "end", "string"])
+
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("pos", IntegerType()), *TOKENS.fields])
+    return docs.select(*keep, text).mapInArrow(run, schema)
 
 
 _PLAIN = (
@@ -84,7 +112,7 @@ def normal_form(token: Column) -> Column:
     out = token
     for pattern, plain in _PLAIN:
         out = F.regexp_replace(out, pattern, plain.replace("$", "\\$"))
-    return out
+    return F.when(token.rlike(r"^[\p{L}0-9]+$"), token).otherwise(out)  # plain words stay as they are
 
 
 def sentences_of(toks: DataFrame) -> DataFrame:
@@ -92,15 +120,15 @@ def sentences_of(toks: DataFrame) -> DataFrame:
 
     toks has (doc_id, pos, start, end, string) and gap, the text's line ends before the token, if known."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    closes = F.col("string").rlike(r"^(?:[.!?]+|…)$")
-    after = F.col("string").rlike(r"^[\"”’')\]]+$")
-    done = closes | (after & F.coalesce(F.lag(closes).over(w), F.lit(False)))
-    toks = toks.withColumn("_done", done)
-    lower = F.col("string").rlike(r"^\p{Ll}")
+    t = F.col("string")
+    # one small number per token, so that each pattern is tried once
+    kind = F.when(t.rlike(r"^\p{Ll}"), 0).when(t.rlike(r"^[\p{L}\p{N}]"), 1).when(t.rlike(r"^(?:[.!?]+|…)$"), 2).when(t.rlike(r"^[\"”’')\]]+$"), 3).otherwise(4)
+    toks = toks.withColumn("_k", kind).withColumn("_b", F.lag("_k").over(w)).withColumn("_b2", F.lag("_k", 2).over(w))
     far = F.coalesce(F.col("start") - F.lag("end").over(w) > 10, F.lit(False))
-    starts = (F.coalesce(F.lag("_done").over(w), F.lit(False)) & ~F.col("_done") & ~lower & ~after) | far
-    toks = toks.withColumn("_new", starts.cast("int"))
-    return toks.withColumn("sent", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_done")
+    closed = (F.col("_b") == 2) | ((F.col("_b") == 3) & (F.coalesce("_b2", F.lit(4)) == 2))
+    goes_on = F.col("_k").isin(0, 2, 3)
+    toks = toks.withColumn("_new", ((F.coalesce(closed, F.lit(False)) & ~goes_on) | far).cast("int"))
+    return toks.withColumn("sent", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_k", "_b", "_b2")
 
 
 def dehyphenate(toks: DataFrame, dictionary: DataFrame) -> DataFrame:

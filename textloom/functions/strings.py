@@ -55,7 +55,9 @@ def shape(word: Column, longest: int = 2) -> Column:
     for mark, shown in (("\x01", "A"), ("\x02", "a"), ("\x03", "1"), ("\x04", " ")):
         out = F.regexp_replace(out, mark + "{%d,}" % (longest + 1), mark * longest)
         out = F.regexp_replace(out, mark, shown)
-    return out
+    # most words are of two simple kinds, told by one pattern each
+    run = F.lit("a" * longest)
+    return F.when(word.rlike("^[a-z]+$"), F.left(run, F.length(word))).when(word.rlike("^[A-Z][a-z]+$"), F.concat(F.lit("A"), F.left(run, F.length(word) - 1))).otherwise(out)
 
 
 def affix_ngrams(word: Column, least: int, most: int) -> Column:

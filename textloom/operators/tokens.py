@@ -9,14 +9,21 @@ from textloom.functions.strings import segment
 
 def tokens(docs: DataFrame, kind: str = "ascii_alpha", lower: bool = True, key: str = "doc_id") -> DataFrame:
     text = F.lower("text") if lower else F.col("text")
-    return docs.select(key, F.posexplode(segment(text, kind)).alias("pos", "term"))
+    # the outer form keeps the optimiser from inferring a filter on the array, which would cut each text twice
+    return docs.select(key, F.posexplode_outer(segment(text, kind)).alias("pos", "term")).where("term is not null")
 
 
 def ngrams(docs: DataFrame, n: int, joint: str = " ") -> DataFrame:
     """(doc_id, gram) rows of sliding windows, from arrays: no shuffle."""
-    words = docs.select("doc_id", segment(F.lower("text")).alias("w")).where(F.size("w") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), joint))
-    return words.select("doc_id", F.explode(grams).alias("gram"))
+    parts = word_windows(docs, n)
+    return parts.select("doc_id", F.concat_ws(joint, *(F.col(f"w{i}") for i in range(n))).alias("gram"))
+
+
+def word_windows(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, w0 .. w(n-1)): the words of each window of n, by shifted arrays side by side."""
+    words = docs.select("doc_id", segment(F.lower("text")).alias("w"))
+    shifted = F.arrays_zip(*(F.slice("w", i + 1, F.greatest(F.size("w") - (n - 1), F.lit(0))).alias(f"w{i}") for i in range(n)))
+    return words.select("doc_id", F.explode_outer(shifted).alias("g")).where("g is not null").select("doc_id", "g.*")
 
 
 def neighbours(toks: DataFrame, offsets: tuple[int, ...], by: str = "doc_id", order: str = "pos", value: str = "term") -> DataFrame:

@@ -76,13 +76,8 @@ def run(df: DataFrame, wanted: list[str], known: list[Annotator] | None = None)
     return df
 
 
-def _tokens(df: DataFrame) -> DataFrame:
-    keep = [c for c in df.columns if c != "text"]
-    return df.select(*keep, F.posexplode(sg.token_spans("text")).alias("pos", "_t")).select(*keep, "pos", "_t.start", "_t.end", "_t.string")
-
-
 DEFAULT = [
-    annotator("tokenizer", "doc_id text", "pos start end string", _tokens),
+    annotator("tokenizer", "doc_id text", "pos start end string", sg.tokens_of),
     annotator("sentences", "doc_id pos start end string", "sent", sg.sentences_of),
     annotator("normaliser", "string", "norm", lambda df: df.withColumn("norm", sg.normal_form(F.col("string")))),
     annotator("lower lemmatiser", "norm", "lemma", lambda df: df.withColumn("lemma", F.lower("norm"))),

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from textloom.plans import model_queries, relation_queries, text_queries  # noqa: F401  they register themselves
+from textloom.plans import model_queries, more_queries, relation_queries, text_queries  # noqa: F401  they register themselves
 from textloom.plans.registry import ORACLES, QUERIES  # noqa: F401

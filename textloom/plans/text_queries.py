@@ -18,7 +18,7 @@ def _tokens(spark, d):
 
 
 def _cased(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("term"))
+    return load(spark, d, "documents").select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("term")).where("term is not null")
 
 
 @query(f"with {TOKENS} select doc_id, pos, term from t")
@@ -145,8 +145,7 @@ _BI = "b as (select a, b, count(*) as n from (select term as a, lead(term) over
 
 
 def _bigrams(spark, d):
-    grams = tk.ngrams(load(spark, d, "documents"), 2).groupBy("gram").agg(F.count("*").alias("n"))
-    return grams.select(F.split("gram", " ")[0].alias("a"), F.split("gram", " ")[1].alias("b"), "n")
+    return tk.word_windows(load(spark, d, "documents"), 2).groupBy(F.col("w0").alias("a"), F.col("w1").alias("b")).agg(F.count("*").alias("n"))
 
 
 @query(f"with {TOKENS}, {_BI}, s as (select count(*) as total from t) select b.a, b.b, b.n, round(total * b.n / (x.n * y.n), 6) as pmi from b join u x on x.term = b.a join u y on y.term = b.b, s where b.n > 5 and x.n > 40 and y.n > 40")
