@@ -25,14 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(edges)
     while before[0]:
+        # what is joined are tables, so that the rows of a node with very many neighbours can be split among tasks
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _least(both).withColumn("m", F.least("m", "a"))
+        least = materialise(_least(both).withColumn("m", F.least("m", "a")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = down.join(_least(down), "a")
+        down = materialise(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "down")
+        lower = materialise(_least(down), "lower")
+        small = down.join(lower, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         old, edges = edges, materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        drop_scratch(edges.sparkSession, old.scratch)
+        for table in (old, least, down, lower):
+            drop_scratch(edges.sparkSession, table.scratch)
         after = _state(edges)
         if after == before:
             break
