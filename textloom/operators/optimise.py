@@ -363,3 +363,136 @@ def search(space: dict, trial, n: int = 10, seed: int = 1) -> tuple[dict, float]
         if got > best[1]:
             best = (s, got)
     return best
+
+
+# further rules
+
+
+@dataclass
+class ConstantLength:
+    """Steps of one length, whatever the gradient's."""
+
+    rate: float = 0.1
+    decay: str = ""
+    t: int = 0
+
+    def step(self, w, g):
+        self.t += 1
+        size = np.linalg.norm(g)
+        return w - self.rate / {"": 1.0, "sqrt": math.sqrt(self.t), "linear": self.t}[self.decay] * g / size if size else w
+
+
+@dataclass
+class RDA:
+    rate: float = 0.1
+    l1: float = 0.0
+    l2: float = 0.0
+    t: int = 0
+    sums: np.ndarray | None = None
+
+    def step(self, w, g):
+        self.t += 1
+        self.sums = g.copy() if self.sums is None else self.sums + g
+        return -np.sign(self.sums) * np.maximum(0, np.abs(self.sums) - self.t * self.l1) / (1 / self.rate + self.t * self.l2)
+
+
+@dataclass
+class GroupLassoRDA:
+    """Whole groups of weights go to zero together; groups maps each weight to its group."""
+
+    groups: np.ndarray
+    rate: float = 0.1
+    l1: float = 0.01
+    t: int = 0
+    sums: np.ndarray | None = None
+
+    def step(self, w, g):
+        self.t += 1
+        self.sums = g.copy() if self.sums is None else self.sums + g
+        size = np.sqrt(np.bincount(self.groups, self.sums**2))
+        keep = np.maximum(0, 1 - self.t * self.l1 / np.maximum(size, 1e-300))
+        return -self.rate * keep[self.groups] * self.sums
+
+
+@dataclass
+class AdaMira:
+    """AdaGrad's direction, and a step no longer than mends the loss."""
+
+    most: float = 1.0
+    delta: float = 0.1
+    seen: np.ndarray | None = None
+
+    def step(self, w, g, value: float = 1.0):
+        self.seen = g * g if self.seen is None else self.seen + g * g
+        d = g / (self.delta + np.sqrt(self.seen))
+        size = float(g @ d)
+        return w - min(self.most, value / size) * d if size > 0 else w
+
+
+@dataclass
+class WeightDecay:
+    rule: object
+    rate: float = 0.01
+
+    def step(self, w, g):
+        return self.rule.step(w * (1 - self.rate), g)
+
+
+@dataclass
+class Multiplex:
+    """Another rule for each block (start, stop) of the weights."""
+
+    rules: list[tuple[int, int, object]]
+
+    def step(self, w, g):
+        w = w.copy()
+        for a, b, rule in self.rules:
+            w[a:b] = rule.step(w[a:b], g[a:b])
+        return w
+
+
+@dataclass
+class Projected:
+    rule: object
+    project: object = project_ball
+
+    def step(self, w, g):
+        return self.project(self.rule.step(w, g))
+
+
+def sdca(x: np.ndarray, y: np.ndarray, l2: float = 0.1, sweeps: int = 50, seed: int = 1) -> np.ndarray:
+    """Stochastic dual coordinate ascent for the smoothed hinge, for data of one task."""
+    rng, n = np.random.default_rng(seed), len(x)
+    a, w = np.zeros(n), np.zeros(x.shape[1])
+    q = (x * x).sum(1) / (l2 * n)
+    for _ in range(sweeps):
+        for i in rng.permutation(n):
+            step = np.clip((1 - y[i] * (w @ x[i]) - a[i]) / (q[i] + 1) + a[i], 0, 1) - a[i]
+            a[i] += step
+            w += step * y[i] * x[i] / (l2 * n)
+    return w
+
+
+def train_online(rows: DataFrame, size: int, objective: str = "log", passes: int = 3, rate: float = 0.1, shards: int = 4) -> LinearModel:
+    """A step per row inside each shard, and the mean of the shards' models after each pass: parameter mixing."""
+    model, loss, width = LinearModel(np.zeros(size)), OBJECTIVES[objective], 4096
+    held = rows.select("y", "index", "value").repartition(shards)
+    for _ in range(passes):
+        shared = rows.sparkSession.sparkContext.broadcast(model.weights)
+
+        def run(batches, shared=shared):
+            w, seen = shared.value.copy(), np.zeros(size)
+            for b in batches:
+                for y, i, v in zip(b.column("y").to_pylist(), b.column("index").to_pylist(), b.column("value").to_pylist(), strict=True):
+                    i, v = np.array(i, int), np.array(v)
+                    g = loss(w[i] @ v, y)[1] * v
+                    seen[i] += g * g
+                    w[i] -= rate / (0.1 + np.sqrt(seen[i])) * g
+            for k in range(0, size, width):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w[k : k + width]], pa.list_(pa.float64()))], names=["block", "w"])
+
+        parts = held.mapInArrow(run, "block int, w array<double>").select("block", F.posexplode("w").alias("k", "x"))
+        got = parts.groupBy((F.col("block") + F.col("k")).alias("i")).agg(F.avg("x").alias("x")).toArrow().to_pandas()
+        model.weights = np.zeros(size)
+        model.weights[got["i"].to_numpy()] = got["x"].to_numpy()
+    return model

@@ -124,3 +124,49 @@ def rank_labels(pairs: list[tuple[int, int]], items: int, labels: int, size: int
                     u[i] += step * du
                     break
     return u, v
+
+
+def composite_likelihood(model: Templates, example, gold, groups: list[tuple[int, ...]]) -> np.ndarray:
+    """Each group of variables given all others; groups are small, since their settings are listed."""
+    g, out = model.build(example, model.w), np.zeros_like(model.w)
+    import itertools
+
+    for group in groups:
+        options = []
+        for values in itertools.product(*(range(g.sizes[v]) for v in group)):
+            x = list(gold)
+            for v, k in zip(group, values, strict=True):
+                x[v] = k
+            options.append(tuple(x))
+        s = np.array([g.score(x) for x in options])
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        out += model.stats(example, gold) - sum(q * model.stats(example, x) for q, x in zip(p, options, strict=True))
+    return out
+
+
+def domination(scores: np.ndarray, good: np.ndarray, margin: float = 1.0) -> tuple[float, np.ndarray]:
+    """(loss, gradient in the scores): the best of the bad should be a margin below the best of the good."""
+    g = np.zeros_like(scores, dtype=float)
+    if good.all() or not good.any():
+        return 0.0, g
+    i, j = int(np.where(good, scores, -np.inf).argmax()), int(np.where(good, -np.inf, scores).argmax())
+    loss = float(max(0.0, scores[j] + margin - scores[i]))
+    if loss:
+        g[i], g[j] = -1, 1
+    return loss, g
+
+
+def semi_supervised(model: Templates, example, allowed) -> np.ndarray:
+    """Expected counts under the settings that allowed(setting) accepts, less those under all."""
+    g = model.build(example, model.w)
+    settings = list(g.settings())
+    s = np.array([g.score(x) for x in settings])
+    ok = np.array([bool(allowed(x)) for x in settings])
+
+    def expect(mask):
+        p = np.where(mask, np.exp(s - s.max()), 0)
+        p /= p.sum()
+        return sum(q * model.stats(example, x) for q, x in zip(p, settings, strict=True) if q)
+
+    return expect(ok) - expect(np.ones(len(s), bool))
