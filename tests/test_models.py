@@ -197,3 +197,15 @@ def test_annotators_resolve():
     assert names == ["tokenizer", "normaliser", "stemmer", "lower lemmatiser"]
     with pytest.raises(ValueError):
         annotators.resolve(["parse"], annotators.DEFAULT, {"doc_id", "text"})
+
+
+def test_constructions(spark):
+    words = "International Business Machines , a firm , is big . IBM was a company which grew".split()
+    toks = spark.createDataFrame([(1, 0 if i < 10 else 1, i, w) for i, w in enumerate(words)], "doc_id long, sent long, pos long, string string")
+    m = spark.createDataFrame([(1, 0, 1, 0, 2, "International Business Machines"), (1, 0, 2, 4, 5, "a firm"), (1, 1, 3, 10, 10, "IBM"), (1, 1, 4, 12, 13, "a company"), (1, 1, 5, 14, 14, "which")], "doc_id long, sent long, id long, first long, last long, string string")
+    got = {(r.kind, r.a, r.b) for r in mn.construction_links(m, toks).collect()}
+    assert got == {("apposition", 1, 2), ("nominative", 3, 4), ("relative", 4, 5), ("acronym", 1, 3)}
+    s = "struct<first:long,last:long,string:string,kind:string,gender:string,number:string>"
+    p = spark.createDataFrame([((0, 1, "Ann Lee", "NAM", "f", "s"), (9, 9, "Lee", "NAM", "u", "s"))], f"m1 {s}, m2 {s}")
+    r = mn.pair_features(p).first()
+    assert (r.same_string, r.same_head, r.words_included, r.gender_match, r.number_match, r.kinds, r.distance) == (False, True, True, None, True, "NAM-NAM", 3)

@@ -148,3 +148,44 @@ def hypernyms(pairs: DataFrame, deepest: int = 10) -> DataFrame:
         up = up.join(edge, "ancestor").select("synset", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).distinct()
         found = found.union(up)
     return found.groupBy("synset", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+def construction_links(mentions: DataFrame, toks: DataFrame) -> DataFrame:
+    """(doc_id, kind, a, b) of mention ids that a construction links: apposition, predicate nominative, relative pronoun, acronym.
+
+    Neighbouring mentions meet through a window, acronyms through an equi-join on initials."""
+    w = Window.partitionBy("doc_id", "sent").orderBy("first", "last")
+    nxt = mentions.withColumn("_b", F.lead(F.struct("id", "first", "last", "string")).over(w)).where("_b is not null")
+    near = nxt.where("_b.first > last and _b.first - last <= 3").select("doc_id", "sent", "id", "last", "string", "_b")
+    between = near.join(toks.select("doc_id", "sent", "pos", F.lower("string").alias("_w")), ["doc_id", "sent"]).where("pos > last and pos < _b.first")
+    words = between.groupBy("doc_id", "id", F.col("_b.id").alias("b"), F.lower("_b.string").alias("s")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_w"))), lambda x: x["_w"]), " ").alias("gap"))
+    kind = F.when(F.col("gap") == ",", "apposition").when(F.col("gap").isin("is", "was", "are", "were", "became", "remains"), "nominative")
+    close = words.withColumn("kind", kind).where("kind is not null").select("doc_id", "kind", F.col("id").alias("a"), "b")
+    relative = nxt.where(F.lower("_b.string").isin("who", "which", "that", "whom", "whose") & (F.col("_b.first") - F.col("last") <= 2)).select("doc_id", F.lit("relative").alias("kind"), F.col("id").alias("a"), F.col("_b.id").alias("b"))
+    initials = F.array_join(F.transform(F.filter(F.split("string", " "), lambda x: x.rlike(r"^\p{Lu}")), lambda x: F.left(x, F.lit(1))), "")
+    names = mentions.where(F.size(F.split("string", " ")) > 1).select("doc_id", F.col("id").alias("a"), initials.alias("_i"), "first")
+    names = names.groupBy("doc_id", "_i").agg(F.min_by("a", F.struct("first", "a")).alias("a"))
+    short = mentions.where(F.regexp_replace("string", r"\.", "").rlike(r"^\p{Lu}{2,}$")).select("doc_id", F.col("id").alias("b"), F.regexp_replace("string", r"\.", "").alias("_i"))
+    acronyms = short.join(names, ["doc_id", "_i"]).select("doc_id", F.lit("acronym").alias("kind"), "a", "b")
+    return close.union(relative).union(acronyms)
+
+
+def three_valued(a, b, unknown: str = "u"):
+    """true or false where both are known, else null."""
+    return F.when((a == unknown) | (b == unknown), F.lit(None).cast("boolean")).otherwise(a == b)
+
+
+def pair_features(pairs: DataFrame) -> DataFrame:
+    """Adds to pairs of structs m1 and m2 (first, last, string, kind, gender, number) what a pairwise model looks at."""
+    a, b = F.col("m1"), F.col("m2")
+    wa, wb = F.split(F.lower(a["string"]), " "), F.split(F.lower(b["string"]), " ")
+    return pairs.select(
+        "*",
+        (F.lower(a["string"]) == F.lower(b["string"])).alias("same_string"),
+        (F.element_at(wa, -1) == F.element_at(wb, -1)).alias("same_head"),
+        (F.size(F.array_except(wb, wa)) == 0).alias("words_included"),
+        three_valued(a["gender"], b["gender"]).alias("gender_match"),
+        three_valued(a["number"], b["number"]).alias("number_match"),
+        F.concat(a["kind"], F.lit("-"), b["kind"]).alias("kinds"),
+        F.least(F.floor(F.log2(F.greatest(b["first"] - a["last"], F.lit(1)).cast("double"))), F.lit(6)).alias("distance"),
+    )
