@@ -93,6 +93,26 @@ def test_suffix_repeats_in_long_texts(spark, docs):
     assert {d: (r.n_removed, r.n_spans) for d, r in out.items()} == {d: v[1:3] for d, v in brute.without_repeats(texts).items()}
 
 
+def test_suffix_repeats_of_anchors_hot_in_one_worker(spark, monkeypatch):
+    monkeypatch.setattr(sr, "HOT", 1)
+    monkeypatch.setattr(sr, "FLUSH", 0)
+    passage = prose(6, 18)
+    rows = []
+    for k in range(8):  # in one part of the table a passage with four contexts, in another with one
+        passage = prose(600 + k, 18)
+        rows += [(k, " ".join(prose(20 * k + i, 20) + f" {i}" + passage + f"{i} " for i in range(4))), (100 + k, prose(900 + k, 20) + " <" + passage + "> ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id")
+    coalesce, partitions = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    spark.conf.set(coalesce, "false")
+    spark.conf.set(partitions, "16")
+    try:
+        out = got(sr.without_repeats(df))
+    finally:
+        spark.conf.unset(coalesce)
+        spark.conf.set(partitions, "4")
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans) for d, r in out.items()} == {d: v[:3] for d, v in brute.without_repeats(rows).items()}
+
+
 def test_intervals_are_those_of_a_plain_scan():
     r = np.random.default_rng(4)
     for _ in range(50):

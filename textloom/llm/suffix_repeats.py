@@ -14,8 +14,9 @@ matter:
    depth length - o whose left contexts agree over o bytes: the left extensions are compared for each interval, and every
    occurrence but the first of each such group is removed.
 
-Hot anchors: a worker that sees an anchor with more than HOT contexts deals them out by context; for anchors with more contexts
-than fit a task, windows themselves are grouped by hash.
+Hot anchors: a worker that sees an anchor with more than HOT contexts deals them out by context, and sends a mark to the anchor's
+own bucket, so that the contexts other workers sent there go on too; for anchors with more contexts than fit a task, windows
+themselves are grouped by hash.
 
 Null text is empty. Rows without doc_id are kept as they are. Rows with the same doc_id and equal text count as one document.
 """
@@ -134,7 +135,7 @@ def _batch(rows, names=("kind", "bucket", "blob")):
 
 
 PACKED = "kind int, bucket int, blob binary"
-ANCHORS, RANGES, CONTEXTS = 0, 1, 2
+ANCHORS, RANGES, CONTEXTS, MARKS = 0, 1, 2, 3
 
 
 def _scatter(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
@@ -148,6 +149,8 @@ def _scatter(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFram
             first["hot"] = many > HOT
             by = np.where(many > HOT, mix(first["h"] ^ first["c"]), first["h"]) % np.uint64(buckets)
             rows = _blobs(ANCHORS, by.astype(np.int64), first)
+            hot = first["h"][group][first["hot"][group] > 0]
+            rows += _blobs(MARKS, (hot % np.uint64(buckets)).astype(np.int64), hot)
             gone = removed(rest, length)
             rows += _blobs(RANGES, (mix(gone["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), gone)
             return _batch(rows)
@@ -170,11 +173,13 @@ def _match(packed: DataFrame, buckets: int, length: int) -> DataFrame:
     """Per bucket of anchors the removed ranges of whole contexts, by document; and first occurrences of contexts that go on."""
 
     def run(batches):
-        held, through = [], []
+        held, through, marks = [], [], []
         for b in batches:
             for kind, bucket, blob in zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 if kind == ANCHORS:
                     held.append(np.frombuffer(blob, ANCHOR))
+                elif kind == MARKS:
+                    marks.append(np.frombuffer(blob, "<u8"))
                 else:
                     through.append((kind, bucket, blob))
             if len(through) > 1000:
@@ -186,6 +191,8 @@ def _match(packed: DataFrame, buckets: int, length: int) -> DataFrame:
             return
         found = np.concatenate(held)
         del held
+        if marks:  # hot in some worker is hot in all
+            found["hot"] |= np.isin(found["h"], np.concatenate(marks))
         # only anchors that occur again need sorting by all their fields
         h = np.sort(found["h"])
         twice = np.unique(h[1:][h[1:] == h[:-1]])
