@@ -172,6 +172,12 @@ def test_resolution():
     assert sum(n.mentions for n in f.nodes.values() if n.parent is None) == 4
 
 
+def test_components_of_a_path_against_the_order_of_its_nodes(spark):
+    path = [0, *range(200, 0, -1)]
+    e = spark.createDataFrame(list(zip(path, path[1:], strict=False)) + [(900, 901)], "a long, b long")
+    assert {r.node: r.component for r in rel.components(e).collect()} == {**dict.fromkeys(path, 0), 900: 900, 901: 900}
+
+
 def test_components_and_prune(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (7, 7)], "a long, b long")
     assert {(r.node, r.component) for r in rel.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (7, 7)}

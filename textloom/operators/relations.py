@@ -74,23 +74,23 @@ def any_of(*lexicons: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [x.select("phrase") for x in lexicons]).distinct()
 
 
-def components(edges: DataFrame, least_steps: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest reachable node of undirected edges (a, b).
 
-    Labels fall along edges and then jump to the label of their label; each step is checkpointed so that plans stay short."""
-    edges = edges.select("a", "b").where("a is not null and b is not null")
-    both = _cut(edges.union(edges.select("b", "a")).distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(least_steps):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("component"))
-        hop = step.select(F.col("node").alias("h"), F.col("component").alias("hc"))
-        new = _cut(step.join(hop, F.col("component") == F.col("h"), "left").select("node", F.least("component", F.coalesce("hc", "component")).alias("component")))
-        moved = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = new
-        if not moved:
-            break
-    return labels
+    Alternating large and small stars until no edge moves; each step is checkpointed so that plans stay short."""
+    edges = _cut(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    falling = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    stars, moved = _cut(falling(edges)), True
+    while moved:
+        both = stars.union(stars.select("b", "a"))
+        near = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = _cut(falling(both.join(near, "a").where("b > a").select("b", "m").toDF("a", "b")))
+        down = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        new = _cut(falling(down.select("b", "m").union(down.select("a", "m")).toDF("a", "b")))
+        moved = new.exceptAll(stars).limit(1).count() or stars.exceptAll(new).limit(1).count()
+        stars = new
+    nodes = edges.select("a").union(edges.select("b")).distinct().toDF("node")
+    return _cut(nodes.join(stars, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component")))
 
 
 def _cut(df: DataFrame) -> DataFrame:
