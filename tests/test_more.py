@@ -84,3 +84,26 @@ def test_commands(spark, tmp_path):
     assert {r.predicted for r in spark.read.parquet(str(tmp_path / "c")).collect()} == {"x", "y"}
     main(["query", "line_cube", "--input", "/root/testdata/sf0.001", "--output", str(tmp_path / "q")], spark)
     assert spark.read.parquet(str(tmp_path / "q")).count() > 0
+
+
+def test_model_queries_take_their_whole_tables(spark):
+    from textloom.operators import tokens as tk
+    from textloom.plans.catalog import QUERIES
+
+    from .oracle import SF
+
+    docs, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "lineitem"))
+    toks = tk.tokens(docs)
+    shares = QUERIES["topic_shares"](spark, SF)
+    assert (shares.count(), shares.agg({"n": "sum"}).first()[0]) == (docs.count(), toks.count())
+    assert QUERIES["word_vectors"](spark, SF).count() == toks.select("term").distinct().count()
+    assert QUERIES["ranked_cells"](spark, SF).count() == lines.select("l_suppkey", "l_partkey").distinct().count()
+
+
+def test_divergence_of_all_languages(spark, tmp_path):
+    from textloom.plans.catalog import QUERIES
+
+    n = 70
+    spark.createDataFrame([(i, f"both {chr(97 + i % 26) * (2 + i // 26)}", f"l{i:02d}") for i in range(n)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["lang_js_divergence"](spark, str(tmp_path)).collect()
+    assert len(out) == n * (n - 1) // 2 and {r.js for r in out} == {0.5}

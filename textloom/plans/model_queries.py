@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions import maths as M
-from textloom.operators import chains, classify, embeddings, evaluation as ev, graphs, mentions as mn, optimise, resolution, tokens as tk, topics
+from textloom.operators import chains, classify, embeddings, evaluation as ev, graphs, mentions as mn, optimise, resolution, statistics as st, tokens as tk, topics
 from textloom.plans import annotators
 from textloom.plans.registry import TOKENS, query
 from textloom.sources.tables import load
@@ -112,7 +112,7 @@ def named_entities(spark, d):
 @query()
 def chain_tags(spark, d):
     """A chain model learns which words of the conversations are capitalised from lower-cased text."""
-    words = load(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), 1, 1 << 20).alias("w"))
+    words = load(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
     rows = words.select("conv_id", "turn", F.transform("w", lambda x: F.lower(x)).alias("words"), F.transform("w", lambda x: F.when(x.rlike(r"^\p{Lu}"), "B").otherwise("O")).alias("tags"))
     model = chains.train_chain(rows, ["O", "B"], passes=1, likelihood=False, size=1 << 14)
     out = chains.tag(rows, model)
@@ -120,31 +120,43 @@ def chain_tags(spark, d):
     return out.select("conv_id", "turn", F.size("tags").alias("n"), right.alias("right"))
 
 
+#: what stands for no bound on a vocabulary
+ALL = (1 << 63) - 1
+
+
+def _indexed(docs, toks, vocab):
+    """(doc_id, words): the indexes of each document's words in their order; documents without words have none."""
+    words = toks.join(vocab.select("term", "index"), "term").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "index"))), lambda x: x["index"].cast("int")).alias("words"))
+    return docs.select("doc_id").join(words, "doc_id", "left").select("doc_id", F.coalesce("words", F.array().cast("array<int>")).alias("words"))
+
+
 @query()
 def topic_shares(spark, d):
-    toks = tk.tokens(load(spark, d, "documents"))
-    vocab = embeddings.vocabulary(toks, 5, 2000)
-    docs = toks.join(F.broadcast(vocab.select("term", "index")), "term").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "index"))), lambda x: x["index"].cast("int")).alias("words"))
-    rows, _ = topics.lda(docs, 4, 2000, sweeps=1)
+    docs = load(spark, d, "documents")
+    toks = tk.tokens(docs)
+    vocab = embeddings.vocabulary(toks, 1, ALL)
+    rows, _ = topics.lda(_indexed(docs, toks, vocab), 4, vocab.count(), sweeps=1)
     return rows.select("doc_id", F.size("z").alias("n"), F.size(F.filter("z", lambda t: t == 0)).alias("topic0"))
 
 
 @query()
 def word_vectors(spark, d):
-    toks = tk.tokens(load(spark, d, "documents"))
-    vocab = embeddings.vocabulary(toks, 20, 500)
+    docs = load(spark, d, "documents")
+    toks = tk.tokens(docs)
+    vocab = embeddings.vocabulary(toks, 1, ALL)
     words = vocab.orderBy("index").toArrow().to_pandas()
-    docs = toks.join(F.broadcast(vocab.select("term", "index")), "term").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "index"))), lambda x: x["index"].cast("int")).alias("words"))
-    v = embeddings.skip_grams(docs, list(words["term"]), [int(x) for x in words["n"]], size=8, width=2, negatives=2, passes=1)
+    v = embeddings.skip_grams(_indexed(docs, toks, vocab), list(words["term"]), [int(x) for x in words["n"]], size=8, width=2, negatives=2, passes=1)
     return spark.createDataFrame([(t, [round(float(x), 4) for x in row]) for t, row in zip(words["term"], v, strict=True)], "term string, vector array<double>")
 
 
 @query()
 def ranked_cells(spark, d):
-    """Supplier by part cells of large lots, ranked by factor vectors."""
-    x = load(spark, d, "lineitem").where("l_quantity > 40").select((F.col("l_suppkey") % 200).cast("int").alias("r"), (F.col("l_partkey") % 100).cast("int").alias("c")).distinct()
-    u, v = embeddings.rank_cells(x, 200, 100, size=8, passes=1)
-    return embeddings.score_cells(x, u, v, "cosine01").select("r", "c", F.round("score", 4).alias("score"))
+    """Supplier by part cells of all lots, ranked by factor vectors."""
+    x = load(spark, d, "lineitem").select("l_suppkey", "l_partkey").dropna().distinct()
+    r, c = (st.encode(st.counts(x.select(F.col(k).alias("term")))).select(F.col("term").alias(k), F.col("index").cast("int").alias(i)) for k, i in (("l_suppkey", "r"), ("l_partkey", "c")))
+    cells = x.join(r, "l_suppkey").join(c, "l_partkey")
+    u, v = embeddings.rank_cells(cells, r.count(), c.count(), size=8, passes=1)
+    return embeddings.score_cells(cells, u, v, "cosine01").select(F.col("l_suppkey").alias("r"), F.col("l_partkey").alias("c"), F.round("score", 4).alias("score"))
 
 
 @query()

@@ -218,12 +218,13 @@ def lang_js_divergence(spark, d):
     c = x.groupBy(F.col("doc_id").alias("lang"), "term").agg(F.count("*").alias("n"))
     totals = c.groupBy("lang").agg(F.sum("n").alias("s"))
     p = c.join(totals, "lang").select("lang", "term", (F.col("n") / F.col("s")).alias("p"))
-    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").limit(64).collect() if r[0] is not None]
-    wide = p.groupBy("term").agg(*(F.coalesce(F.max(F.when(F.col("lang") == g, F.col("p"))), F.lit(0.0)).alias(f"p_{i}") for i, g in enumerate(langs)))
-    half = lambda p, q: F.when(p > 0, p * F.log2(p / ((p + q) / 2))).otherwise(0.0)
-    pairs = [(i, j) for i in range(len(langs)) for j in range(i + 1, len(langs))]
-    sums = wide.agg(*(F.round(F.sum(half(F.col(f"p_{i}"), F.col(f"p_{j}")) + half(F.col(f"p_{j}"), F.col(f"p_{i}"))) / 2, 6).alias(f"{i}_{j}") for i, j in pairs))
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(langs[i]).alias("a"), F.lit(langs[j]).alias("b"), F.col(f"{i}_{j}").alias("js")) for i, j in pairs))).alias("x")).select("x.*")
+    # of a word that only one of two languages has, its whole share counts; so only shared words are joined
+    half = lambda p, q: p * F.log2(p / ((p + q) / 2)) - p
+    a, b = (p.where("lang is not null").select(F.col("lang").alias(x), "term", F.col("p").alias(f"p_{x}")) for x in "ab")
+    shared = a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(half(F.col("p_a"), F.col("p_b")) + half(F.col("p_b"), F.col("p_a"))).alias("s"))
+    langs = totals.where("lang is not null").select("lang")
+    pairs = langs.toDF("a").join(langs.toDF("b"), F.col("a") < F.col("b"))
+    return pairs.join(shared, ["a", "b"], "left").select("a", "b", F.round(F.coalesce("s", F.lit(0.0)) / 2 + 1, 6).alias("js"))
 
 
 @query(f"with {TOKENS}, c as (select source, term, count(*) as n from t join documents using (doc_id) group by source, term) select * from (select source, term, n, row_number() over (partition by source order by n desc, term) as rank from c) where rank <= 5")
