@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import capture_index as ci, chat_format as cf, url_filter as uf
@@ -77,6 +78,13 @@ def test_fingerprints(spark):
     assert cf.format_chats(df).where("not layout_known").count() == 3
 
 
+def test_records_beyond_a_variant_are_an_error(spark):
+    record = F.concat(F.lit('{"prompt":"'), F.repeat(F.lit("a"), F.lit(130 << 20)), F.lit('","response":""}'))
+    df = spark.range(1).select(F.col("id").alias("conv_id"), record.alias("record"))
+    with pytest.raises(Exception, match="exceeds the limit of a variant"):
+        df.select(F.size(cf.canonical_turns(F.col("record")))).collect()
+
+
 def test_url_filter(spark, folder):
     urls = [None, "", "nothing", "http://", "HTTP://Sub.Example.NET/en/x?y#z", "http://example.net/de/", "http://a.org/fr/1", "http://notexample.net/", "x://example.com/de/?q", "http://example.com", "http://b.org/en", "http://net/", "http://e.org?x://y/", "://org/fr/", "http://ÄB.org/fr/é"]
     urls += [f"http://good.org/fr/{i}" for i in range(40)] + [f"http://casino-bets.net/win/{i}" for i in range(40)] + [f"http://casino-bets.com/win/{i}" for i in range(5)] + [f"http://good.org/en/{i}" for i in range(5)]

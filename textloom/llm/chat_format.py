@@ -8,7 +8,8 @@ The template marks turns by control strings; inside texts and roles each control
 (and one that has tildes there gets one more), which unformat() takes out again. The loss mask is spans of code points.
 
 Null roles and texts are empty. Rows of a conversation are ordered by turn, then role, then text. A record of an unknown layout
-has null turns, so it is seen and not lost. A conversation must fit Spark's limits for one string and one variant value.
+has null turns, so it is seen and not lost. A conversation must fit Spark's limits for one string and one variant value;
+a record that is too large for a variant is an error.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ MAPPINGS = (
     Mapping("prompt", '{"prompt":"","response":""}', fixed=(("$.prompt", "user"), ("$.response", "assistant"))),
     Mapping("instruction", '{"system":"","instruction":"","output":""}', fixed=(("$.system", "system"), ("$.instruction", "user"), ("$.output", "assistant"))),
 )
+#: bytes beyond which a record that doesn't parse is an error, since it may have met the limit of a variant
+LARGE = 16 << 20
 TURNS = "array<struct<role:string,text:string>>"
 #: role: what opens and closes a turn; other roles carry their name
 TEMPLATE = {"system": ("[SYS] ", " [/SYS]"), "user": ("[INST] ", " [/INST]"), "assistant": ("[OUT] ", "</s>")}
@@ -79,7 +82,7 @@ def canonical_turns(record: Column, mappings=MAPPINGS) -> Column:
             found = F.variant_get(value, m.turns, f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
             turns = F.transform(found, _turn_of(m))
         out = F.when(mark == fingerprint(F.lit(m.example)), turns).otherwise(out)
-    return out
+    return F.when(value.isNull() & (F.octet_length(record) > LARGE), F.raise_error(F.format_string("a record of %d bytes isn't JSON or exceeds the limit of a variant", F.octet_length(record)))).otherwise(out)
 
 
 def escape(text: Column) -> Column:
