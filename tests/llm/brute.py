@@ -12,25 +12,27 @@ def sha(x: bytes | str) -> str:
 
 
 def near(docs, percent=85):
-    sets = {}
+    """[(doc_id, n_shingles, component_id, kept)] per row; rows of one id are one document."""
+    sets, of = [], {}
     for d, t in docs:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
-    up = {d: d for d in sets}
+        sets.append((d, frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])))
+        of.setdefault(sets[-1][1], []).append(d)
+    up = {d: d for d, _ in sets if d is not None}
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+    some = [(d, s) for d, s in sets if d is not None and s]
+    for i, (a, s) in enumerate(some):
+        for b, t in some[i + 1 :]:
+            if (both := len(s & t)) and 100 * both >= percent * len(s | t):
                 ra, rb = root(a), root(b)
                 up[max(ra, rb)] = min(ra, rb)
-    return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}
+    comp = lambda d, s: root(d) if s and d is not None else d
+    return sorted(((d, len(s), comp(d, s), comp(d, s) == d) for d, s in sets), key=str)
 
 
 def without_repeats(docs, length=100):

@@ -48,15 +48,50 @@ def got(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
+def near_rows(df):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in df.collect()), key=str)
+
+
 def test_near_duplicates(spark, docs, corpus):
-    out = got(op5_near_duplicates(spark, docs(corpus, extra=True)))
-    assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in out.items()} == brute.near(corpus)
+    assert near_rows(op5_near_duplicates(spark, docs(corpus, extra=True))) == brute.near(corpus)
+
+
+def test_near_duplicates_at_eighty(spark, docs, corpus):
+    docs(corpus)
+    assert near_rows(nd.near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string"), 80)) == brute.near(corpus, 80)
+
+
+@pytest.mark.parametrize("unit", [1, 3, 8])
+def test_near_duplicates_of_large_groups(spark, docs, corpus, monkeypatch, unit):
+    monkeypatch.setattr(nd, "UNIT", unit)
+    monkeypatch.setattr(nd, "BROADCAST_ROWS", -1)
+    one = prose(31, 150)
+    chain = [one]
+    for k in range(30):  # neighbours are alike, the ends are not
+        chain.append(edited(chain[-1], 1000 + k, 2))
+    rows = corpus + [(2000 + (i * 7) % 31, t) for i, t in enumerate(chain)]
+    assert near_rows(op5_near_duplicates(spark, docs(rows))) == brute.near(rows)
+
+
+def test_near_duplicates_of_long_texts_in_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(nd, "UNIT_SHINGLES", 5_000)
+    long = prose(41, 40_000)
+    rows = [(3, long), (2, edited(long, 1, 400)), (1, edited(long, 2, 400)), (4, prose(42, 40_000)), (9, long)]
+    assert near_rows(op5_near_duplicates(spark, docs(rows))) == brute.near(rows)
+
+
+def test_near_duplicates_of_repeated_rows(spark, docs):
+    w = prose(51, 100)
+    v = edited(w, 3, 2)
+    rows = [(1, w), (2, v), (2, v), (3, prose(52, 100)), (3, prose(53, 50)), (4, prose(53, 50)), (5, "x"), (5, None), (6, "x"), (None, w), (None, w), (None, None), (7, w), (7, prose(52, 100))]
+    got_rows = near_rows(op5_near_duplicates(spark, docs(rows)))
+    assert got_rows == brute.near(rows) and len(got_rows) == len(rows)
 
 
-def test_near_duplicates_in_blocks(spark, docs, corpus, monkeypatch):
-    monkeypatch.setattr(nd, "TASK_SETS", 3)
-    out = got(op5_near_duplicates(spark, docs(corpus)))
-    assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in out.items()} == brute.near(corpus)
+def test_words_that_polynomials_confuse_are_different(spark, docs):
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    rows = [(1, t[:1024]), (2, t[1024:2048]), (3, t), (4, t.translate({97: 98, 98: 97})), (5, t[:64]), (6, t[64:128])]
+    assert near_rows(op5_near_duplicates(spark, docs(rows))) == brute.near(rows)
 
 
 def test_keys_hold_the_pigeonhole():

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN_SCRATCH: list[str] = []
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one for a master on one machine;
+    on a cluster that is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_SCRATCH:
             _OWN_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="textloom-"))
         root = _OWN_SCRATCH[0]
@@ -111,6 +115,32 @@ def joined(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(raw[-1] - raw[0]), int(raw[0])), raw - raw[0]
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """For each seed a 64-bit hash of every span of one byte array: eight bytes a step, mixed after each, so that no algebra of
+    the texts (as of polynomials modulo a power of two) makes two of them equal. Spans of over 64 bytes are hashed one by one."""
+    size = stops - starts
+    out = [mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) for seed in seeds]
+    if not len(starts):
+        return out
+    whole = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", whole, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= 64))
+    step = 0
+    while len(live):
+        left = size[live] - step
+        word = eight[starts[live] + step]
+        word &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8))
+        for h, seed in zip(out, seeds):
+            h[live] = mix((h[live] ^ word) * np.uint64(seed | 1) + np.uint64(step + 1))
+        step += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > 64):
+        span = data[starts[i] : stops[i]].tobytes()
+        for h, seed in zip(out, seeds):
+            h[i] = xxhash.xxh3_64_intdigest(span, seed)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, elementwise."""
     x = x ^ (x >> np.uint64(30))

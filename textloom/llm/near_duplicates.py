@@ -2,16 +2,20 @@
 
 Each distinct shingle set gets a signature of 40 minima, 16 bits kept of each. The signature is split into 8 chunks of 5
 symbols. By pigeonhole, two signatures that differ in at most 15 symbols have a chunk with at most one error; enumerating that
-error (each symbol of a chunk left out in turn) gives 40 keys, and all pairs within that distance share one of them. At the
-lowest similarity that links, 0.85, a chunk has at most one error with probability 0.835, so a pair escapes all eight with
-probability 5e-7.
-
-Documents that share a key are put in one group through the smallest id of the key's bucket, never pair by pair. A group is
-then resolved in one task from whole shingle sets, with a union-find that skips pairs already connected; pairs whose signatures
-differ in over 20 symbols are passed over (at similarity 0.85 that happens once in ten million). A group too large for one task is
-cut into blocks; every pair of blocks is resolved in a task of its own, and the links found are joined by connected components.
-
-Documents without words, text or doc_id link with nothing. Exact copies of a shingle set are one class from the start.
+error (each symbol of a chunk left out in turn) gives 40 keys, and all pairs within that distance share one of them. A pair of
+similarity 0.85 misses all eight chunks with probability 5e-7, one of 0.80 with 2.3e-5. Every pair that shares a key is either
+connected already, or confirmed on whole sets, of which each shingle has 128 bits from two hashes of its words.
+
+No pairs are written out. The sets that share keys form groups, through the smallest id of each key's bucket:
+* a group of at most UNIT sets is resolved at once, in one place;
+* in a larger one the set nearest to the group's most common symbols is compared with all others, a part of UNIT of them at a
+  time. Most of a large group of copies hangs together by that. The sets left over are compared with those that share a key with
+  them, bucket by bucket, and large buckets block by block. A pair is looked at in the first bucket it shares only.
+So neither a task's memory nor its time depends on the size of a group. Links are joined by connected components.
+
+Rows: null and empty texts, and texts without words, have 0 shingles and link with nothing. Rows without doc_id link with nothing,
+have no component and are kept. Rows with equal doc_id are one document with all their texts; each row gives one row. Texts of any
+length are taken whole. Further columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,37 +24,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm.common import Rolling, broadcast_if_small, joined, materialise, mix, slices, table
+from textloom.llm.common import broadcast_if_small, hash_spans, joined, materialise, mix, slices, table
 from textloom.llm.graph import components
 
 CHUNKS, WIDTH, BITS = 8, 5, 16
 SYMBOLS = CHUNKS * WIDTH
-FARTHEST = 20
 WORDS = 5
 PERCENT = 85
-#: A task resolves at most so many shingles and so many sets of one group.
-TASK_SHINGLES, TASK_SETS = 2_000_000, 4_000
+#: So many sets, and about so many shingles, are compared with each other in one place.
+UNIT, UNIT_SHINGLES = 64, 400_000
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIPS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
-_PLACES = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEYS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
+_SEEDS = (0x2545F4914F6CDD1D, 0x71D67FFFEDA60001)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, A-Z lower-cased, and where each text's words begin (one more at the end)."""
+def word_hashes(col: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Two hashes of each word of all texts, A-Z lower-cased, and where each text's words begin (one more at the end)."""
     data, ends = joined(col)
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(col) + 1, np.int64)
+        return [np.empty(0, np.uint64)] * 2, np.zeros(len(col) + 1, np.int64)
     data = _LOWER[data]
-    space = _SPACE[data]
-    first = ~space
+    first = ~_SPACE[data]
     inner = first[1:] & first[:-1]
     starts_at_text = np.zeros(len(data) + 1, bool)
     starts_at_text[ends] = True
@@ -59,35 +61,35 @@ def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last = first.copy()
     last[:-1] &= ~inner | starts_at_text[1:-1]
     starts, stops = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    return Rolling(data).of(starts, stops), np.searchsorted(starts, ends)
+    return hash_spans(data, starts, stops, _SEEDS), np.searchsorted(starts, ends)
 
 
-def shingle_sets(col: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, sorted, one text after another, and where each text's begin."""
+def shingle_sets(col: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each distinct shingle of each text, sorted, one text after another, and where each text's begin."""
     hashes, at = word_hashes(col)
     n = len(col)
     counts = np.diff(at)
     doc = np.repeat(np.arange(n), counts)
-    places = _PLACES if words == WORDS else mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
-    many = len(hashes) - words + 1
-    if many > 0:
-        whole = doc[: many] == doc[words - 1 :]
-        value = np.zeros(many, np.uint64)
-        for k in range(words):
-            value += hashes[k : k + many] * places[k]
-        value, owner = mix(value[whole]), doc[:many][whole]
-    else:
-        value, owner = np.empty(0, np.uint64), np.empty(0, np.int64)
+    many = len(doc) - words + 1
+    whole = doc[:many] == doc[words - 1 :] if many > 0 else np.empty(0, bool)
     short = np.flatnonzero((counts > 0) & (counts < words))
-    if len(short):
-        extra = np.array([mix(np.array([int((hashes[at[i] : at[i + 1]] * places[: counts[i]]).sum(dtype=np.uint64))], np.uint64) + np.uint64(counts[i]))[0] for i in short], np.uint64)
-        value, owner = np.concatenate([value, extra]), np.concatenate([owner, short])
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    keep = np.ones(len(value), bool)
-    keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[keep], owner[keep]
-    return value, np.searchsorted(owner, np.arange(n + 1))
+    owner = np.concatenate([doc[: max(many, 0)][whole], short])
+    values = []
+    for h in hashes:
+        value = np.zeros(max(many, 0), np.uint64)
+        for k in range(words if many > 0 else 0):
+            value = mix((value ^ h[k : k + many]) + np.uint64(k + 1))
+        less = np.full(len(short), len(short) and 7, np.uint64)
+        for k in range(words - 1):
+            has = counts[short] > k
+            less[has] = mix((less[has] ^ h[at[short[has]] + k]) + np.uint64(k + 1))
+        values.append(np.concatenate([value[whole], less]))
+    order = np.lexsort((values[1], values[0], owner))
+    a, b, owner = values[0][order], values[1][order], owner[order]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])
+    a, b, owner = a[keep], b[keep], owner[keep]
+    return a, b, np.searchsorted(owner, np.arange(n + 1))
 
 
 def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -117,19 +119,24 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
+def set_hashes(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(2, texts): a 128-bit hash of each whole set."""
+    out = np.zeros((2, len(at) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        out[0, full] = mix(np.add.reduceat(mix(a + np.uint64(1)), at[:-1][full]))
+        out[1, full] = mix(np.add.reduceat(mix(b + np.uint64(2)), at[:-1][full]))
+    return out.view(np.int64)
+
+
 def profiles(df: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, sig): the set's size, a 128-bit hash of the whole set, and its signature."""
 
     def run(batches):
         for b in slices(batches):
-            sets, at = shingle_sets(b.column("text"))
-            full = np.flatnonzero(np.diff(at))
-            h = np.zeros((2, b.num_rows), np.uint64)
-            if len(full):
-                h[0, full] = mix(np.add.reduceat(sets, at[:-1][full]))
-                h[1, full] = np.add.reduceat(mix(sets + np.uint64(1)), at[:-1][full])
-            sig = signatures(sets, at)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+            one, two, at = shingle_sets(b.column("text"))
+            h, sig = set_hashes(one, two, at), signatures(one, at)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(h[0]), pa.array(h[1]), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
@@ -147,80 +154,109 @@ def bucket_keys(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def resolve(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(smallest id, id) for each member of a group that is linked, through others or not, to a smaller one.
-
-    Where blocks differ among the members, only pairs of different blocks are looked at."""
-    n = len(ids)
-    parent = np.arange(n)
-    label = np.arange(n)  # current component of each, kept flat
-    size = np.array([len(s) for s in sets])
-    across = blocks.min() != blocks.max()
-    if n > 8:  # first those nearest to the group's most common symbols: they link with most others
-        mode = np.array([v[np.argmax(c)] for v, c in (np.unique(sig[:, k], return_counts=True) for k in range(SYMBOLS))])
-        order = np.argsort(-(sig == mode).sum(axis=1), kind="stable")
-    else:
-        order = np.argsort(ids, kind="stable")
-    left = np.ones(n, bool)
-    for i in order:
-        left[i] = False
-        ask = left & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-        if across:
-            ask &= blocks != blocks[i]
-        ask = np.flatnonzero(ask)
-        if not len(ask):
-            continue
-        ask = ask[(sig[ask] != sig[i]).sum(axis=1) <= FARTHEST]
-        if not len(ask):
-            continue
-        mine = sets[i]
-        for part in np.array_split(ask, max(1, int(size[ask].sum()) // 1_000_000)):
-            theirs = np.concatenate([sets[j] for j in part])
-            spot = np.searchsorted(mine, theirs)
-            spot[spot == len(mine)] = 0
-            same = np.add.reduceat((mine[spot] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(size[part])[:-1]]))
-            linked = part[100 * same >= percent * (size[part] + len(mine) - same)]
-            if len(linked):
-                into = np.unique(np.concatenate([[label[i]], label[linked]]))
-                label[np.isin(label, into)] = into[0]
-    del parent
-    out = []
-    for c in np.unique(label):
-        members = ids[label == c]
-        if len(members) > 1:
-            least = int(members.min())
-            out += [(least, int(m)) for m in members if m != least]
-    return out
+class Unit:
+    """What is compared in one place: the sets of side 0 with each other, or, by a key, with those of side 1."""
+
+    def __init__(self, keyed: bool, percent: int):
+        self.keyed, self.percent = keyed, percent
+        self.held: list[tuple] = []
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.up.get(x, x) != x:
+            self.up[x] = self.up.get(self.up[x], self.up[x])
+            x = self.up[x]
+        return x
+
+    def similar(self, mine, theirs: list) -> np.ndarray:
+        """Which of their sets are as similar to mine as the threshold asks."""
+        a, b = mine
+        size = np.array([len(x) for x, _ in theirs], np.int64)
+        out = np.zeros(len(theirs), bool)
+        for part in np.array_split(np.arange(len(theirs)), max(1, int(size.sum()) // 1_000_000)):
+            x, y = (np.concatenate([theirs[i][k] for i in part]) for k in (0, 1))
+            # shingles equal in the first hash stand together, nearly always one by one
+            low, high = np.searchsorted(a, x, side="left"), np.searchsorted(a, x, side="right")
+            there = np.minimum(low, len(a) - 1)
+            same = (low < high) & (b[there] == y)
+            for i in np.flatnonzero((high - low > 1) & ~same):
+                same[i] = y[i] in b[low[i] : high[i]]
+            both = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(size[part])[:-1]]))
+            out[part] = 100 * both >= self.percent * (size[part] + len(a) - both)
+        return out
+
+    def compare(self, x: tuple, others: list[tuple]):
+        """(a, b) for each of the others that is linked with x and was not connected with it before."""
+        doc, label, _, sets, _ = x
+        n = len(sets[0])
+        ask = [o for o in others if 100 * min(n, len(o[3][0])) >= self.percent * max(n, len(o[3][0])) and self.root(o[1]) != self.root(label)]
+        if ask:
+            for o, yes in zip(ask, self.similar(sets, [o[3] for o in ask]), strict=True):
+                if yes and self.root(o[1]) != self.root(label):
+                    self.up[self.root(o[1])] = self.root(label)
+                    yield doc, o[0]
+
+    def meet(self, others: list[tuple], key: np.uint64):
+        """Links of what is held with the others; by key, only in the first bucket of a pair, and one way round of two left over."""
+        if self.keyed and others:
+            docs, rest, keys = np.array([o[0] for o in others]), np.array([o[2] for o in others]), np.array([o[4] for o in others])
+        for x in self.held:
+            ask = others
+            if self.keyed and others:
+                ok = keys[np.arange(len(others)), (keys == x[4]).argmax(axis=1)] == key
+                ask = [others[i] for i in np.flatnonzero(ok & ~(rest & (docs < x[0])))]
+            yield from self.compare(x, ask)
+
+
+def linked(rows: DataFrame, percent: int, keyed: bool) -> DataFrame:
+    """(a, b): links from rows (unit, i, j, side, doc_id, label, rest, h1, h2, text) that connect what no equal labels connect."""
+
+    def run(batches):
+        now, unit = None, Unit(keyed, percent)
+        for batch in slices(batches):
+            one, two, at = shingle_sets(batch.column("text"))
+            h = set_hashes(one, two, at)
+            keys = chunk_keys(signatures(one, at)) if keyed else None
+            cols = [batch.column(c).to_pylist() for c in ("unit", "i", "j", "side", "doc_id", "label", "rest", "h1", "h2")]
+            found, waiting = [], []
+            for k, (u, i, j, side, doc, label, rest, h1, h2) in enumerate(zip(*cols, strict=True)):
+                if h[0, k] != h1 or h[1, k] != h2:
+                    continue  # another text of the same id, with a place of its own
+                if now != (u, i, j):
+                    if waiting:
+                        found += unit.meet(waiting, np.int64(now[0]).view(np.uint64))
+                    now, unit, waiting = (u, i, j), Unit(keyed, percent), []
+                me = (doc, label, rest, (one[at[k] : at[k + 1]].copy(), two[at[k] : at[k + 1]].copy()), keys[k] if keyed else None)
+                if side:
+                    waiting.append(me)
+                else:
+                    if not keyed:
+                        found += unit.compare(me, unit.held)
+                    unit.held.append(me)
+            if waiting:
+                found += unit.meet(waiting, np.int64(now[0]).view(np.uint64))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
+    return rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "side").mapInArrow(run, "a long, b long")
 
-def linked(texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of links that connect the members of each unit, from rows (unit, block, doc_id, text) of whole units."""
 
-    def run(batches):
-        unit, ids, blocks, sets, sigs = None, [], [], [], []
+def _parts(rows, n):
+    return F.greatest(F.ceil(rows / UNIT), F.ceil(n / UNIT_SHINGLES), F.lit(1)).cast("int")
 
-        def done():
-            return resolve(np.array(ids), np.array(blocks), sets, np.array(sigs), percent) if len(ids) > 1 else []
 
-        found: list[tuple[int, int]] = []
-        for b in slices(batches):
-            values, at = shingle_sets(b.column("text"))
-            sig = signatures(values, at)
-            for k, (u, blk, doc) in enumerate(zip(b.column("unit").to_pylist(), b.column("block").to_pylist(), b.column("doc_id").to_pylist(), strict=True)):
-                if u != unit:
-                    found += done()
-                    unit, ids, blocks, sets, sigs = u, [], [], [], []
-                ids.append(doc)
-                blocks.append(blk)
-                sets.append(values[at[k] : at[k + 1]].copy())
-                sigs.append(sig[k])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
-                found = []
-        if found := done():
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+def _part(of: str):
+    return F.pmod(F.xxhash64("doc_id"), F.col(of)).cast("int")
+
 
-    return texts.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+def centres(members: DataFrame) -> DataFrame:
+    """(component, centre): of each group the set whose signature is nearest to the group's most common symbols."""
+    symbols = members.select("component", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), lambda k: F.substring("sig", 2 * k + 1, F.lit(2)))).alias("k", "s"))
+    common = symbols.groupBy("component", "k", "s").agg(F.count("*").alias("n")).groupBy("component", "k").agg(F.max(F.struct("n", "s"))["s"].alias("s"))
+    common = common.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("common"))
+    equal = lambda k, s: (F.substring("sig", 2 * k + 1, F.lit(2)) == s).cast("int")
+    near = members.join(common, "component").select("component", "doc_id", F.aggregate(F.transform("common", lambda s, k: equal(k, s)), F.lit(0), lambda a, x: a - x).alias("d"))
+    return near.groupBy("component").agg(F.min(F.struct("d", "doc_id"))["doc_id"].alias("centre"))
 
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -228,32 +264,68 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     percent / 100 or more, found from signatures and confirmed on whole sets. percent must be 80 or more."""
     df = df.select("doc_id", "text")
     profile = materialise(profiles(df), "profiles")
-    classes = profile.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = materialise(classes.where("rep is not null"), "classes")
+    classes = profile.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = materialise(classes.withColumnRenamed("n_shingles", "n"), "classes")
+    # ids that have several texts hold their classes together
+    several = profile.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("k > 1 and x <> y").select("doc_id")
+    several = materialise(profile.join(several, "doc_id").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "several")
+    n_several = several.count()
 
     keys = materialise(bucket_keys(classes), "keys")
     buckets = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").select("key", "head")
     stars = keys.join(buckets, "key").where("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     groups = components(stars)
 
-    groups = materialise(groups.join(classes.select(F.col("rep").alias("node"), "n"), "node"), "groups")
-    sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / TASK_SHINGLES), F.ceil(F.count("*") / TASK_SETS)).alias("blocks"))
-    members = groups.join(sizes, "component")
-    members = members.select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("doc_id", "block", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "blocks")
-    members = materialise(members, "members")
-
-    few = broadcast_if_small(members, members.count(), BROADCAST_ROWS)
-    links = materialise(linked(df.join(few, "doc_id").select("unit", "block", "doc_id", "text"), percent), "links")
-    cut = members.where("blocks > 1").limit(1).count()
-    joined_up = components(links) if cut else links.select(F.col("b").alias("node"), F.col("a").alias("component"))
-
-    classes = classes.join(joined_up.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
+    members = materialise(classes.select(F.col("rep").alias("node"), "n", "h1", "h2", "sig").join(groups, "node").withColumnRenamed("node", "doc_id"), "members")
+    sizes = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    large = materialise(sizes.where((F.col("sets") > 2) & ((F.col("sets") > UNIT) | (F.col("shingles") > UNIT_SHINGLES))), "large")
+    n_large = large.count()  # at most one for each UNIT sets or UNIT_SHINGLES shingles
+    few = broadcast_if_small(members.select("doc_id").distinct(), members.count(), BROADCAST_ROWS)
+    texts = materialise(df.join(few, "doc_id"), "texts")
+
+    def with_texts(rows: DataFrame, count: int | None) -> DataFrame:
+        return texts.join(rows if count is None else broadcast_if_small(rows, count, BROADCAST_ROWS), "doc_id")
+
+    own = (F.col("doc_id").alias("label"), F.lit(False).alias("rest"), "h1", "h2")
+    large_ids = broadcast_if_small(large, n_large, BROADCAST_ROWS)
+    small = members.join(large_ids, "component", "left_anti").select(F.col("component").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc_id", *own)
+    first = small
+    if n_large:
+        big = materialise(members.join(large_ids, "component").withColumn("parts", _parts(F.col("sets"), F.col("shingles"))), "big")
+        centre = materialise(centres(big), "centres")
+        big = big.join(broadcast_if_small(centre, n_large, BROADCAST_ROWS), "component")
+        spread = big.where("doc_id = centre").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        others = big.where("doc_id <> centre").withColumn("i", _part("parts"))
+        for side, rows in ((0, spread), (1, others)):
+            first = first.union(rows.select(F.col("component").alias("unit"), F.col("i").cast("int"), F.lit(1).alias("j"), F.lit(side).alias("side"), "doc_id", *own))
+    first = materialise(first, "first")
+    links = materialise(linked(with_texts(first, first.count()), percent, keyed=False), "links")
+    if n_large:
+        # who is not connected with the centre is compared with those that share a key
+        at_centre = links.join(broadcast_if_small(centre, n_large, BROADCAST_ROWS), F.col("a") == F.col("centre"), "left_semi").select(F.col("b").alias("doc_id"), F.col("a").alias("to"))
+        state = big.join(at_centre, "doc_id", "left").select("doc_id", "n", "h1", "h2", F.coalesce("to", "doc_id").alias("label"), (F.col("to").isNull() & (F.col("doc_id") != F.col("centre"))).alias("rest"))
+        state = materialise(state, "state")
+        where = keys.withColumnRenamed("rep", "doc_id").join(state, "doc_id")
+        crowd = where.groupBy("key").agg(F.count_if("rest").alias("r"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("rn"), F.count("*").alias("m"), F.sum("n").alias("mn"), F.min("label").alias("x"), F.max("label").alias("y")).where("r > 0 and x <> y")
+        crowd = crowd.select(F.col("key").alias("unit"), _parts(F.col("r"), F.col("rn")).alias("ri"), _parts(F.col("m"), F.col("mn")).alias("mj"))
+        where = where.withColumnRenamed("key", "unit").join(crowd, "unit")
+        rest = where.where("rest").withColumn("i", _part("ri")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mj") - 1)))
+        all_ = where.withColumn("j", _part("mj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ri") - 1)))
+        rows = None
+        for side, part in ((0, rest), (1, all_)):
+            part = part.select("unit", "i", "j", F.lit(side).alias("side"), "doc_id", "label", "rest", "h1", "h2")
+            rows = part if rows is None else rows.union(part)
+        rows = materialise(rows, "rest")
+        if n_rows := rows.count():
+            links = links.union(materialise(linked(with_texts(rows, n_rows), percent, keyed=True), "more"))
+    together = materialise(components(links.union(several) if n_several else links), "together")
+
+    ids = together.withColumnRenamed("node", "rep")
+    classes = classes.join(ids, "rep", "left").where("copies > 1 or component is not null")
     classes = classes.select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = profile.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    own_id = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), own_id.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
