@@ -5,11 +5,15 @@ confirms the lengths it declares. The format that validates at offset 0 corrects
 a later offset is carved with its exact length.
 
 store_texts() stores texts losslessly as 8-bit samples: WAV (mono PCM), BMP or PNG (rows of 64 RGB pixels), by length.
-Null content has no type and no carved items; null text is empty and pads to 192 spaces. Equal inputs give equal outputs.
+Null content has no type and no carved items; null text is empty and pads to 192 spaces. Equal inputs give equal outputs, in
+repeated rows too. Texts are taken whole, however long; further columns are ignored, except those named in `keep`; an empty table
+gives an empty result. The automaton finds the marks that end an item as well, so repeated magic bytes don't make a text be
+searched again and again.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
@@ -17,6 +21,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from textloom.llm.common import slices, table
 
@@ -138,13 +143,29 @@ def _gzip(b: bytes, at: int) -> int:
         return 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+class Marks:
+    """Where the marks stand that end items of some formats: found by the automaton too, so that no validator searches for them."""
 
+    def __init__(self):
+        self.places: dict[bytes, list[int]] = {m: [] for m in MARKS}
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place from `at` on, or -1."""
+        places = self.places[mark]
+        k = bisect.bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+
+MARKS = (b"%%EOF", b"startxref", b"PK\x05\x06")
+
+
+def _pdf(b: bytes, at: int, marks: Marks) -> int:
+    end = marks.next(b"%%EOF", at)
+    return end + 5 - at if end > 0 and 0 < marks.next(b"startxref", at) < end else 0
+
+
+def _zip(b: bytes, at: int, marks: Marks) -> int:
+    end = marks.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -187,7 +208,7 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for k, (magic, *_) in enumerate(FORMATS):
+    for k, magic in enumerate([*(f[0] for f in FORMATS), *MARKS]):
         a.add_word(magic.decode("latin-1"), k)
     a.make_automaton()
     return a
@@ -200,14 +221,20 @@ def sniff_bytes(content: bytes | None) -> tuple[str | None, int, list[tuple[str,
     if not content:
         return None, 0, []
     kind, length, found, done = None, 0, [], 0
-    hits = sorted((end - len(FORMATS[k][0]) + 1 - FORMATS[k][1], k) for end, k in automaton().iter(content.decode("latin-1")))
-    for at, k in hits:
+    hits, marks = [], Marks()
+    for end, k in automaton().iter(content.decode("latin-1")):
+        if k < len(FORMATS):
+            hits.append((end - len(FORMATS[k][0]) + 1 - FORMATS[k][1], k))
+        else:
+            mark = MARKS[k - len(FORMATS)]
+            marks.places[mark].append(end - len(mark) + 1)
+    for at, k in sorted(hits):
         if at < 0 or at and at < done:
             continue
         _, lead, name, valid = FORMATS[k]
         if lead and content[at : at + 4] != b"RIFF":
             continue
-        if n := valid(content, at):
+        if n := valid(content, at, marks) if valid in (_pdf, _zip) else valid(content, at):
             if at == 0:
                 if kind is None:
                     kind, length = name, n
@@ -321,7 +348,8 @@ def sniff(df: DataFrame, content: str = "media", declared: str = "declared", kee
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "type string, type_corrected boolean, valid_bytes long, media_bytes long, media_sha256 string, carved " + CARVED + ", payload_bytes long, payload_sha256 string, tail_crc32 long"])
+    added = StructType.fromDDL("type string, type_corrected boolean, valid_bytes long, media_bytes long, media_sha256 string, carved " + CARVED + ", payload_bytes long, payload_sha256 string, tail_crc32 long")
+    schema = StructType([*kept.fields, *added.fields])
     return df.select(*keep, content, declared).mapInArrow(run, schema)
 
 
