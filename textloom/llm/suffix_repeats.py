@@ -28,6 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from textloom.llm.common import Rolling, broadcast_if_small, joined, materialise, mix, release, slices, table
 
@@ -440,9 +441,9 @@ def without_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, keep:
             n_bytes, n_removed, n_spans, sha, kept = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"])
+    out = StructType([*schema.fields, *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields])
     columns = list(dict.fromkeys([*keep, "doc_id", "text"]))
-    return df.select(*columns).join(few.select("doc_id", "blob"), "doc_id", "left").mapInArrow(run, ddl)
+    return df.select(*columns).join(few.select("doc_id", "blob"), "doc_id", "left").mapInArrow(run, out)
 
 
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
