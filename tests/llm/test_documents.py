@@ -304,3 +304,117 @@ def test_empty_and_null_tables(spark, docs, folder, op):
     folder(benchmark=[(1, None)])
     assert op(spark, docs([])).count() == 0
     assert op(spark, docs([(1, None), (2, None), (None, None), (None, "a b c d e f g")], lang=None)).count() == 4
+
+
+def test_media_is_what_was_stored(spark, docs):
+    rows = [(i, "x" * (192 * i + i)) for i in range(9)] + [(20, None), (21, "%PDF-1.4 startxref %%EOF"), (22, "GIF89a"), (23, prose(1, 50_000)), (23, prose(1, 50_000))]
+    out = op7_media_sniffing(spark, docs(rows, extra=True)).collect()
+    assert len(out) == len(rows)
+    text = dict(rows)
+    for r in out:
+        p = padded(text[r.doc_id])
+        name, write = (("audio/wav", to_wav), ("image/bmp", to_bmp), ("image/png", to_png))[len(p) // 192 % 3]
+        x = write(p)
+        carved = ["application/pdf@" + str(x.index(b"%PDF"))] if r.doc_id == 21 and name != "image/png" else []
+        said = name if len((text[r.doc_id] or "").encode()) % 3 else "application/octet-stream"
+        want = ";".join([name, "as declared" if said == name else "corrected", ",".join(carved)])
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(x), brute.sha(x), want)
+
+
+def test_many_beginnings_without_an_end_are_no_work():
+    import time
+
+    began = time.perf_counter()
+    assert sniff_bytes(b"%PDF-" * 200_000 + b"%%EOF")[0] is None
+    assert sniff_bytes(b"PK\x03\x04" * 200_000)[0] is None
+    assert time.perf_counter() - began < 10
+
+
+def brute_language(train, asked):
+    """The plain version: exact sets of n-grams instead of slots."""
+    import re
+    from collections import Counter
+
+    from textloom.llm import language_id as li
+
+    def grams(t):
+        low = (t if t.isascii() else t.lower()).encode()
+        low = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in low)
+        low = re.sub(b" +", b" ", b" " + low + b" ")
+        return [low[i : i + li.GRAM] for i in range(len(low) - li.GRAM + 1)]
+
+    n, texts = {}, Counter(g for _, g in train)
+    for t, g in train:
+        n.setdefault(g, Counter()).update(grams(t))
+    rate = {g: {x: k / sum(c.values()) for x, k in c.items()} for g, c in n.items()}
+    most = {}
+    for c in rate.values():
+        for x, r in c.items():
+            most[x] = max(most.get(x, 0), r)
+    has = {g: {x for x, r in c.items() if n[g][x] >= 2 and r >= li.RATIO * most[x]} for g, c in rate.items()}
+    out = []
+    for t in asked:
+        if not any(map(str.isalpha, t or "")):
+            out.append((li.UNKNOWN, 0.0))
+            continue
+        gs = grams(t)
+        found = {g: sum(x in s for x in gs) for g, s in sorted(has.items())}
+        best = max(found, key=lambda g: found[g], default=None)
+        out.append((best, found[best] / len(gs)) if best is not None and found[best] else (min(texts, key=lambda g: (-texts[g], g), default=li.UNKNOWN), 0.0))
+    return out
+
+
+SAID = {"en": "the and of that is with house water", "de": "der die und das ist nicht haus wasser", "fr": "le la les et est dans maison eau", "it": "il lo gli che non casa acqua ed"}
+
+
+def speech(seed, lang, n=40):
+    r = random.Random(seed)
+    return " ".join(r.choice(SAID[lang].split()) for _ in range(n))
+
+
+def test_language_is_that_of_the_plain_version(spark, docs, monkeypatch):
+    from textloom.llm import language_id as li
+
+    rows = [(i, speech(i, list(SAID)[i % 4]), list(SAID)[i % 4]) for i in range(200)]
+    asked = [t for _, t, _ in rows] + [None, "", "12 !", "x", "É", "the" * 50_000, speech(1, "en", 30_000), "the the", "qqqqq zzzzz"] * 2
+    train = [(t, g) for _, t, g in rows]
+    model = li.fit(spark.createDataFrame(train, "text string, lang string"))
+    counted = [r.text for r in spark.createDataFrame(train, "text string, lang string").select("text").distinct().where("pmod(xxhash64(text, 'calibration'), 10) <> 0").collect()]
+    lang, score, accepted = model.predict(asked)
+    want = brute_language([(t, g) for t, g in train if t in counted], asked)
+    assert lang == [g for g, _ in want]
+    assert max(abs(a - b) for a, (_, b) in zip(score, want)) < 0.02
+    assert accepted[:200] == [True] * 200 and accepted[200:209] == [False, False, False, True, True, accepted[205], True, True, True]
+    gibberish = " ".join("xqzjkwv"[i % 7] + "kjqxz"[i % 5] + "wvxq" for i in range(60))
+    assert model.predict([gibberish])[2] == [False]
+
+
+def test_language_of_very_many(spark):
+    from textloom.llm import language_id as li
+
+    r = random.Random(9)
+    words = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(8)] for k in range(150)}
+    rows = [(" ".join(r.choice(ws) for _ in range(30)), g) for g, ws in words.items() for _ in range(4)]
+    model = li.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.table.shape[0] == 3 and model.predict([t for t, _ in rows])[0] == [g for _, g in rows]
+
+
+def test_language_sample_keeps_rare_languages(spark):
+    from textloom.llm import language_id as li
+
+    assert li.rates({"a": 1000, "b": 10}, 100) == {"b": 1.0, "a": 0.09}
+    rows = [(speech(i, "en"), "en") for i in range(300)] + [(speech(i, "de"), "de") for i in range(20)]
+    model = li.fit(spark.createDataFrame(rows, "text string, lang string").repartition(7), fit_texts=60)
+    again = li.fit(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(3), fit_texts=60)
+    assert (model.table == again.table).all() and model.predict([speech(999, "de"), speech(999, "en")])[0] == ["de", "en"]
+
+
+def test_language_without_labels(spark, docs):
+    out = op3_language_id(spark, docs([(1, "some text"), (2, "1"), (3, None)], lang=None)).collect()
+    assert {(r.doc_id, r.lang_pred, r.score, r.accepted) for r in out} == {(1, "und", 0.0, True), (2, "und", 0.0, False), (3, "und", 0.0, False)}
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    out = op3_language_id(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert len(out) > 100 and sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out)
