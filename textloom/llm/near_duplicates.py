@@ -10,7 +10,8 @@ No pairs are written out. The sets that share keys form groups, through the smal
 * a group of at most UNIT sets is resolved at once, in one place;
 * in a larger one the set nearest to the group's most common symbols is compared with all others, a part of UNIT of them at a
   time. Most of a large group of copies hangs together by that. The sets left over are compared with those that share a key with
-  them, bucket by bucket, and large buckets block by block. A pair is looked at in the first bucket it shares only.
+  them, bucket by bucket (a pair in the first bucket it shares only) or throughout the group, whichever takes fewer rows, and block by
+  block.
 So neither a task's memory nor its time depends on the size of a group. Links are joined by connected components.
 
 Rows: null and empty texts, and texts without words, have 0 shingles and link with nothing. Rows without doc_id link with nothing,
@@ -154,11 +155,15 @@ def bucket_keys(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
+#: What is compared in a unit: all sets; those that share a key; those whose first shared key is the unit's.
+ALL, GROUP, BUCKET = 0, 1, 2
+
+
 class Unit:
-    """What is compared in one place: the sets of side 0 with each other, or, by a key, with those of side 1."""
+    """What is compared in one place: the sets of side 0 with each other in mode ALL, and with those of side 1."""
 
-    def __init__(self, keyed: bool, percent: int):
-        self.keyed, self.percent = keyed, percent
+    def __init__(self, mode: int, percent: int):
+        self.mode, self.percent = mode, percent
         self.held: list[tuple] = []
         self.up: dict[int, int] = {}
 
@@ -197,40 +202,41 @@ class Unit:
                     yield doc, o[0]
 
     def meet(self, others: list[tuple], key: np.uint64):
-        """Links of what is held with the others; by key, only in the first bucket of a pair, and one way round of two left over."""
-        if self.keyed and others:
+        """Links of what is held with the others; of two sets left over one way round only."""
+        if self.mode != ALL:
             docs, rest, keys = np.array([o[0] for o in others]), np.array([o[2] for o in others]), np.array([o[4] for o in others])
         for x in self.held:
             ask = others
-            if self.keyed and others:
-                ok = keys[np.arange(len(others)), (keys == x[4]).argmax(axis=1)] == key
+            if self.mode != ALL:
+                same = keys == x[4]
+                ok = same.any(axis=1) if self.mode == GROUP else keys[np.arange(len(others)), same.argmax(axis=1)] == key
                 ask = [others[i] for i in np.flatnonzero(ok & ~(rest & (docs < x[0])))]
             yield from self.compare(x, ask)
 
 
-def linked(rows: DataFrame, percent: int, keyed: bool) -> DataFrame:
-    """(a, b): links from rows (unit, i, j, side, doc_id, label, rest, h1, h2, text) that connect what no equal labels connect."""
+def linked(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links from rows (unit, i, j, side, mode, doc_id, label, rest, h1, h2, text) that connect what no equal labels connect."""
 
     def run(batches):
-        now, unit = None, Unit(keyed, percent)
+        now, unit = None, Unit(ALL, percent)
         for batch in slices(batches):
             one, two, at = shingle_sets(batch.column("text"))
             h = set_hashes(one, two, at)
-            keys = chunk_keys(signatures(one, at)) if keyed else None
-            cols = [batch.column(c).to_pylist() for c in ("unit", "i", "j", "side", "doc_id", "label", "rest", "h1", "h2")]
+            cols = [batch.column(c).to_pylist() for c in ("unit", "i", "j", "side", "mode", "doc_id", "label", "rest", "h1", "h2")]
+            keys = chunk_keys(signatures(one, at)) if any(cols[4]) else None
             found, waiting = [], []
-            for k, (u, i, j, side, doc, label, rest, h1, h2) in enumerate(zip(*cols, strict=True)):
+            for k, (u, i, j, side, mode, doc, label, rest, h1, h2) in enumerate(zip(*cols, strict=True)):
                 if h[0, k] != h1 or h[1, k] != h2:
                     continue  # another text of the same id, with a place of its own
                 if now != (u, i, j):
                     if waiting:
                         found += unit.meet(waiting, np.int64(now[0]).view(np.uint64))
-                    now, unit, waiting = (u, i, j), Unit(keyed, percent), []
-                me = (doc, label, rest, (one[at[k] : at[k + 1]].copy(), two[at[k] : at[k + 1]].copy()), keys[k] if keyed else None)
+                    now, unit, waiting = (u, i, j), Unit(mode, percent), []
+                me = (doc, label, rest, (one[at[k] : at[k + 1]].copy(), two[at[k] : at[k + 1]].copy()), keys[k] if mode else None)
                 if side:
                     waiting.append(me)
                 else:
-                    if not keyed:
+                    if not mode:
                         found += unit.compare(me, unit.held)
                     unit.held.append(me)
             if waiting:
@@ -249,12 +255,13 @@ def _part(of: str):
     return F.pmod(F.xxhash64("doc_id"), F.col(of)).cast("int")
 
 
-def centres(members: DataFrame) -> DataFrame:
+def centres(members: DataFrame, n_groups: int) -> DataFrame:
     """(component, centre): of each group the set whose signature is nearest to the group's most common symbols."""
     symbols = members.select("component", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), lambda k: F.substring("sig", 2 * k + 1, F.lit(2)))).alias("k", "s"))
     common = symbols.groupBy("component", "k", "s").agg(F.count("*").alias("n")).groupBy("component", "k").agg(F.max(F.struct("n", "s"))["s"].alias("s"))
     common = common.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("common"))
     equal = lambda k, s: (F.substring("sig", 2 * k + 1, F.lit(2)) == s).cast("int")
+    common = broadcast_if_small(materialise(common, "common"), n_groups, BROADCAST_ROWS // 10)
     near = members.join(common, "component").select("component", "doc_id", F.aggregate(F.transform("common", lambda s, k: equal(k, s)), F.lit(0), lambda a, x: a - x).alias("d"))
     return near.groupBy("component").agg(F.min(F.struct("d", "doc_id"))["doc_id"].alias("centre"))
 
@@ -288,36 +295,47 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     own = (F.col("doc_id").alias("label"), F.lit(False).alias("rest"), "h1", "h2")
     large_ids = broadcast_if_small(large, n_large, BROADCAST_ROWS)
-    small = members.join(large_ids, "component", "left_anti").select(F.col("component").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc_id", *own)
+    small = members.join(large_ids, "component", "left_anti").select(F.col("component").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.lit(ALL).alias("mode"), "doc_id", *own)
     first = small
     if n_large:
         big = materialise(members.join(large_ids, "component").withColumn("parts", _parts(F.col("sets"), F.col("shingles"))), "big")
-        centre = materialise(centres(big), "centres")
+        centre = materialise(centres(big, n_large), "centres")
         big = big.join(broadcast_if_small(centre, n_large, BROADCAST_ROWS), "component")
         spread = big.where("doc_id = centre").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         others = big.where("doc_id <> centre").withColumn("i", _part("parts"))
         for side, rows in ((0, spread), (1, others)):
-            first = first.union(rows.select(F.col("component").alias("unit"), F.col("i").cast("int"), F.lit(1).alias("j"), F.lit(side).alias("side"), "doc_id", *own))
+            first = first.union(rows.select(F.col("component").alias("unit"), F.col("i").cast("int"), F.lit(1).alias("j"), F.lit(side).alias("side"), F.lit(ALL).alias("mode"), "doc_id", *own))
     first = materialise(first, "first")
-    links = materialise(linked(with_texts(first, first.count()), percent, keyed=False), "links")
+    links = materialise(linked(with_texts(first, first.count()), percent), "links")
     if n_large:
-        # who is not connected with the centre is compared with those that share a key
+        # who is not connected with the centre is compared with those that share a key: bucket by bucket, or, where the same sets
+        # meet in very many buckets, throughout the group; of the two what takes fewer rows
         at_centre = links.join(broadcast_if_small(centre, n_large, BROADCAST_ROWS), F.col("a") == F.col("centre"), "left_semi").select(F.col("b").alias("doc_id"), F.col("a").alias("to"))
-        state = big.join(at_centre, "doc_id", "left").select("doc_id", "n", "h1", "h2", F.coalesce("to", "doc_id").alias("label"), (F.col("to").isNull() & (F.col("doc_id") != F.col("centre"))).alias("rest"))
+        state = big.join(at_centre, "doc_id", "left").select("doc_id", "component", "n", "h1", "h2", F.coalesce("to", "doc_id").alias("label"), (F.col("to").isNull() & (F.col("doc_id") != F.col("centre"))).alias("rest"))
         state = materialise(state, "state")
         where = keys.withColumnRenamed("rep", "doc_id").join(state, "doc_id")
-        crowd = where.groupBy("key").agg(F.count_if("rest").alias("r"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("rn"), F.count("*").alias("m"), F.sum("n").alias("mn"), F.min("label").alias("x"), F.max("label").alias("y")).where("r > 0 and x <> y")
-        crowd = crowd.select(F.col("key").alias("unit"), _parts(F.col("r"), F.col("rn")).alias("ri"), _parts(F.col("m"), F.col("mn")).alias("mj"))
-        where = where.withColumnRenamed("key", "unit").join(crowd, "unit")
-        rest = where.where("rest").withColumn("i", _part("ri")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mj") - 1)))
-        all_ = where.withColumn("j", _part("mj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ri") - 1)))
+        crowds = [
+            rows.groupBy(F.col(by).alias("unit")).agg(F.first("component").alias("of"), F.count_if("rest").alias("r"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("rn"), F.count("*").alias("m"), F.sum("n").alias("mn"), F.min("label").alias("x"), F.max("label").alias("y"))
+            .where("r > 0 and x <> y")
+            .withColumn("ri", _parts(F.col("r"), F.col("rn")))
+            .withColumn("mj", _parts(F.col("m"), F.col("mn")))
+            .withColumn("cost", F.col("r") * F.col("mj") + F.col("m") * F.col("ri"))
+            for by, rows in (("key", where), ("component", state))
+        ]
+        crowds = [materialise(c.select("unit", "of", "ri", "mj", "cost"), "crowds") for c in crowds]
+        by_bucket = crowds[0].groupBy("of").agg(F.sum("cost").alias("all")).join(crowds[1].select("of", "cost"), "of").where("all < cost").select("of")
+        by_bucket = broadcast_if_small(materialise(by_bucket, "by_bucket"), n_large, BROADCAST_ROWS)
         rows = None
-        for side, part in ((0, rest), (1, all_)):
-            part = part.select("unit", "i", "j", F.lit(side).alias("side"), "doc_id", "label", "rest", "h1", "h2")
-            rows = part if rows is None else rows.union(part)
+        for mode, by, source, crowd, how in ((BUCKET, "key", where, crowds[0], "left_semi"), (GROUP, "component", state, crowds[1], "left_anti")):
+            met = source.withColumn("unit", F.col(by)).join(crowd.join(by_bucket, "of", how).select("unit", "ri", "mj"), "unit")
+            rest = met.where("rest").withColumn("i", _part("ri")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mj") - 1)))
+            every = met.withColumn("j", _part("mj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ri") - 1)))
+            for side, part in ((0, rest), (1, every)):
+                part = part.select("unit", "i", "j", F.lit(side).alias("side"), F.lit(mode).alias("mode"), "doc_id", "label", "rest", "h1", "h2")
+                rows = part if rows is None else rows.union(part)
         rows = materialise(rows, "rest")
         if n_rows := rows.count():
-            links = links.union(materialise(linked(with_texts(rows, n_rows), percent, keyed=True), "more"))
+            links = links.union(materialise(linked(with_texts(rows, n_rows), percent), "more"))
     together = materialise(components(links.union(several) if n_several else links), "together")
 
     ids = together.withColumnRenamed("node", "rep")
