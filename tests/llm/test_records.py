@@ -9,34 +9,57 @@ from ..oracle import assert_same
 from . import brute
 
 
-def test_capture_index(spark, folder):
-    rows = [(i, f"http://h{i % 3}.org/p?q={i}#x", f"<p>{'page ' * 30}{i % 7}</p>" + ("é\r\n\r\nWARC/1.1\r\n" if i % 2 else "")) for i in range(60)]
-    rows += [(100, None, None), (101, "", ""), (102, "http://a/\r\nX: y", "short"), (103, "no scheme", "short"), (104, "http://big/", "z" * 300_000), (105, "http://big/", "z" * 300_000)]
-    sf = folder(True, pages=rows)
-    out = {r.page_id: r for r in ci.op1_capture_index(spark, sf).collect()}
+CAPTURES = [(i, f"http://h{i % 3}.org/p?q={i}#x", f"<p>{'page ' * 30}{i % 7}</p>" + ("é\r\n\r\nWARC/1.1\r\n" if i % 2 else "")) for i in range(60)]
+CAPTURES += [(100, None, None), (101, "", ""), (102, "http://a/\r\nX: y", "short"), (103, "no scheme", "short"), (104, "http://big/", "z" * 300_000), (105, "http://big/", "z" * 300_000), (105, "http://big/", "z" * 300_000), (None, "http://big/", "z" * 300_000), (None, "http://x/", "q" * 200), (106, "HTTP://H1.ORG/", "<p>\0</p>")]
+
+
+@pytest.mark.parametrize("run_bytes, task_rows", [(32 << 20, 200_000), (1, 7), (5_000, 10)])
+def test_capture_index(spark, folder, monkeypatch, run_bytes, task_rows):
+    monkeypatch.setattr(ci, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(ci, "TASK_ROWS", task_rows)
+    sf = folder(True, pages=CAPTURES)
+    out = sorted((tuple(r) for r in ci.op1_capture_index(spark, sf).collect()), key=lambda r: r[5])
     first = {}
-    for p, _, h in rows:
-        first.setdefault(h or "", p)
-    for p, _, h in rows:
+    for p, _, h in CAPTURES:
+        if p is not None:
+            first.setdefault(h or "", p)
+    want = []
+    for p, u, h in CAPTURES:
         b = (h or "").encode()
-        again = len(b) >= 100 and first[h or ""] != p
-        assert tuple(out[p]) == (p, len(b), brute.sha(b), "revisit" if again else "response", first[h or ""] if again else None)
+        again = len(b) >= 100 and (h or "") in first and first[h or ""] != p
+        key = ci.key_of((u or "").replace("\r", "%0D").replace("\n", "%0A"))
+        want.append(((key, p is not None, p or 0), (p, len(b), brute.sha(b), "revisit" if again else "response", first[h or ""] if again else None)))
+    assert [r[:5] for r in out] == [w for _, w in sorted(want, key=lambda x: x[0])]
+    assert [r[5] for r in out] == list(range(len(CAPTURES)))
 
 
-def test_history_is_ordered(spark, folder, tmp_path):
+def test_archives_hold_what_they_say(spark, folder, tmp_path):
+    path = "file://" + str(tmp_path / "w")
+    pages = spark.createDataFrame(CAPTURES, "page_id long, url string, html string").withColumn("captured", F.timestamp_seconds(F.lit(1_700_000_000)))
+    ci.write_archives(pages.repartition(3), path)
+    html = {p: h or "" for p, _, h in CAPTURES}
+    for r in ci.capture_history(spark, path).collect():
+        with open(r.run.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            ((_, n, head, http, payload),) = ci.records(f.read(r.length))
+        assert n == r.length and head["WARC-Type"] == r.record_type and int(http["Content-Length"]) == r.payload_bytes
+        assert payload == (b"" if r.record_type == "revisit" else html[r.page_id].encode())
+
+
+def test_history_is_ordered_by_the_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ci, "TASK_ROWS", 30)
     r = random.Random(2)
     pages = spark.createDataFrame([(i, f"http://{r.choice('abc')}.org/{r.randrange(5)}", "x" * i) for i in range(200)], "page_id long, url string, html string").withColumn("captured", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") % 50)).repartition(5)
     path = "file://" + str(tmp_path / "w")
     ci.write_archives(pages, path)
-    rows = ci.capture_history(spark, path)
-    parts = ci.merge_runs(index := ci.read_archives(spark, path).cache(), index.count()).select(F.spark_partition_id().alias("p"), "place", "url_key", "captured", "page_id").collect()
-    order = [(x.url_key, x.captured, x.page_id) for x in sorted(parts, key=lambda x: (x.p, x.place))]
-    assert order == sorted(order) and rows.count() == 200
-    one = index.first()
-    with open(one.run.removeprefix("file:"), "rb") as f:
-        f.seek(one.offset)
-        (_, n, head, payload), *_ = ci.records(f.read(one.length))
-    assert n == one.length and len(payload) == one.payload_bytes and f"urn:page:{one.page_id}>" in head["WARC-Record-ID"]
+    rows = sorted(ci.capture_history(spark, path).collect(), key=lambda x: x.place)
+    order = [(x.url_key, x.captured, x.page_id) for x in rows]
+    assert order == sorted(order) and [x.place for x in rows] == list(range(200))
+    index = ci.read_archives(spark, path).cache()
+    assert ci.segments(index, ci.splitters(index, 200)).select("range").distinct().count() > 3
+    monkeypatch.setattr(ci, "loser_tree_merge", lambda runs: (x for run in runs for x in run))  # without the merge there is no order
+    rows = sorted(ci.capture_history(spark, path).collect(), key=lambda x: x.place)
+    assert [(x.url_key, x.captured, x.page_id) for x in rows] != order
 
 
 def test_loser_tree():
