@@ -34,6 +34,8 @@ WORDS = 5
 PERCENT = 85
 #: So many sets, and about so many shingles, are compared with each other in one place.
 UNIT, UNIT_SHINGLES = 64, 400_000
+#: What is left of a large group is compared in blocks of so many sets.
+BLOCK = 256
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
@@ -247,8 +249,8 @@ def linked(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "side").mapInArrow(run, "a long, b long")
 
 
-def _parts(rows, n):
-    return F.greatest(F.ceil(rows / UNIT), F.ceil(n / UNIT_SHINGLES), F.lit(1)).cast("int")
+def _parts(rows, n, most):
+    return F.greatest(F.ceil(rows / most), F.ceil(n / UNIT_SHINGLES), F.lit(1)).cast("int")
 
 
 def _part(of: str):
@@ -298,7 +300,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     small = members.join(large_ids, "component", "left_anti").select(F.col("component").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.lit(ALL).alias("mode"), "doc_id", *own)
     first = small
     if n_large:
-        big = materialise(members.join(large_ids, "component").withColumn("parts", _parts(F.col("sets"), F.col("shingles"))), "big")
+        big = materialise(members.join(large_ids, "component").withColumn("parts", _parts(F.col("sets"), F.col("shingles"), UNIT)), "big")
         centre = materialise(centres(big, n_large), "centres")
         big = big.join(broadcast_if_small(centre, n_large, BROADCAST_ROWS), "component")
         spread = big.where("doc_id = centre").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -313,12 +315,14 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
         at_centre = links.join(broadcast_if_small(centre, n_large, BROADCAST_ROWS), F.col("a") == F.col("centre"), "left_semi").select(F.col("b").alias("doc_id"), F.col("a").alias("to"))
         state = big.join(at_centre, "doc_id", "left").select("doc_id", "component", "n", "h1", "h2", F.coalesce("to", "doc_id").alias("label"), (F.col("to").isNull() & (F.col("doc_id") != F.col("centre"))).alias("rest"))
         state = materialise(state, "state")
-        where = keys.withColumnRenamed("rep", "doc_id").join(state, "doc_id")
+        open_ = state.groupBy("component").agg(F.count_if("rest").alias("r"), F.min("label").alias("x"), F.max("label").alias("y")).where("r > 0 and x <> y").select("component")
+        state = state.join(broadcast_if_small(open_, n_large, BROADCAST_ROWS), "component", "left_semi")
+        where = materialise(keys.withColumnRenamed("rep", "doc_id").join(state, "doc_id"), "where")
         crowds = [
             rows.groupBy(F.col(by).alias("unit")).agg(F.first("component").alias("of"), F.count_if("rest").alias("r"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("rn"), F.count("*").alias("m"), F.sum("n").alias("mn"), F.min("label").alias("x"), F.max("label").alias("y"))
             .where("r > 0 and x <> y")
-            .withColumn("ri", _parts(F.col("r"), F.col("rn")))
-            .withColumn("mj", _parts(F.col("m"), F.col("mn")))
+            .withColumn("ri", _parts(F.col("r"), F.col("rn"), BLOCK))
+            .withColumn("mj", _parts(F.col("m"), F.col("mn"), BLOCK))
             .withColumn("cost", F.col("r") * F.col("mj") + F.col("m") * F.col("ri"))
             for by, rows in (("key", where), ("component", state))
         ]
