@@ -5,7 +5,8 @@ one with the smallest id stays; bytes of strings of 100 or more that also occur
 of the benchmark go; what is left is encoded.
 
 Null and empty texts, and texts without a letter, are in no language and go first. Rows with equal doc_id are one document: what a
-stage decides of it holds for all its rows. Rows without doc_id are judged for their language only. Where lang is null it becomes
+stage decides of it holds for all its rows, but language and benchmark passages are judged row by row. Rows without doc_id are
+not compared with others. Where lang is null it becomes
 the language found. Further columns, of any name, are carried through all stages but the last. Empty tables give empty results.
 """
 
@@ -51,8 +52,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", "text")
+    clean = decontaminate(whole, table(spark, sf_dir, "benchmark"), keep=("doc",)).where("not contaminated")
+    return clean.select(*(F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
