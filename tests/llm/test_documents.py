@@ -64,6 +64,7 @@ def test_near_duplicates_at_eighty(spark, docs, corpus):
 @pytest.mark.parametrize("unit", [1, 3, 8])
 def test_near_duplicates_of_large_groups(spark, docs, corpus, monkeypatch, unit):
     monkeypatch.setattr(nd, "UNIT", unit)
+    monkeypatch.setattr(nd, "BLOCK", unit)
     monkeypatch.setattr(nd, "BROADCAST_ROWS", -1)
     one = prose(31, 150)
     chain = [one]
@@ -174,12 +175,29 @@ def test_decontamination_without_broadcasts(spark, docs, folder, corpus, monkeyp
     from textloom.llm import decontamination
 
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)
-    items = [(1, prose(77, 60)), (2, corpus[3][1][40:300]), (3, "alpha3 of4")]
+    items = [(1, prose(77, 60)), (2, corpus[3][1][40:300]), (3, "alpha3 of4"), (4, corpus[3][1][40:300])]
     folder(benchmark=items)
     out = got(op4_decontamination(spark, docs(corpus)))
     assert {d: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for d, r in out.items()} == brute.decontaminated(corpus, items)
 
 
+def test_decontamination_of_each_row_by_its_own_text(spark, docs, folder):
+    item, long = prose(77, 40), prose(5, 30_000)
+    folder(benchmark=[(1, item), (None, item), (2, item + " more"), (3, "a a a a a a a a a a a a"), (4, "lone words here")])
+    texts = [(1, item), (1, "clean"), (None, item), (None, "x"), (2, long + " " + item + " " + long), (3, "a " * 500), (4, "LONE words, here! lone words"), (5, item), (5, item), (6, None)]
+    out = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in op4_decontamination(spark, docs(texts, extra=True)).collect())
+    want = sorted((str(d), w, h, k, c) for d, t in texts for w, h, k, _, c in brute.decontaminated([(d, t)], [(1, item), (None, item), (2, item + " more"), (3, "a " * 12), (4, "lone words here")]).values())
+    assert out == want
+
+
+def test_fingerprints_are_thin_and_whole(spark):
+    from textloom.llm.decontamination import fingerprinted
+
+    df = fingerprinted(spark.createDataFrame([(1, prose(3, 2000))], "doc_id long, text string"), 10)
+    places = [x.p for x in df.select("prints").first().prints]
+    assert 0.2 < len(places) / 2000 < 0.4 and all(b - a <= 6 for a, b in zip(places, places[1:])) and places[0] <= 5 and places[-1] >= 1990
+
+
 def test_decontamination_without_items(spark, docs, folder):
     folder(benchmark=[])
     assert all(not r.contaminated and r.n_items == 0 for r in op4_decontamination(spark, docs(ODD)).collect())
