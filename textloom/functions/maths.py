@@ -125,6 +125,30 @@ def permutations(n: Column, k: Column) -> Column:
     return F.round(F.exp(log_factorial(n) - log_factorial(n - k))).cast("long")
 
 
+def log_binomial(n: Column, k: Column, p: Column) -> Column:
+    """The log of the chance of k in n."""
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(p) + (n - k) * F.log(1 - p)
+
+
+def binomial_cdf(n: Column, k: Column, p: Column) -> Column:
+    """The chance of at most k in n, from the ratios of neighbouring terms."""
+    zero = F.struct(F.pow(1 - p, n).alias("term"), F.pow(1 - p, n).alias("sum"))
+
+    def more(a, i):
+        term = a["term"] * (n - i + 1) / i * p / (1 - p)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    return F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")), zero, more)["sum"]
+
+
+def normal_cdf(x: Column) -> Column:
+    """By the error function's rational approximation, to 1.5e-7."""
+    z = F.abs(x) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = poly(t, [0.0, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]) * F.exp(-z * z) / 2
+    return F.when(x < 0, tail).otherwise(1 - tail)
+
+
 # bags
 
 
