@@ -36,6 +36,7 @@ PERCENT = 85
 UNIT, UNIT_SHINGLES = 64, 400_000
 #: What is left of a large group is compared in blocks of so many sets.
 BLOCK = 256
+PER_SET = SYMBOLS
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
@@ -315,20 +316,20 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
         at_centre = links.join(broadcast_if_small(centre, n_large, BROADCAST_ROWS), F.col("a") == F.col("centre"), "left_semi").select(F.col("b").alias("doc_id"), F.col("a").alias("to"))
         state = big.join(at_centre, "doc_id", "left").select("doc_id", "component", "n", "h1", "h2", F.coalesce("to", "doc_id").alias("label"), (F.col("to").isNull() & (F.col("doc_id") != F.col("centre"))).alias("rest"))
         state = materialise(state, "state")
-        open_ = state.groupBy("component").agg(F.count_if("rest").alias("r"), F.min("label").alias("x"), F.max("label").alias("y")).where("r > 0 and x <> y").select("component")
-        state = state.join(broadcast_if_small(open_, n_large, BROADCAST_ROWS), "component", "left_semi")
-        where = materialise(keys.withColumnRenamed("rep", "doc_id").join(state, "doc_id"), "where")
-        crowds = [
-            rows.groupBy(F.col(by).alias("unit")).agg(F.first("component").alias("of"), F.count_if("rest").alias("r"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("rn"), F.count("*").alias("m"), F.sum("n").alias("mn"), F.min("label").alias("x"), F.max("label").alias("y"))
-            .where("r > 0 and x <> y")
-            .withColumn("ri", _parts(F.col("r"), F.col("rn"), BLOCK))
-            .withColumn("mj", _parts(F.col("m"), F.col("mn"), BLOCK))
-            .withColumn("cost", F.col("r") * F.col("mj") + F.col("m") * F.col("ri"))
-            for by, rows in (("key", where), ("component", state))
-        ]
-        crowds = [materialise(c.select("unit", "of", "ri", "mj", "cost"), "crowds") for c in crowds]
-        by_bucket = crowds[0].groupBy("of").agg(F.sum("cost").alias("all")).join(crowds[1].select("of", "cost"), "of").where("all < cost").select("of")
+        def crowded(rows: DataFrame, by: str) -> DataFrame:
+            met = rows.groupBy(F.col(by).alias("unit")).agg(F.first("component").alias("of"), F.count_if("rest").alias("r"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("rn"), F.count("*").alias("m"), F.sum("n").alias("mn"), F.min("label").alias("x"), F.max("label").alias("y")).where("r > 0 and x <> y")
+            met = met.withColumn("ri", _parts(F.col("r"), F.col("rn"), BLOCK)).withColumn("mj", _parts(F.col("m"), F.col("mn"), BLOCK))
+            return materialise(met.withColumn("cost", F.col("r") * F.col("mj") + F.col("m") * F.col("ri")).select("unit", "of", "m", "ri", "mj", "cost"), "crowds")
+
+        whole = crowded(state, "component")
+        # a group that takes no more rows for each set than the set has keys needs no look at its buckets
+        costly = whole.where(F.col("cost") > PER_SET * F.col("m")).select(F.col("of").alias("component"))
+        costly = broadcast_if_small(materialise(costly, "costly"), n_large, BROADCAST_ROWS)
+        where = materialise(keys.withColumnRenamed("rep", "doc_id").join(state.join(costly, "component", "left_semi"), "doc_id"), "where")
+        buckets = crowded(where, "key")
+        by_bucket = buckets.groupBy("of").agg(F.sum("cost").alias("all")).join(whole.select("of", "cost"), "of").where("all < cost").select("of")
         by_bucket = broadcast_if_small(materialise(by_bucket, "by_bucket"), n_large, BROADCAST_ROWS)
+        crowds = [buckets, whole]
         rows = None
         for mode, by, source, crowd, how in ((BUCKET, "key", where, crowds[0], "left_semi"), (GROUP, "component", state, crowds[1], "left_anti")):
             met = source.withColumn("unit", F.col(by)).join(crowd.join(by_bucket, "of", how).select("unit", "ri", "mj"), "unit")
