@@ -65,6 +65,7 @@ def test_near_duplicates_at_eighty(spark, docs, corpus):
 def test_near_duplicates_of_large_groups(spark, docs, corpus, monkeypatch, unit):
     monkeypatch.setattr(nd, "UNIT", unit)
     monkeypatch.setattr(nd, "BLOCK", unit)
+    monkeypatch.setattr(nd, "PER_SET", 0 if unit < 8 else 40)
     monkeypatch.setattr(nd, "BROADCAST_ROWS", -1)
     one = prose(31, 150)
     chain = [one]
