@@ -65,3 +65,24 @@ def test_sentences_and_hyphens(spark):
     words = [r.string for r in sg.dehyphenate(toks, spark.createDataFrame([("zzz",)], "phrase string")).orderBy("pos").collect()]
     assert "coop" in words and words.count("coop") == 2
     assert [r[0] for r in spark.createDataFrame([("’",), ("“",), ("US$",), ("–",)], "s string").select(sg.normal_form(F.col("s"))).collect()] == ["'", '"', "$", "--"]
+
+
+def test_sentences_in_the_worker_are_those_of_the_windows(spark):
+    from textloom.functions import segmentation as sg
+
+    texts = ["One. Two! (Three.) four. \"Five.\" Six", "no end", "", None, "A.\n\n\n\n\n\n\n\n\n\n\n\nb c", "Dr. x y... Été. été 12. 13", "a.b. C?? ) D"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = sg.sentences_of(sg.tokens_of(docs)).select("doc_id", "pos", "sent").collect()
+    two = sg.tokens_of(docs, sentences=True).select("doc_id", "pos", "sent").collect()
+    assert sorted(one) == sorted(two) and len({r.sent for r in two}) > 3
+
+
+def test_windows_in_arrays_are_those_over_rows(spark):
+    from textloom.operators import tokens as tk
+
+    docs = spark.createDataFrame([(1, "a b c d a b"), (2, "x"), (3, ""), (4, None)], "doc_id long, text string")
+    toks = tk.tokens(docs)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(tk.neighbours(toks, (-2, 1))) == rows(tk.neighbours_in(docs, (-2, 1)))
+    assert rows(tk.conjunctions(toks, -1, 1)) == rows(tk.conjunctions_in(docs, -1, 1))
+    assert rows(tk.window_bag(toks, 2, 1)) == rows(tk.bags_in(docs, 2, 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 import pyarrow as pa
@@ -63,8 +64,34 @@ def token_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b, "string": s} for a, b, s in tokenize(t)])
 
 
-def tokens_of(docs: DataFrame, text: str = "text") -> DataFrame:
+def _kind(t: str) -> int:
+    """0 a lower-case word, 1 another word or number, 2 closing punctuation, 3 what may close after it, 4 anything else."""
+    c = t[0]
+    if "a" <= c <= "z" or c > "\x7f" and unicodedata.category(c) == "Ll":
+        return 0
+    if c.isascii() and c.isalnum() or c > "\x7f" and unicodedata.category(c)[0] in "LN":
+        return 1
+    if c in ".!?" and not t.strip(".!?") or t == "…":
+        return 2
+    return 3 if not t.strip("\"”’')]") else 4
+
+
+def sentence_numbers(found: list[tuple[int, int, str]]) -> list[int]:
+    """The sentence of each token of a text, by the rule of sentences_of()."""
+    out, sent, b, b2, last = [], 0, 4, 4, None
+    for start, end, string in found:
+        k = _kind(string)
+        closed = b == 2 or b == 3 and b2 == 2
+        if last is not None and (closed and k not in (0, 2, 3) or start - last > 10):
+            sent += 1
+        out.append(sent)
+        b, b2, last = k, b, end
+    return out
+
+
+def tokens_of(docs: DataFrame, text: str = "text", sentences: bool = False) -> DataFrame:
     """The other columns of docs, then pos, start, end, string, a row per token: every string is the text between its offsets.
+    With `sentences` also sent, the sentence's number, found where the text is cut, so that no token is shuffled for it.
 
     Tokens go to Spark as flat Arrow columns; the other columns are repeated by index."""
     keep = [c for c in docs.columns if c != text]
@@ -73,7 +100,7 @@ def tokens_of(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                row, pos, start, end, string = [], [], [], [], []
+                row, pos, start, end, string, sent = [], [], [], [], [], []
                 for r, t in enumerate(part.column(text).to_pylist()):
                     found = tokenize(t)
                     row += [r] * len(found)
@@ -83,11 +110,14 @@ def tokens_of(docs: DataFrame, text: str = "text") -> DataFrame:
                         start += a
                         end += z
                         string += w
+                        if sentences:
+                            sent += sentence_numbers(found)
                 index = pa.array(row, pa.int32())
                 cols = [part.column(c).take(index) for c in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(pos, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(string, pa.string())], names=[*keep, "pos", "start", "end", "string"])
+                cols += [pa.array(pos, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(string, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(sent, pa.int32())] * sentences, names=[*keep, "pos", "start", "end", "string"] + ["sent"] * sentences)
 
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("pos", IntegerType()), *TOKENS.fields])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("pos", IntegerType()), *TOKENS.fields, *[StructField("sent", IntegerType())] * sentences])
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 

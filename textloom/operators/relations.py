@@ -78,27 +78,29 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest reachable node of undirected edges (a, b).
 
     Alternating large and small stars until no edge moves; each step is checkpointed so that plans stay short."""
-    edges = _cut(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    edges = cut(edges.select("a", "b").where("a is not null and b is not null").distinct())
     falling = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    stars, moved = _cut(falling(edges)), True
+    stars, moved = cut(falling(edges)), True
     while moved:
         both = stars.union(stars.select("b", "a"))
         near = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = _cut(falling(both.join(near, "a").where("b > a").select("b", "m").toDF("a", "b")))
+        large = cut(falling(both.join(near, "a").where("b > a").select("b", "m").toDF("a", "b")))
         down = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        new = _cut(falling(down.select("b", "m").union(down.select("a", "m")).toDF("a", "b")))
+        new = cut(falling(down.select("b", "m").union(down.select("a", "m")).toDF("a", "b")))
         moved = new.exceptAll(stars).limit(1).count() or stars.exceptAll(new).limit(1).count()
         stars = new
     nodes = edges.select("a").union(edges.select("b")).distinct().toDF("node")
-    return _cut(nodes.join(stars, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component")))
+    return cut(nodes.join(stars, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in spark.checkpoint.dir, in a folder of its own where that is unset."""
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() in spark.checkpoint.dir; where that is unset, in a folder of its own for a master on one machine, else an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint()
 
@@ -108,7 +110,7 @@ def prune(cells: DataFrame, least_row: int, least_col: int) -> DataFrame:
     with the smallest row."""
     rows, cols = cells.groupBy("r").agg(F.count("*").alias("nr")), cells.groupBy("c").agg(F.count("*").alias("nc"))
     kept = cells.join(rows.where(F.col("nr") > least_row), "r").join(cols.where(F.col("nc") > least_col), "c").select("r", "c", "v")
-    kept = _cut(kept)
+    kept = cut(kept)
     part = components(kept.select((F.col("r") * 2).alias("a"), (F.col("c") * 2 + 1).alias("b")))
     sized = kept.join(part, F.col("r") * 2 == F.col("node")).select("r", "c", "v", "component")
     best = sized.groupBy("component").agg(F.count_distinct("r").alias("n"), F.min("r").alias("least")).orderBy(F.desc("n"), "least").limit(1)

@@ -26,6 +26,55 @@ def word_windows(docs: DataFrame, n: int) -> DataFrame:
     return words.select("doc_id", F.explode_outer(shifted).alias("g")).where("g is not null").select("doc_id", "g.*")
 
 
+def _per_word(docs: DataFrame, each) -> DataFrame:
+    """(doc_id, *fields) of the struct that each(words, word, place) gives for every word of a document: within one array, so that no
+    token is shuffled."""
+    words = docs.select("doc_id", segment(F.lower("text")).alias("w"))
+    return words.select("doc_id", F.explode_outer(F.transform("w", lambda t, i: each(F.col("w"), t, i))).alias("x")).where("x is not null").select("doc_id", "x.*")
+
+
+def neighbours_in(docs: DataFrame, offsets: tuple[int, ...]) -> DataFrame:
+    """As neighbours() for the words of documents (doc_id, text)."""
+
+    def each(w, t, i):
+        at = [F.coalesce(F.concat(F.get(w, i + k), F.lit(f"@{k}")), F.lit("<START>" if k < 0 else "<END>")).alias(f"at_{'m' if k < 0 else 'p'}{abs(k)}") for k in offsets]
+        return F.struct(i.alias("pos"), t.alias("term"), *at)
+
+    return _per_word(docs, each)
+
+
+def conjunctions_in(docs: DataFrame, left: int, right: int) -> DataFrame:
+    """As conjunctions() for the words of documents (doc_id, text)."""
+
+    def each(w, t, i):
+        a, b = F.get(w, i + left), F.get(w, i + right)
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(i.alias("pos"), F.concat(a, F.lit(f"@{left}_&_"), b, F.lit(f"@{right}")).alias("feature")))
+
+    return _per_word(docs, each)
+
+
+def bags_in(docs: DataFrame, before: int, after: int) -> DataFrame:
+    """As window_bag() for the words of documents (doc_id, text)."""
+
+    def each(w, t, i):
+        first = F.greatest(i - before, F.lit(0))
+        return F.struct(i.alias("pos"), t.alias("term"), F.slice(w, first + 1, i - first).alias("prev_bag"), F.slice(w, i + 2, F.lit(after)).alias("next_bag"))
+
+    return _per_word(docs, each)
+
+
+def phrases_in(docs: DataFrame, phrases: DataFrame, longest: int, broadcast_rows: int = 100_000) -> DataFrame:
+    """(doc_id, pos, length, phrase): occurrences in the words of documents of phrases, their words separated by one space."""
+
+    def each(w, t, i):
+        return F.filter(F.array(*(F.when(i + n <= F.size(w), F.struct(i.alias("pos"), F.lit(n).alias("length"), F.array_join(F.slice(w, i + 1, n), " ").alias("phrase"))) for n in range(1, longest + 1))), lambda x: x.isNotNull())
+
+    words = docs.select("doc_id", segment(F.lower("text")).alias("w"))
+    found = words.select("doc_id", F.explode_outer(F.flatten(F.transform("w", lambda t, i: each(F.col("w"), t, i)))).alias("x")).where("x is not null").select("doc_id", "x.*")
+    phrases = phrases.select("phrase").distinct()
+    return found.join(F.broadcast(phrases) if phrases.count() <= broadcast_rows else phrases, "phrase", "left_semi").select("doc_id", "pos", "length", "phrase")
+
+
 def neighbours(toks: DataFrame, offsets: tuple[int, ...], by: str = "doc_id", order: str = "pos", value: str = "term") -> DataFrame:
     """Adds a column per offset: the value there with `@offset`, or a mark beyond either end."""
     w = Window.partitionBy(by).orderBy(order)
@@ -105,3 +154,22 @@ def at_span(start: Column, end: Column, other_start: Column, other_end: Column)
         "ends_at": end == other_end,
         "follows": start >= other_end,
     }
+
+
+def packed_offsets(starts: Column, ends: Column) -> Column:
+    """Token offsets in one integer each: the distance from the token before in the upper 16 bits, the length in the lower. A distance
+    or length of 65,536 or more can't be packed; the whole array is null then."""
+    steps = F.transform(starts, lambda s, i: F.struct((s - F.coalesce(F.get(ends, i - 1), F.lit(0))).alias("gap"), (F.get(ends, i) - s).alias("size")))
+    fits = F.forall(steps, lambda x: (x["gap"] >= 0) & (x["gap"] < 1 << 16) & (x["size"] >= 0) & (x["size"] < 1 << 16))
+    return F.when(fits, F.transform(steps, lambda x: (F.shiftleft(x["gap"].cast("long"), 16) + x["size"])))
+
+
+def unpacked_offsets(packed: Column) -> Column:
+    """An array of (start, end) from packed_offsets()."""
+    zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def more(a, x):
+        start = F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0)) + F.shiftright(x, 16)
+        return F.concat(a, F.array(F.struct(start.alias("start"), (start + x.bitwiseAND(65535)).alias("end"))))
+
+    return F.aggregate(packed, zero, more)

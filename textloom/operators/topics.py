@@ -37,7 +37,7 @@ def lda(docs: DataFrame, k: int, vocabulary: int, sweeps: int = 10, alpha: float
     """(doc_id, words, z) with the sampled topics, and the word-topic counts, from rows (doc_id, words array<int>).
 
     cut writes a step's table so that plans stay short (checkpoint by default)."""
-    from textloom.operators.relations import _cut
+    from textloom.operators.relations import cut as _cut
 
     cut = cut or _cut
     rows = docs.select("doc_id", "words", F.transform("words", lambda w, i: F.pmod(F.xxhash64(F.col("doc_id"), i, F.lit(seed)), F.lit(k)).cast("int")).alias("z"))

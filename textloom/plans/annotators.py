@@ -40,19 +40,20 @@ def resolve(wanted: list[str], known: list[Annotator], given: set[str]) -> list[
     """The annotators that give what is wanted, each after what it needs, none twice. Attributes at hand are not made again.
 
     Raises ValueError for what nobody provides, for cycles, and where two chosen annotators would give the same attribute."""
-    maker: dict[str, Annotator] = {}
+    makers: dict[str, list[Annotator]] = {}
     for a in known:
         for p in a.provides:
-            maker.setdefault(p, a)
+            makers.setdefault(p, []).append(a)
     chain: list[Annotator] = []
     have, open_ = set(given), []
 
     def need(attribute: str) -> None:
         if attribute in have:
             return
-        if attribute not in maker:
+        if attribute not in makers:
             raise ValueError(f"nothing provides {attribute}")
-        a = maker[attribute]
+        # of several the first that makes nothing again
+        a = next((m for m in makers[attribute] if not m.provides & have), makers[attribute][0])
         if a in open_:
             raise ValueError(f"a cycle through {a.name}")
         open_.append(a)
@@ -77,7 +78,7 @@ def run(df: DataFrame, wanted: list[str], known: list[Annotator] | None = None)
 
 
 DEFAULT = [
-    annotator("tokenizer", "doc_id text", "pos start end string", sg.tokens_of),
+    annotator("tokenizer", "doc_id text", "pos start end string sent", lambda df: sg.tokens_of(df, sentences=True)),
     annotator("sentences", "doc_id pos start end string", "sent", sg.sentences_of),
     annotator("normaliser", "string", "norm", lambda df: df.withColumn("norm", sg.normal_form(F.col("string")))),
     annotator("lower lemmatiser", "norm", "lemma", lambda df: df.withColumn("lemma", F.lower("norm"))),

@@ -182,25 +182,33 @@ def edit_distance_pairs(spark, d):
     return pairs.select("a", "b", S.weighted_edit_distance(F.col("na"), F.col("nb")).cast("long").alias("distance")).where("distance <= 6")
 
 
-@query("with recursive e as (select distinct l_suppkey as s, l_partkey as p from lineitem where l_partkey % 20 = 0 and l_quantity > 45), g as (select distinct x.s as a, y.s as b from e x join e y on x.p = y.p), r as (select a, b from g union select r.a, g.b from r join g on r.b = g.a) select a as node, min(b) as component from r group by a")
+@query("with recursive e as (select distinct l_suppkey as s, l_partkey as p from lineitem), g as (select s as a, list(distinct b) as bs from (select x.s, y.s as b from e x join e y on x.p = y.p) group by 1), r as (select s as node, s as component from (select distinct s from e) union select g.a, r.component from r join (select a, unnest(bs) as b from g) g on g.b = r.node where r.component < g.a) select node, min(component) as component from r group by node")
 def supplier_components(spark, d):
-    """Suppliers connected through parts that both deliver in large lots: parts are nodes too, so no pairs of suppliers are made."""
-    e = load(spark, d, "lineitem").where("l_partkey % 20 = 0 and l_quantity > 45").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
+    """Suppliers connected through parts that both deliver: parts are nodes too, so no pairs of suppliers are made."""
+    e = load(spark, d, "lineitem").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
     c = rel.components(e).where("node % 2 = 0")
     least = c.groupBy("component").agg(F.min("node").alias("m"))
     return c.join(least, "component").select((F.col("node") / 2).cast("long").alias("node"), (F.col("m") / 2).cast("long").alias("component"))
 
 
-@query("with x as (select l_suppkey as r, l_returnflag || l_linestatus || cast(l_linenumber as varchar) as c, count(*) as v from lineitem where l_discount > 0.08 group by 1, 2) select c, count(*) as nnz, cast(sum(v) as bigint) as total, max(v) as top from x group by c")
+@query("with recursive e as (select distinct user_id as a, date_trunc('hour', ts) as h from events), l as (select x.a as a, y.a as b from e x join e y on x.h = y.h and x.a < y.a group by 1, 2 having count(*) >= 2), g as (select a, b from l union all select b, a from l), r as (select a as node, least(a, b) as component from g union select g.a, r.component from r join g on g.b = r.node where r.component < g.a) select node, min(component) as component from r group by node")
+def user_components(spark, d):
+    """Users connected through two or more hours in which both were seen."""
+    e = load(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("h")).distinct()
+    pairs = rel.pairs_within(e, "h", "user_id").groupBy("a", "b").count().where("count >= 2").select("a", "b")
+    return rel.components(pairs)
+
+
+@query("with x as (select l_suppkey as r, l_returnflag || l_linestatus || cast(l_linenumber as varchar) as c, count(*) as v from lineitem group by 1, 2) select c, count(*) as nnz, cast(sum(v) as bigint) as total, max(v) as top from x group by c")
 def cooc_columns(spark, d):
-    x = load(spark, d, "lineitem").where("l_discount > 0.08").groupBy(F.col("l_suppkey").alias("r"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("c")).agg(F.count("*").alias("v"))
+    x = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("r"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("c")).agg(F.count("*").alias("v"))
     return x.groupBy("c").agg(F.count("*").alias("nnz"), F.sum("v").alias("total"), F.max("v").alias("top"))
 
 
-@query()
+@query("with recursive x as (select l_suppkey as r, l_partkey as c, count(*) as v from lineitem group by 1, 2), k as (select x.* from x join (select r from x group by 1 having count(*) > 1) using (r) join (select c from x group by 1 having count(*) > 1) using (c)), e as (select distinct p.r as a, q.r as b from k p join k q on p.c = q.c and p.r <> q.r), n as (select distinct r from k), w as (select r as node, r as component from n union select e.a, w.component from w join e on e.b = w.node where w.component < e.a), z as (select node, min(component) as component from w group by 1), t as (select component, count(*) as n from z group by 1 order by n desc, component limit 1) select r, c, v from k join z on z.node = r join t using (component)")
 def cooc_prune(spark, d):
-    """The largest connected part of the supplier by part matrix of large lots, thin rows and columns left out."""
-    x = load(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_suppkey").alias("r"), F.col("l_partkey").alias("c")).agg(F.count("*").alias("v"))
+    """The largest connected part of the supplier by part matrix, thin rows and columns left out."""
+    x = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("r"), F.col("l_partkey").alias("c")).agg(F.count("*").alias("v"))
     return rel.prune(x, 1, 1)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from textloom.functions import strings as S
 from textloom.operators import statistics as st, tokens as tk
+from textloom.operators.relations import cut
 from textloom.plans.registry import CASED, TOKENS, query
 from textloom.sources.tables import load
 
@@ -150,14 +151,14 @@ def _bigrams(spark, d):
 
 @query(f"with {TOKENS}, {_BI}, s as (select count(*) as total from t) select b.a, b.b, b.n, round(total * b.n / (x.n * y.n), 6) as pmi from b join u x on x.term = b.a join u y on y.term = b.b, s where b.n > 5 and x.n > 40 and y.n > 40")
 def pmi_bigrams(spark, d):
-    words = st.counts(_tokens(spark, d))
+    words = cut(st.counts(_tokens(spark, d)))
     total = words.agg(F.sum("n")).first()[0] or 0
     return st.pmi(_bigrams(spark, d), words, total, 5, 40)
 
 
-@query(f"with {TOKENS}, {_BI}, k as (select a, b, n from b where n > 5) select x.a, x.b, y.b as c, least(x.n, y.n) as n from k x join k y on x.b = y.a")
+@query("with g as (select w[i] as a, w[i + 1] as b from (select w, unnest(range(1, len(w))) as i from (select regexp_extract_all(lower(text), '[A-Za-z]+') as w from documents))), k as (select a, b, count(*) as n from g group by a, b having count(*) > 5) select x.a, x.b, y.b as c, least(x.n, y.n) as n from k x join k y on x.b = y.a")
 def likely_trigrams(spark, d):
-    k = _bigrams(spark, d).where("n > 5")
+    k = cut(_bigrams(spark, d).where("n > 5"))
     y = k.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"))
     return k.join(y, "b").select("a", "b", "c", F.least("n", "m").alias("n"))
 
@@ -182,17 +183,17 @@ def logodds_toxic(spark, d):
 
 @query(f"with {TOKENS} select doc_id, pos, coalesce(lag(term) over w || '@-1', '<START>') as at_m1, coalesce(lead(term) over w || '@1', '<END>') as at_p1, term from t window w as (partition by doc_id order by pos)")
 def neighbor_features(spark, d):
-    return tk.neighbours(_tokens(spark, d), (-1, 1))
+    return tk.neighbours_in(load(spark, d, "documents"), (-1, 1))
 
 
 @query(f"with {TOKENS}, x as (select doc_id, pos, term as l, lead(term) over (partition by doc_id order by pos) as r from t) select feature, count(*) as n from (select l || '@0_&_' || r || '@1' as feature from x where r is not null) group by feature having count(*) > 1")
 def feature_conjunctions(spark, d):
-    return tk.conjunctions(_tokens(spark, d), 0, 1).groupBy("feature").agg(F.count("*").alias("n")).where("n > 1")
+    return tk.conjunctions_in(load(spark, d, "documents"), 0, 1).groupBy("feature").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query(f"with {TOKENS} select doc_id, pos, string_agg(term, ' ') over (partition by doc_id order by pos rows between 4 preceding and 1 preceding) as prev_bag, string_agg(term, ' ') over (partition by doc_id order by pos rows between 1 following and 4 following) as next_bag from t")
 def context_bag(spark, d):
-    bags = tk.window_bag(_tokens(spark, d), 4, 4)
+    bags = tk.bags_in(load(spark, d, "documents"), 4, 4)
     joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, " ")).alias(c)
     return bags.select("doc_id", "pos", joined("prev_bag"), joined("next_bag"))
 
@@ -233,12 +234,11 @@ def top_words_per_source(spark, d):
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "term"))).where("rank <= 5")
 
 
-@query(f"with {TOKENS}, p as (select distinct lower(list_aggregate(regexp_extract_all(text, '[A-Za-z]+')[1:3], 'string_agg', ' ')) as phrase from benchmark), g as (select doc_id, pos, term || ' ' || lead(term, 1) over w || ' ' || lead(term, 2) over w as phrase from t window w as (partition by doc_id order by pos)) select doc_id, pos, 3 as length, phrase from g join p using (phrase)")
+@query("with p as (select distinct w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as phrase from (select w, unnest(range(1, len(w) - 1)) as i from (select regexp_extract_all(lower(text), '[A-Za-z]+') as w from benchmark))), g as (select doc_id, i - 1 as pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as phrase from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from (select doc_id, regexp_extract_all(lower(text), '[A-Za-z]+') as w from documents))) select doc_id, pos, 3 as length, phrase from g where phrase in (select phrase from p)")
 def lexicon_match(spark, d):
-    from textloom.operators.relations import match_phrases
-
-    phrases = load(spark, d, "benchmark").select(F.lower(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 3), " ")).alias("phrase"))
-    return match_phrases(_tokens(spark, d), phrases, 3)
+    """Every three words of the benchmark, looked up in the documents."""
+    phrases = tk.ngrams(load(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"), 3).select(F.col("gram").alias("phrase"))
+    return tk.phrases_in(load(spark, d, "documents"), phrases, 3)
 
 
 @query("select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g')) as text from pages")

@@ -80,21 +80,23 @@ def read_treebank(spark: SparkSession, path: str) -> DataFrame:
     return read_columns(spark, path, ["form", "pos_tag", "head", "deprel"], r"\t").withColumn("head", F.col("head").try_cast("int"))
 
 
-def read_sectioned(spark: SparkSession, path: str, begin: str = r"(?i)<doc[^>]*\bid=\"([^\"]+)\"[^>]*>", end: str = r"(?i)</doc>", kind: str = r"(?i)<doctype[^>]*>\s*([^<]*?)\s*</doctype>") -> DataFrame:
-    """(doc, kind, text) of files that hold many marked documents."""
-    whole = spark.read.text(path, wholetext=True)
-    docs = whole.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)({begin}.*?){end}"), F.lit(1))).alias("raw"))
+def read_sectioned(spark: SparkSession, path: str, begin: str = r"(?i)<doc[^>]*\bid=\"([^\"]+)\"[^>]*>", end: str = "</DOC>", kind: str = r"(?i)<doctype[^>]*>\s*([^<]*?)\s*</doctype>") -> DataFrame:
+    """(doc, kind, text) of files that hold many marked documents, read one by one: `end` is the literal mark that closes each."""
+    records = spark.read.option("lineSep", end).text(path).where(F.col("value").rlike(begin))
+    docs = records.select(F.regexp_replace("value", rf"(?s)^.*?(?={begin})", "").alias("raw"))
     body = F.regexp_replace(F.regexp_replace("raw", begin, ""), kind, "")
     return docs.select(F.regexp_extract("raw", begin, 1).alias("doc"), F.regexp_extract("raw", kind, 1).alias("kind"), F.trim(F.regexp_replace(body, "<[^>]+>", " ")).alias("text"))
 
 
 def read_encyclopedia(spark: SparkSession, path: str) -> DataFrame:
     """(title, text) of plain-text dumps whose articles begin with `[[title]]` alone on a line."""
-    title = r"(?m)^\[\[([^\]\n]+)\]\][ \t]*$"
-    whole = spark.read.text(path, wholetext=True)
-    names, parts = F.regexp_extract_all("value", F.lit(title), F.lit(1)), F.split("value", title, -1)
-    rows = whole.select(F.explode(F.arrays_zip(names.alias("title"), F.slice(parts, 2, F.size(parts)).alias("text"))).alias("a"))
-    return rows.select("a.title", F.regexp_replace("a.text", r"^\s+|\s+$", "").alias("text"))
+    title = F.regexp_extract("line", r"^\[\[([^\]]+)\]\][ \t]*$", 1)
+    lines = numbered_lines(spark, path).withColumn("title", title)
+    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("article", F.sum((F.col("title") != "").cast("int")).over(so_far)).where("article > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("title") == "", F.struct("n", "line")))), lambda x: x["line"]), "\n")
+    rows = lines.groupBy("file", "article").agg(F.max("title").alias("title"), body.alias("text"))
+    return rows.select("title", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
 
 
 def read_synsets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -37,9 +37,11 @@ def _groups(pattern: str) -> int:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line): lines in their order in each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("n", "line"))
+    """(file, n, line): lines in their order in each file. Files are split like any text; a line's number is its place within its
+    split and the lines of the splits before it, so no file is ever held as one value."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    order = Window.partitionBy("file").orderBy("block", "at")
+    return lines.select("file", (F.row_number().over(order) - 1).alias("n"), "line")
 
 
 def read_columns(spark: SparkSession, path: str, names: list[str], separator: str = r"\s+", document: str | None = None) -> DataFrame:
@@ -160,3 +162,32 @@ def skip_until(text, pattern: str):
 def skip_header(text):
     """The text after its first blank line."""
     return skip_until(text, r"\r?\n\r?\n")
+
+
+def write_topic_state(docs: DataFrame, alphas: list[float], path: str) -> None:
+    """Documents (name, words, topics) of a topic model as text: a line `/alphas ...`, then for each document `/name` and a line `word topic`
+    for each word."""
+    head = docs.sparkSession.createDataFrame([("/alphas " + " ".join(map(str, alphas)),)], "value string")
+    body = F.array_join(F.zip_with("words", "topics", lambda w, z: F.concat_ws(" ", w, z.cast("string"))), "\n")
+    head.union(docs.select(F.concat(F.lit("/name "), "name", F.when(F.size("words") > 0, F.concat(F.lit("\n"), body)).otherwise("")))).write.text(path)
+
+
+def read_topic_state(spark: SparkSession, path: str) -> tuple[DataFrame, list[float]]:
+    """What write_topic_state() wrote: (name, words, topics), and the alphas."""
+    lines = numbered_lines(spark, path)
+    alphas = lines.where("line like '/alphas %'").select("line").first()
+    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.where("line not like '/alphas %'").withColumn("doc", F.sum(F.col("line").startswith("/name ").cast("int")).over(so_far))
+    word = F.struct("n", F.split("line", " ")[0].alias("w"), F.split("line", " ")[1].cast("int").alias("z"))
+    per = rows.groupBy("file", "doc").agg(F.max(F.when(F.col("line").startswith("/name "), F.expr("substring(line, 7)"))).alias("name"), F.array_sort(F.collect_list(F.when(~F.col("line").startswith("/name "), word))).alias("x"))
+    return per.select("name", F.transform("x", lambda x: x["w"]).alias("words"), F.transform("x", lambda x: x["z"]).alias("topics")), [float(a) for a in alphas["line"].split()[1:]] if alphas else []
+
+
+def save_documents(annotated: DataFrame, path: str) -> None:
+    """Stores annotated documents, one row each or one per token, so that they can be read by id."""
+    annotated.write.mode("append").parquet(path)
+
+
+def stored_documents(spark: SparkSession, path: str, ids: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows if ids is None else rows.join(ids.select(key), key, "left_semi")
