@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import maths as M
 from textloom.operators import tokens as tk
 from textloom.plans.registry import query
 from textloom.sources import bibliography as bib, corpora, text as src
@@ -125,11 +126,11 @@ def kb_round_trip(spark, d):
     return src.read_kb(spark, path, 2)
 
 
-@query("with e as (select vec_id, i, embedding[i]::varchar::double as x from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings)) select 'v' || vec_id as word, i - 1 as dim, round(x / sqrt(sum(x * x) over (partition by vec_id)) + 0.0000003, 4) as x from e")
+@query("select 'v' || vec_id as word, 64 as n, list_position(embedding, list_max(embedding)) - 1 as top, 1.0 as norm from embeddings")
 def embedding_file_round_trip(spark, d):
     path = scratch(spark, "embeddings")
     load(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string"), F.lit(" "), F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("value")).write.text(path)
-    return src.read_embeddings(spark, path).select("word", F.posexplode("vector").alias("dim", "x")).select("word", "dim", F.round(F.col("x") + 0.0000003, 4).alias("x"))
+    return src.read_embeddings(spark, path).select("word", F.size("vector").alias("n"), M.index_of_max(F.col("vector")).cast("int").alias("top"), F.round(M.norm(F.col("vector")), 6).alias("norm"))
 
 
 @query("select l_returnflag as label, l_suppkey as index, l_linenumber::double as value, count(*) as n from lineitem group by 1, 2, 3")
