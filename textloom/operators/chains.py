@@ -55,12 +55,17 @@ def licit(tags: list[str], scheme: str = "BIO") -> np.ndarray:
 
 
 def token_features(words: list[str]) -> list[list[str]]:
-    """Word, shape, affixes and digits, with those of the neighbours at one and two places."""
+    """Word, shape, affixes and digits, with those of the neighbours at one and two places. A word may carry a tag behind a unit
+    separator, which is a feature of its own and of its neighbours."""
+    said = [f"t={w.partition(chr(31))[2]}" if chr(31) in w else "" for w in words]
+    words = [w.partition(chr(31))[0] for w in words]
     shape = lambda w: "".join("A" if c.isupper() else "a" if c.islower() else "1" if c.isdigit() else c for c in w[:8])
     own = [[f"w={w.lower()}", f"s={shape(w)}", f"p={w[:3].lower()}", f"x={w[-3:].lower()}"] for w in words]
     out = []
     for i in range(len(words)):
         feats = ["bias", *own[i]]
+        if said[i]:
+            feats += [said[i], *(f"{said[i + k]}@{k}" for k in (-1, 1) if 0 <= i + k < len(words))]
         for k in (-2, -1, 1, 2):
             feats += [f"{f}@{k}" for f in own[i + k][:2]] if 0 <= i + k < len(words) else ["<START>" if k < 0 else "<END>"]
         out.append(feats)

@@ -115,3 +115,38 @@ def prune(cells: DataFrame, least_row: int, least_col: int) -> DataFrame:
     sized = kept.join(part, F.col("r") * 2 == F.col("node")).select("r", "c", "v", "component")
     best = sized.groupBy("component").agg(F.count_distinct("r").alias("n"), F.min("r").alias("least")).orderBy(F.desc("n"), "least").limit(1)
     return sized.join(F.broadcast(best), "component").select("r", "c", "v")
+
+
+def sections_at(sections: DataFrame, spans: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Spans (by, start, end) with the section (by, section, first, last) that holds them whole; those that cross a border have none."""
+    held = spans.join(sections.select(by, "section", "first", "last"), by).where("first <= start and end <= last")
+    return held.drop("first", "last")
+
+
+def split_by(rows: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass a test, and the others; a test that is null doesn't pass."""
+    ok = F.coalesce(test, F.lit(False))
+    return rows.where(ok), rows.where(~ok)
+
+
+def of_kind(rows: DataFrame, kinds: list[str], column: str = "factor") -> DataFrame:
+    """Rows of some classes or families, as factors of several templates in one table."""
+    return rows.where(F.col(column).isin(*kinds))
+
+
+def subsequence(rows: DataFrame, test: Column, by: str, order: str, value: str) -> DataFrame:
+    """(by, values): the values of rows that pass a test, in their order."""
+    return rows.where(test).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
+
+
+def combined(parts: list[DataFrame], key: str) -> DataFrame:
+    """(key, score): the sum of the scores that several models (key, score) give; a model that says nothing of a key gives it zero."""
+    return reduce(DataFrame.unionByName, [p.select(key, F.col("score").cast("double").alias("score")) for p in parts]).groupBy(key).agg(F.sum("score").alias("score"))
+
+
+def top_counts(rows: DataFrame, by: str, item: str, n: int) -> DataFrame:
+    """(by, counts): the n most frequent items, as an array of (item, n) by falling count, ties by item."""
+    c = rows.groupBy(by, item).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(by).orderBy(F.desc("n"), item)
+    c = c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    return c.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(item).alias("item"), "n"))), lambda x: F.struct(x["item"].alias("item"), x["n"].alias("n"))).alias("counts"))
