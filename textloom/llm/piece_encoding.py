@@ -172,7 +172,7 @@ class Encoder:
                     piece = dict(_fields(value))
                     pieces.append((piece.get(1, b""), piece.get(3, NORMAL)))
                 elif number == 3:
-                    spec = dict(_fields(value))
+                    spec |= dict(_fields(value))  # a message that comes twice is merged
         self.normalise = Normaliser(spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)), tuple(p for p, kind in pieces if kind == USER))
         self.width = np.array([1 if kind == BYTE else 0 if kind == CONTROL else -1 if kind == UNKNOWN else len(p) for p, kind in pieces], np.int64)
         self.decimal = [str(i) for i in range(len(pieces))]
