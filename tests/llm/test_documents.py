@@ -437,3 +437,63 @@ def test_language_accuracy_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     out = op3_language_id(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
     assert len(out) > 100 and sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out)
+
+
+def character_map(rules):
+    """A compiled character map, as the library reads it: a double-array trie of the keys, then the values."""
+    import struct
+
+    pool, units, block = b"", {}, [256]
+
+    def fill(keys, at):
+        base = block[0]
+        block[0] += 256
+        units[at] = units.get(at, 0) | (at ^ base) << 10
+        if b"" in keys:
+            units[at] |= 1 << 8
+            units[base] = keys[b""] | 1 << 31
+        for c in {k[0] for k in keys if k}:
+            units[base ^ c] = c
+            fill({k[1:]: v for k, v in keys.items() if k[:1] == bytes([c])}, base ^ c)
+
+    place = {}
+    for key, value in rules.items():
+        place[key.encode()] = len(pool)
+        pool += value.encode() + b"\0"
+    fill(place, 0)
+    size = max(units) // 256 * 256 + 256
+    return struct.pack("<I", 4 * size) + struct.pack(f"<{size}I", *(units.get(i, 0) for i in range(size))) + pool
+
+
+def test_encoding_through_a_character_map(spark, tmp_path):
+    """A copy of the model that has a map: ids are the library's, and so is every piece's place in the source."""
+    import public_tokenizers
+    import sentencepiece
+
+    rules = {"ﬁ": "fi", "Ａ": "A", "½": "1/2", "é": "e", "e\u0301": "e", "ab": "x", "abc": "yz", "\u00ad": "", "\u3000": " "}
+    blob = character_map(rules)
+    varint = lambda n: bytes([n & 127 | 128, *varint(n >> 7)]) if n > 127 else bytes([n])
+    spec = b"\x12" + varint(len(blob)) + blob
+    with open(public_tokenizers.path(MODEL), "rb") as f:
+        whole = f.read() + b"\x1a" + varint(len(spec)) + spec  # merged with the specification that is there
+    path = tmp_path / "mapped.model"
+    path.write_bytes(whole)
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert sp.encode("ﬁne") == sp.encode("fine")
+    enc = Encoder(str(path))
+    assert enc.normalise.units and enc.normalise("xabcab".encode())[0].endswith(b"xyzx")
+    r = random.Random(7)
+    bits = ["ﬁ", "Ａ", "½", "é", "e\u0301", "ab", "abc", "abd", "\u00ad", "\u3000", " ", "the ", "house", "日", "🎉", "e", "\n"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(200)] + ["", None, "ab" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x.doc_id: x for x in encode(df, str(path)).collect()}
+    checked = 0
+    for d, t in enumerate(texts):
+        t = t or ""
+        proto = sp.encode(t, return_type="proto")
+        assert list(out[d].ids) == [p.id for p in proto.pieces] and out[d].decoded == sp.decode(list(out[d].ids))
+        for p, a, b in zip(proto.pieces, out[d].starts, out[d].ends):
+            if not p.piece.startswith("<0x") and p.surface:
+                assert (p.begin, p.end) == (a, b), (t, p.piece, a, b)
+                checked += 1
+    assert checked > 1000
