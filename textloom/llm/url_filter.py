@@ -9,7 +9,8 @@ don't depend on their order. A url's score is its sum over all positions divided
 labelled urls that the models were not fitted on: midway between the means of the two classes.
 
 Null urls, and urls without `://`, have empty host and path; null and empty urls have score 0. Without labelled urls of both classes all
-scores are 0 and the verdict is allow. Every row gives one row.
+scores are 0 and the verdict is allow. Every row gives one row, repeated rows too; equal scores have equal verdicts, and a score at the
+threshold is allowed. Urls are taken whole, however long. Further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textloom.llm.common import broadcast_if_small, materialise, table
+from textloom.llm.common import materialise, table
 
 #: host, path, verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -26,7 +27,7 @@ ORDER = 4
 ALPHABET = 256
 MICRO = 1_000_000
 PAD = "\x02"
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, FREQUENT = 1_000_000, 200_000
 #: first hex digits of the md5 of urls that calibrate the threshold; the models are fitted on the others
 HELD_OUT = ("0", "1", "2")
 
@@ -92,10 +93,17 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     ruled = materialise(ruled.withColumn("row", F.monotonically_increasing_id()).withColumn("fold", F.when(F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD_OUT), 0).otherwise(1)), "ruled")
     fitted = ruled.where("ruled is not null and fold <> 0 and length(url) > 0")
     asked = ruled.where("(ruled is null or fold = 0) and length(url) > 0")  # those to decide, and those to calibrate with
-    grams = asked.select(F.explode(grams_of(F.col("url"), order)).alias("gram")).distinct()
-    model = materialise(fit(fitted, grams, order), "model")
-    few = broadcast_if_small(model, model.count(), BROADCAST_ROWS)
-    positions = asked.select("row", "ruled", F.explode(grams_of(F.col("url"), order)).alias("gram")).join(few, "gram")
+    grams = materialise(asked.select(F.explode(grams_of(F.col("url"), order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("uses")), "asked")
+    model = materialise(fit(fitted, grams.select("gram"), order), "model")
+    positions = asked.select("row", "ruled", F.explode(grams_of(F.col("url"), order)).alias("gram"))
+    if model.count() <= BROADCAST_ROWS:
+        positions = positions.join(F.broadcast(model), "gram")
+    else:
+        # the most frequent n-grams, a table of fixed size, are joined where the urls are; any other is too rare to be hot
+        often = materialise(grams.orderBy(F.desc("uses"), "gram").limit(FREQUENT).select("gram").join(model, "gram"), "often")
+        both = positions.join(F.broadcast(often), "gram", "left")
+        rare = both.where("score is null").drop("score").join(model, "gram")
+        positions = both.where("score is not null").unionByName(rare)
     scores = materialise(positions.groupBy("row", "ruled").agg(F.round(F.sum("score") / F.count("*")).cast("long").alias("score")), "scores")
     means = {r["ruled"]: r["sum"] / r["n"] for r in scores.where("ruled is not null").groupBy("ruled").agg(F.sum("score").alias("sum"), F.count("*").alias("n")).collect()}
     known = len(means) == 2 and all(map(math.isfinite, means.values()))
