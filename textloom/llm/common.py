@@ -154,10 +154,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """64-bit hashes of any substrings of one byte array, from prefix sums of byte codes times powers of an odd base."""
 
-    BASE = 0x9E3779B97F4A7C15 | 1
-    INVERSE = pow(BASE, -1, 1 << 64)
+    BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
     _powers: dict[int, np.ndarray] = {}
-    _codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    _codes = [mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for k in range(len(BASES))]
 
     @classmethod
     def powers(cls, base: int, n: int) -> np.ndarray:
@@ -170,12 +169,14 @@ class Rolling:
             cls._powers[base] = have
         return have[:n]
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, which: int = 0):
+        self.base = self.BASES[which]
+        self.inverse = pow(self.base, -1, 1 << 64)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self._codes[data] * self.powers(self.BASE, len(data)), out=self.sums[1:])
+        np.cumsum(self._codes[which][data] * self.powers(self.base, len(data)), out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        back = self.powers(self.INVERSE, len(self.sums))
+        back = self.powers(self.inverse, len(self.sums))
         return mix((self.sums[ends] - self.sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
     def every(self, width: int) -> np.ndarray:
@@ -183,4 +184,4 @@ class Rolling:
         n = len(self.sums) - width
         if n <= 0:
             return np.empty(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * self.powers(self.INVERSE, n) + np.uint64(width))
+        return mix((self.sums[width:] - self.sums[:n]) * self.powers(self.inverse, n) + np.uint64(width))

@@ -18,7 +18,13 @@ Hot anchors: a worker that sees an anchor with more than HOT contexts deals them
 own bucket, so that the contexts other workers sent there go on too; for anchors with more contexts than fit a task, windows
 themselves are grouped by hash.
 
-Null text is empty. Rows without doc_id are kept as they are. Rows with the same doc_id and equal text count as one document.
+Contexts and windows count as equal if two 64-bit hashes of different bases are. The number of buckets and tasks follows the bytes of
+text, so that neither grows with the corpus.
+
+Null and empty texts have nothing to remove. Rows without doc_id are kept as they are. Rows with the same doc_id and equal text count
+as one document, and each gives a row; different texts under one doc_id aren't supported: the ranges of both are cut from each.
+Texts of any length are cut into pieces that share what a window needs. Further columns are ignored, except those named in `keep`. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,12 +40,14 @@ from textloom.llm.common import Rolling, broadcast_if_small, joined, materialise
 
 LENGTH, GRAM = 100, 32
 HOT = 64
+#: bytes of text whose anchors are in one bucket, and in one task
+BUCKET_BYTES, TASK_BYTES = 16 << 20, 128 << 20
 TASK_CONTEXTS = 200_000
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 FLUSH = 400_000  # anchors that a worker packs at once
 PIECE = 512 << 10  # bytes of text that are hashed at once
 
-ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("wins", "u1"), ("left", "u1"), ("hot", "u1")])
+ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("wins", "u1"), ("left", "u1"), ("hot", "u1")])
 RANGE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
@@ -84,6 +92,7 @@ def anchors(col: pa.Array, docs: np.ndarray, at: np.ndarray, length: int, gram:
     out["left"] = pos[first] - start
     out["wins"] = count
     out["c"] = mix(roll.of(start, start + count - 1 + length) ^ (out["left"].astype(np.uint64) << np.uint64(8) | count.astype(np.uint64)))
+    out["c2"] = Rolling(data, 1).of(start, start + count - 1 + length)
     out["doc"] = docs[doc[first]]
     out["start"] = start - ends[doc[first]] + at[doc[first]]
     out["hot"] = 0
@@ -105,10 +114,10 @@ def pieces(batches, length: int):
 
 def repeats(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted anchors: the first of each (h, c), and the rest as indexes; equal (doc, start) is the same occurrence."""
-    order = np.lexsort((found["start"], found["doc"], found["c"], found["h"]))
+    order = np.lexsort((found["start"], found["doc"], found["c2"], found["c"], found["h"]))
     found = found[order]
     new = np.ones(len(found), bool)
-    new[1:] = (found["h"][1:] != found["h"][:-1]) | (found["c"][1:] != found["c"][:-1])
+    new[1:] = (found["h"][1:] != found["h"][:-1]) | (found["c"][1:] != found["c"][:-1]) | (found["c2"][1:] != found["c2"][:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     again = (found["doc"] == found["doc"][head]) & (found["start"] == found["start"][head])
     return found[new], found[~new & ~again]
@@ -170,28 +179,12 @@ def _scatter(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFram
     return texts.mapInArrow(run, PACKED)
 
 
-def _match(packed: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Per bucket of anchors the removed ranges of whole contexts, by document; and first occurrences of contexts that go on."""
+def _match(packed: DataFrame, buckets: int, tasks: int, length: int) -> DataFrame:
+    """Per bucket of anchors the removed ranges of whole contexts, by document; and first occurrences of contexts that go on. Buckets
+    come one after another, so a task holds one at a time."""
 
-    def run(batches):
-        held, through, marks = [], [], []
-        for b in batches:
-            for kind, bucket, blob in zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if kind == ANCHORS:
-                    held.append(np.frombuffer(blob, ANCHOR))
-                elif kind == MARKS:
-                    marks.append(np.frombuffer(blob, "<u8"))
-                else:
-                    through.append((kind, bucket, blob))
-            if len(through) > 1000:
-                yield _batch(through)
-                through = []
-        if through:
-            yield _batch(through)
-        if not held:
-            return
+    def match(held, marks):
         found = np.concatenate(held)
-        del held
         if marks:  # hot in some worker is hot in all
             found["hot"] |= np.isin(found["h"], np.concatenate(marks))
         # only anchors that occur again need sorting by all their fields
@@ -200,7 +193,7 @@ def _match(packed: DataFrame, buckets: int, length: int) -> DataFrame:
         spot = np.minimum(np.searchsorted(twice, found["h"]), max(len(twice) - 1, 0))
         found = found[(twice[spot] == found["h"]) | (found["hot"] > 0)] if len(twice) else found[found["hot"] > 0]
         if not len(found):
-            return
+            return []
         first, rest = repeats(found)
         group = np.concatenate([[True], first["h"][1:] != first["h"][:-1]])
         start = np.flatnonzero(group)
@@ -208,16 +201,39 @@ def _match(packed: DataFrame, buckets: int, length: int) -> DataFrame:
         on = first[(many > 1) | (first["hot"] > 0)]
         gone = removed(rest, length)
         rows = _blobs(RANGES, (mix(gone["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), gone)
-        rows += _blobs(CONTEXTS, (mix(on["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), on)
-        del found, first, rest, on, gone
+        return rows + _blobs(CONTEXTS, (mix(on["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), on)
+
+    def run(batches):
+        held, marks, rows, now = [], [], [], None
+        for b in batches:
+            for kind, bucket, blob in zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if bucket != now:
+                    rows += match(held, marks) if held else []
+                    held, marks, now = [], [], bucket
+                if kind == ANCHORS:
+                    held.append(np.frombuffer(blob, ANCHOR))
+                elif kind == MARKS:
+                    marks.append(np.frombuffer(blob, "<u8"))
+                else:
+                    rows.append((kind, bucket, blob))
+                if len(rows) > 1000:
+                    yield _batch(rows)
+                    rows = []
+        rows += match(held, marks) if held else []
         for k in range(0, len(rows), 1000):
             yield _batch(rows[k : k + 1000])
         release()
 
-    return packed.repartition("bucket").mapInArrow(run, PACKED)
+    return dealt(packed, "bucket", tasks).sortWithinPartitions("bucket").mapInArrow(run, PACKED)
+
+
+def dealt(rows: DataFrame, by: str, tasks: int) -> DataFrame:
+    """Dealt out by a key over as many tasks as the session says, or more where the data asks for them."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, by) if tasks > usual else rows.repartition(by)
 
 
-def _by_document(packed: DataFrame, kind: int) -> DataFrame:
+def _by_document(packed: DataFrame, kind: int, tasks: int) -> DataFrame:
     """(doc_id, blob): the packed rows of one kind, dealt out by document; ranges are merged."""
     dtype = RANGE if kind == RANGES else ANCHOR
 
@@ -233,7 +249,7 @@ def _by_document(packed: DataFrame, kind: int) -> DataFrame:
         for k in range(0, len(blobs), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 5000]), pa.array(blobs[k : k + 5000], pa.binary())], names=["doc_id", "blob"])
 
-    return packed.where(F.col("kind") == kind).select("bucket", "blob").repartition("bucket").mapInArrow(run, "doc_id long, blob binary")
+    return dealt(packed.where(F.col("kind") == kind).select("bucket", "blob"), "bucket", tasks).mapInArrow(run, "doc_id long, blob binary")
 
 
 def merged(rows: np.ndarray) -> np.ndarray:
@@ -378,15 +394,15 @@ def _by_window(contexts: DataFrame, buckets: int, length: int, gram: int) -> Dat
                 continue
             h, doc, start, wins, left = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc", "start", "wins", "left"))
             data, ends = joined(b.column("context"))
-            roll = Rolling(data)
+            roll, other = Rolling(data), Rolling(data, 1)
             for o in range(width):
                 ok = (left - wins + 1 <= o) & (o <= left)
                 at = ends[:-1][ok] + width - 1 - o
-                yield pa.RecordBatch.from_arrays([pa.array((roll.of(at, at + length) ^ mix(h[ok].astype(np.uint64) + np.uint64(o))).view(np.int64)), pa.array(doc[ok]), pa.array((start + left - o)[ok].astype(np.int32))], names=["w", "doc", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array((roll.of(at, at + length) ^ mix(h[ok].astype(np.uint64) + np.uint64(o))).view(np.int64)), pa.array(other.of(at, at + length).view(np.int64)), pa.array(doc[ok]), pa.array((start + left - o)[ok].astype(np.int32))], names=["w", "w2", "doc", "start"])
 
-    windows = contexts.mapInArrow(run, "w long, doc long, start int")
-    first = windows.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = windows.join(first, "w").where("struct(doc, start) <> first").select("doc", "start")
+    windows = contexts.mapInArrow(run, "w long, w2 long, doc long, start int")
+    first = windows.groupBy("w", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = windows.join(first, ["w", "w2"]).where("struct(doc, start) <> first").select("doc", "start")
 
     def pack(batches):
         for b in batches:
@@ -402,10 +418,12 @@ def _by_window(contexts: DataFrame, buckets: int, length: int, gram: int) -> Dat
 def repeated_ranges(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, blob): per document with repeats the maximal removed byte ranges, packed as RANGE rows."""
     spark = df.sparkSession
-    buckets = max(1024, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = df.select("doc_id", "text").where("doc_id is not null and octet_length(text) >= %d" % length)
-    matched = materialise(_match(_scatter(texts, buckets, length, gram), buckets, length), "matched")
-    wanted = materialise(_by_document(matched, CONTEXTS), "wanted")
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1024, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
+    tasks = n_bytes // TASK_BYTES
+    matched = materialise(_match(_scatter(texts, buckets, length, gram), buckets, tasks, length), "matched")
+    wanted = materialise(_by_document(matched, CONTEXTS, tasks), "wanted")
     n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()
     few = broadcast_if_small(wanted, n if size <= BROADCAST_BYTES else BROADCAST_ROWS + 1, BROADCAST_ROWS)
     contexts = materialise(_contexts(texts, few, length, gram), "contexts")
@@ -415,7 +433,7 @@ def repeated_ranges(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         crowds = materialise(crowds, "crowds")  # at most one per TASK_CONTEXTS rows
         ranges = ranges.union(_by_window(contexts.join(crowds, "h", "left_semi"), buckets, length, gram))
         contexts = contexts.join(crowds, "h", "left_anti")
-    return _by_document(ranges.union(_shared(contexts, buckets, length, gram)), RANGES)
+    return _by_document(ranges.union(_shared(contexts, buckets, length, gram)), RANGES, tasks)
 
 
 def without_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
