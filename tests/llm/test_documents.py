@@ -497,3 +497,21 @@ def test_encoding_through_a_character_map(spark, tmp_path):
                 assert (p.begin, p.end) == (a, b), (t, p.piece, a, b)
                 checked += 1
     assert checked > 1000
+
+
+@pytest.mark.parametrize("op", [op3_language_id, op4_decontamination, op5_near_duplicates, op6_token_counts, op7_media_sniffing, op9_suffix_repeats, op10_piece_encoding])
+def test_repeated_rows_give_repeated_results(spark, docs, folder, corpus, op):
+    from collections import Counter
+
+    folder(benchmark=[(1, prose(77, 60)), (2, corpus[3][1][40:300])])
+    rows = [*corpus, (970, prose(11, 20_000))]
+    once = Counter(map(tuple, op(spark, docs(rows)).collect()))
+    twice = Counter(map(tuple, op(spark, docs(rows * 2, extra=True)).collect()))
+    assert twice == Counter({r: 2 * n for r, n in once.items()}) and sum(once.values()) == len(rows)
+
+
+def test_suffix_repeats_in_many_buckets(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(sr, "BUCKET_BYTES", 10)
+    monkeypatch.setattr(sr, "TASK_BYTES", 3_000)
+    out = got(op9_suffix_repeats(spark, docs(corpus)))
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans) for d, r in out.items()} == {d: v[:3] for d, v in brute.without_repeats(corpus).items()}

@@ -134,3 +134,12 @@ def test_empty_tables(spark, folder):
     sf = folder(pages=[], conversations=[])
     assert ci.op1_capture_index(spark, sf).count() == 0 and uf.op8_url_filter(spark, sf).count() == 0
     assert cf.op2_chat_format(spark, sf).count() == 1
+
+
+def test_frequent_grams_are_joined_apart(spark, folder, monkeypatch):
+    urls = [f"http://good.org/fr/{i}" for i in range(40)] + [f"http://casino-bets.net/win/{i}" for i in range(40)] + [f"http://casino-bets.com/win/{i}" for i in range(5)] + ["http://good.org/en/" + "x" * 20_000, None] * 2
+    sf = folder(True, pages=[(i, u, None) for i, u in enumerate(urls)])
+    want = sorted(map(tuple, uf.op8_url_filter(spark, sf).collect()), key=str)
+    monkeypatch.setattr(uf, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(uf, "FREQUENT", 20)
+    assert sorted(map(tuple, uf.op8_url_filter(spark, sf).collect()), key=str) == want and len(want) == len(urls)
