@@ -111,23 +111,31 @@ def best_assignment(weights) -> list[tuple[int, int]]:
 
 def ceaf(rows: DataFrame, by_entity: bool, by: str = "doc_id") -> DataFrame:
     """(by, score, n_gold, n_predicted) of clusterings (by, point, gold, predicted): the best matching of entities in each document,
-    by shared points (CEAF-M) or by their share of both sizes (CEAF-E). Documents are dealt out; one is matched in one task."""
+    by shared points (CEAF-M) or by their share of both sizes (CEAF-E). Points are counted by Spark; what a task matches is the meets of
+    entities of one document after another."""
     import numpy as np
-
-    def match(key, pdf):
-        g, gi = np.unique(pdf["gold"], return_inverse=True)
-        p, pi = np.unique(pdf["predicted"], return_inverse=True)
-        meet = np.zeros((len(g), len(p)))
-        np.add.at(meet, (gi, pi), 1)
-        sizes = meet.sum(1)[:, None] + meet.sum(0)[None, :]
-        w = 2 * meet / sizes if by_entity else meet
-        score = float(sum(w[i, j] for i, j in best_assignment(w)))
-        import pandas as pd
-
-        return pd.DataFrame({"key": [key[0]], "score": [score], "n_gold": [len(g) if by_entity else len(pdf)], "n_predicted": [len(p) if by_entity else len(pdf)]})
-
-    kind = rows.schema[by].dataType.simpleString()
-    return rows.groupBy(by).applyInPandas(match, f"key {kind}, score double, n_gold long, n_predicted long").withColumnRenamed("key", by)
+    import pandas as pd
+
+    cells = rows.groupBy(by, "gold", "predicted").agg(F.count("*").alias("n"))
+    docs = cells.groupBy(by).agg(F.collect_list("gold").alias("g"), F.collect_list("predicted").alias("p"), F.collect_list("n").alias("n"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for g, p, n in zip(pdf["g"], pdf["p"], pdf["n"], strict=True):
+                golds, gi = np.unique(g, return_inverse=True)
+                said, pi = np.unique(p, return_inverse=True)
+                meet = np.zeros((len(golds), len(said)))
+                meet[gi, pi] = n
+                w = 2 * meet / (meet.sum(1)[:, None] + meet.sum(0)[None, :]) if by_entity else meet
+                score = float(w.max()) if 1 in w.shape else float(sum(w[i, j] for i, j in best_assignment(w)))
+                points = int(np.sum(n))
+                out.append((score, len(golds) if by_entity else points, len(said) if by_entity else points))
+            yield pd.DataFrame({by: pdf[by], "score": [x[0] for x in out], "n_gold": [x[1] for x in out], "n_predicted": [x[2] for x in out]})
+
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    return docs.mapInPandas(run, StructType([rows.schema[by], StructField("score", DoubleType()), StructField("n_gold", LongType()), StructField("n_predicted", LongType())]))
 
 
 def average_precision(rows: DataFrame, by: str, score: str, hit: str, tie: str) -> DataFrame:

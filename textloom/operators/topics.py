@@ -54,7 +54,11 @@ def lda(docs: DataFrame, k: int, vocabulary: int, sweeps: int = 10, alpha: float
                 zs = []
                 for d, w, z in zip(pdf["doc_id"], pdf["words"], pdf["z"], strict=True):
                     rng = np.random.default_rng([seed, s, int(d) & 0xFFFFFFFF])
-                    zs.append(sample_document(np.array(w, int), np.array(z, int), c, totals, a, beta, rng))
+                    w = np.array(w, int)
+                    used = np.unique(w)
+                    kept, whole = c[used], totals.copy()
+                    zs.append(sample_document(w, np.array(z, int), c, totals, a, beta, rng))
+                    c[used], totals = kept, whole  # each document is drawn against the sweep's counts, however rows are dealt out
                 yield pdf.assign(z=zs)
 
         rows = cut(rows.mapInPandas(run, rows.schema))

@@ -160,13 +160,17 @@ def ranked_cells(spark, d):
 
 
 @query()
-def resolved_suppliers(spark, d):
-    """Suppliers blocked by nation and resolved by the words of their names."""
-    s = load(spark, d, "supplier").select(F.col("s_nationkey").alias("canopy"), F.col("s_suppkey").alias("id"), F.map_from_arrays(F.array_distinct(F.split(F.lower("s_name"), "[^a-z]+")), F.transform(F.array_distinct(F.split(F.lower("s_name"), "[^a-z]+")), lambda _: F.lit(1.0))).alias("words"))
-    return resolution.resolve(s, resolution.Settings(cosines={"words": 1.0}), ["words"], 10)
+def resolved_parts(spark, d):
+    """Parts blocked by brand, type and size, resolved by the words of their names."""
+    words = F.array_distinct(F.split(F.lower("p_name"), "[^a-z]+"))
+    p = load(spark, d, "part").select(F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")).alias("canopy"), F.col("p_partkey").alias("id"), F.map_from_arrays(words, F.transform(words, lambda _: F.lit(1.0))).alias("words"))
+    return resolution.resolve(p, resolution.Settings(cosines={"words": 1.0}), ["words"], 10)
 
 
-@query()
+_CHAIN = "c as (select conv_id, row_number() over (partition by conv_id order by turn, length(coalesce(text, ''))) - 1 as i, count(*) over (partition by conv_id) as k, (1 + length(coalesce(text, ''))) * exp(-5) as w from conversations), f as (select conv_id, i, 1.0::double as a0, w as a1 from c where i = 0 union all select c.conv_id, c.i, a0 + a1 * exp(1), c.w * (a0 * exp(1) + a1) from f join c on c.conv_id = f.conv_id and c.i = f.i + 1), b as (select conv_id, i, w, 1.0::double as b0, 1.0::double as b1 from c where i = k - 1 union all select c.conv_id, c.i, c.w, b0 + b.w * b1 * exp(1), b0 * exp(1) + b.w * b1 from b join c on c.conv_id = b.conv_id and c.i = b.i - 1), p as (select f.conv_id, f.i, a1 * b1 / (a0 * b0 + a1 * b1) as p from f join b using (conv_id, i))"
+
+
+@query(f"with recursive {_CHAIN} select conv_id, cast(i as integer) as variable, 0 as value, round(1 - p, 6) as p from p union all select conv_id, cast(i as integer), 1, round(p, 6) from p")
 def chain_marginals(spark, d):
     """Marginals of whether each turn of a conversation is long, in a chain where neighbours differ."""
     c = load(spark, d, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))

@@ -240,9 +240,15 @@ def cluster_muc(spark, d):
     return ev.muc(_points(spark, d))
 
 
-@query()
+_CEAF = "c as (select l_orderkey as d, l_returnflag as g, l_linestatus as p, count(*) as n from lineitem group by 1, 2, 3), s as (select *, sum(n) over (partition by d, g) as ng, sum(n) over (partition by d, p) as np from c), f as (select * from (values ('A', 'N'), ('A', 'R'), ('N', 'A'), ('N', 'R'), ('R', 'A'), ('R', 'N')) v(x, y)), o as (select distinct l_orderkey as d from lineitem), k as (select l_orderkey as d, count(*) as n, count(distinct l_returnflag) as eg, count(distinct l_linestatus) as ep from lineitem group by 1)"
+
+
+@query(f"with {_CEAF}, m as (select o.d, max(coalesce(a.n, 0) + coalesce(b.n, 0))::double as m, max(coalesce(2.0 * a.n / (a.ng + a.np), 0) + coalesce(2.0 * b.n / (b.ng + b.np), 0)) as e from o cross join f left join s a on a.d = o.d and a.g = f.x and a.p = 'O' left join s b on b.d = o.d and b.g = f.y and b.p = 'F' group by o.d) select 'mention' as kind, m.d as doc_id, round(m, 6) as score, n as n_gold, n as n_predicted from m join k on k.d = m.d union all select 'entity', m.d, round(e, 6), eg, ep from m join k on k.d = m.d")
 def cluster_ceaf(spark, d):
-    return ev.ceaf(_points(spark, d).withColumn("doc_id", F.pmod("point", F.lit(10))), True)
+    """Flags against statuses of the lines of each order: a small matching for every order."""
+    x = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("point"), F.col("l_returnflag").alias("gold"), F.col("l_linestatus").alias("predicted"))
+    one = lambda kind, by_entity: ev.ceaf(x, by_entity).select(F.lit(kind).alias("kind"), "doc_id", F.round("score", 6).alias("score"), "n_gold", "n_predicted")
+    return one("mention", False).union(one("entity", True))
 
 
 _LABELS = "x as (select doc_id, cast(quality as varchar) as gold, case when n_chars > 2000 then '1' else '0' end as predicted from documents join labels using (doc_id))"
