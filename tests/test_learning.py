@@ -52,3 +52,25 @@ def test_more_examples():
     assert np.allclose(st.semi_supervised(m, x, lambda s: s == gold), m.likelihood(x, gold))
     loss, g = st.domination(np.array([1.0, 2.0, 0.0]), np.array([True, False, False]))
     assert loss == 2.0 and g.tolist() == [-1, 1, 0]
+
+
+def test_examples_and_searches():
+    import numpy as np
+
+    from textloom.operators import optimise as O
+    from textloom.operators.structured import chain_templates
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(30, 3))
+    y = np.sign(x @ np.array([1.0, -2.0, 0.5]))
+    f = O.mini_batch([O.predictor(a, b) for a, b in zip(x, y)])
+    assert O.check_gradient(f, np.array([0.1, 0.2, -0.3]))
+    ridge = lambda w: (f(w)[0] + w @ w / 2, f(w)[1] + w)
+    a, b = O.steepest(ridge, np.zeros(3), 2000), O.lbfgs(ridge, np.zeros(3))
+    assert abs(ridge(a)[0] - ridge(b)[0]) < 1e-4
+    m = chain_templates(2, 3)
+    example, gold = [0, 1, 2], (0, 1, 0)
+    for _ in range(20):
+        m.w = m.w + 0.5 * m.pseudomax(example, gold, 1.0)
+    assert tuple(m.best(example)) == gold and not m.pseudomax(example, gold, 1.0).any()
+    assert np.allclose(m.case_likelihood(example, gold, [gold]), 0)

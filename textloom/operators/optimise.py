@@ -496,3 +496,50 @@ def train_online(rows: DataFrame, size: int, objective: str = "log", passes: int
         model.weights = np.zeros(size)
         model.weights[got["i"].to_numpy()] = got["x"].to_numpy()
     return model
+
+
+def steepest(f, w, steps: int = 100, tolerance: float = 1e-8):
+    """Gradient steps of the length that a line search finds."""
+    value, g = f(w)
+    for _ in range(steps):
+        if np.linalg.norm(g) < tolerance:
+            break
+        new, v, h = line_search(f, w, -g, value, g)
+        if value - v < tolerance:
+            return new
+        w, value, g = new, v, h
+    return w
+
+
+def mini_batch(examples):
+    """Several examples, each a function of weights that gives (value, gradient), as one: their values and gradients added up."""
+
+    def f(w):
+        parts = [e(w) for e in examples]
+        return sum(v for v, _ in parts), np.sum([g for _, g in parts], axis=0)
+
+    return f
+
+
+def predictor(x: np.ndarray, y: float, objective: str = "log"):
+    """An example of a linear predictor."""
+    loss = OBJECTIVES[objective]
+
+    def f(w):
+        value, slope = loss(float(w @ x), y)
+        return float(value), float(slope) * x
+
+    return f
+
+
+def train_two_stage(rows: DataFrame, size: int, objective: str = "log", passes: int = 2, steps: int = 10, l2: float = 1e-3, **online) -> LinearModel:
+    """Online steps first, then L-BFGS from where they came to."""
+    start, history = train_online(rows, size, objective, passes, **online).weights, []
+
+    def f(w):
+        value, g, n = loss_and_gradient(rows, w, objective)
+        n = max(n, 1)
+        history.append(value / n)
+        return value / n + l2 / 2 * float(w @ w), g / n + l2 * w
+
+    return LinearModel(lbfgs(f, start, steps), history)

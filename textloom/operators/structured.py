@@ -49,6 +49,29 @@ class Templates:
                 out -= p[k] * self.stats(example, tuple(k if u == v else x for u, x in enumerate(gold)))
         return out
 
+    def pseudomax(self, example, gold, cost: float = 0.0) -> np.ndarray:
+        """Each variable alone, the others gold: where another value scores as high as gold (with a cost, within that margin), the best
+        such value's features go down and gold's go up."""
+        g, out = self.build(example, self.w), np.zeros_like(self.w)
+        for v, _ in enumerate(g.sizes):
+            e = _local(g, list(gold), v) + cost
+            e[gold[v]] -= cost
+            k = int(e.argmax())
+            if k == gold[v]:
+                e[k] = -np.inf
+                k = int(e.argmax()) if cost == 0 and len(e) > 1 and e.max() >= _local(g, list(gold), v)[gold[v]] else gold[v]
+            if k != gold[v]:
+                out += self.stats(example, gold) - self.stats(example, tuple(k if u == v else x for u, x in enumerate(gold)))
+        return out
+
+    def case_likelihood(self, example, gold, cases: list[tuple[int, ...]]) -> np.ndarray:
+        """The likelihood of gold among some settings only."""
+        g = self.build(example, self.w)
+        scores = np.array([g.score(c) for c in cases])
+        p = np.exp(scores - scores.max())
+        p /= p.sum()
+        return self.stats(example, gold) - sum(q * self.stats(example, c) for q, c in zip(p, cases, strict=True))
+
     def contrastive_divergence(self, example, gold, steps: int = 1, rng=None, start=None) -> tuple[np.ndarray, tuple]:
         """The gold setting against one that a few Gibbs steps reach from it, or from `start` (persistent chains)."""
         rng = rng or np.random.default_rng(0)

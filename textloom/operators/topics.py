@@ -219,3 +219,16 @@ def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int = 1) -> Data
     """n rows without replacement, in proportion to weights: the n smallest of exponential races, a sort that stops at n."""
     u = (F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     return rows.where(F.col(weight) > 0).withColumn("_k", -F.log(u) / F.col(weight)).orderBy("_k").limit(n).drop("_k")
+
+
+def best_gates(rows: DataFrame, value: str, weights: list[float], shares: DataFrame) -> DataFrame:
+    """Adds gate: of a categorical mixture the part that most likely gave the value; shares is (part, value, p), a value without a
+    share in a part can't come from it. Ties go to the smaller part, values in no part have none."""
+    w = F.array(*map(F.lit, weights))
+    scored = shares.select(F.col("value").alias(value), F.struct((-F.get(w, F.col("part")) * F.col("p")).alias("_s"), F.col("part").alias("_g")).alias("_x")).where(F.col("_x._s") < 0)
+    return rows.join(scored.groupBy(value).agg(F.min("_x")["_g"].alias("gate")), value, "left")
+
+
+def most_likely(counts: DataFrame, by: list[str], item: str) -> DataFrame:
+    """(by, item): the value of a discrete variable with the largest count (by, item, n), ties to the smaller."""
+    return counts.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(item).alias("v")))["v"].alias(item))

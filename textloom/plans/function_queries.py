@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from textloom.functions import maths as M
-from textloom.operators import distributions as D, evaluation as ev, graphs, optimise as O, tensors as T
+from textloom.operators import distributions as D, evaluation as ev, graphs, optimise as O, tensors as T, topics
 from textloom.plans.registry import query
 from textloom.sources.tables import load
 
@@ -315,3 +315,22 @@ def segment_scores(spark, d):
 @query("select round(avg((l_linenumber % 3 = l_partkey % 3)::int), 6) as uas, round(avg((l_linenumber % 3 = l_partkey % 3 and l_returnflag = 'N')::int), 6) as las from lineitem")
 def attachment_scores(spark, d):
     return ev.attachment(_lines(spark, d).select((F.col("l_linenumber") % 3).alias("gold_head"), (F.col("l_partkey") % 3).alias("head"), F.lit("N").alias("gold_label"), F.col("l_returnflag").alias("label")))
+
+
+_MIX = "s as (select l_returnflag as flag, l_shipmode as value from (select l_returnflag, l_linenumber as l_shipmode from lineitem)), p as (select flag, value, count(*) / sum(count(*)) over (partition by flag) as p from s group by 1, 2), w as (select flag, case flag when 'A' then 0 when 'N' then 1 else 2 end as part, case flag when 'A' then 0.25 when 'N' then 0.5 else 0.25 end as w from (select distinct flag from s))"
+
+
+@query(f"with {_MIX}, g as (select value, part, row_number() over (partition by value order by w * p desc, part) as r from p join w using (flag)) select l_orderkey, l_linenumber, part as gate, count(*) as n from lineitem join g on value = l_linenumber and r = 1 group by 1, 2, 3")
+def categorical_gates(spark, d):
+    """Which of three categorical parts most likely gave a line its number."""
+    x = _lines(spark, d)
+    part = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    n = T.tensor(x, {"part": part, "value": F.col("l_linenumber")}, F.lit(1))
+    shares = T.proportions(n, ["part"]).select("part", "value", "p")
+    return topics.best_gates(x.select("l_orderkey", "l_linenumber"), "l_linenumber", [0.25, 0.5, 0.25], shares).groupBy("l_orderkey", "l_linenumber", "gate").agg(F.count("*").alias("n"))
+
+
+@query("with c as (select user_id, event_type, count(*) as n from events group by 1, 2) select user_id, event_type from (select *, row_number() over (partition by user_id order by n desc, event_type) as r from c) where r = 1")
+def discrete_modes(spark, d):
+    c = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return topics.most_likely(c, ["user_id"], "event_type")
