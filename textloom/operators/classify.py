@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 # naive Bayes: no class prior unless asked for
 
+#: naive_bayes() gives a weight for every feature in every class; that is refused beyond so many classes
+MOST_CLASSES = 10_000
+
 
 def naive_bayes(features: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """(y, feature, w): ln of each feature's smoothed share of its class, for every class and every feature seen at all."""
@@ -18,7 +21,11 @@ def naive_bayes(features: DataFrame, labels: DataFrame, smoothing: float = 1.0)
     every = seen.select("feature").distinct()
     size = every.agg(F.count("*").alias("v"))
     totals = seen.groupBy("y").agg(F.sum("n").alias("t"))
-    grid = every.join(F.broadcast(totals.join(F.broadcast(size))))  # a row per class
+    totals = totals.join(F.broadcast(size))  # one row
+    # every feature in every class: classes as an array in each row, of a bounded number of classes
+    if (n := totals.count()) > MOST_CLASSES:
+        raise ValueError(f"{n} classes, more than {MOST_CLASSES}")
+    grid = every.join(F.broadcast(totals))
     full = grid.join(seen, ["y", "feature"], "left")
     return full.select("y", "feature", F.log((F.coalesce("n", F.lit(0)) + smoothing) / (F.col("t") + smoothing * F.col("v"))).alias("w"))
 
@@ -28,7 +35,7 @@ def predict_naive_bayes(features: DataFrame, weights: DataFrame, prior: DataFram
     counts = features.groupBy("id", "feature").agg(F.count("*").alias("n"))
     scores = counts.join(weights, "feature").groupBy("id", "y").agg(F.sum(F.col("n") * F.col("w")).alias("score"))
     if prior is not None:  # (y, p)
-        scores = scores.join(F.broadcast(prior), "y").withColumn("score", F.col("score") + F.log("p")).drop("p")
+        scores = scores.join(prior, "y").withColumn("score", F.col("score") + F.log("p")).drop("p")
     best = Window.partitionBy("id").orderBy(F.desc(F.round("score", 6)), "y")
     return scores.withColumn("r", F.row_number().over(best)).where("r = 1").select("id", F.col("y").alias("predicted"), F.round("score", 6).alias("score"))
 

@@ -138,10 +138,13 @@ def nearest_centroid(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     c = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
-    every = c.agg(F.array_sort(F.collect_list(F.struct("label", "m"))).alias("cs"))  # a row per label, in one array
+    # centroids in blocks of about a thousand: a vector meets each block once, and no array grows with the number of labels
+    blocks = c.count() // 1000 + 1
+    every = c.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("label", "m")).alias("cs"))
     far = lambda v, m: M.total(F.zip_with(v, m, lambda a, b: (a - b) * (a - b)))
-    x = e.join(F.broadcast(every))
-    return x.select("vec_id", F.array_min(F.transform("cs", lambda s: F.struct(far(F.col("v"), s["m"]).alias("d"), s["label"].alias("label"))))["label"].alias("nearest"))
+    x = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(every, "block")
+    best = F.array_min(F.transform("cs", lambda s: F.struct(far(F.col("v"), s["m"]).alias("d"), s["label"].alias("label"))))
+    return x.select("vec_id", best.alias("b")).groupBy("vec_id").agg(F.min("b")["label"].alias("nearest"))
 
 
 @query("with c as (select source, count(*) as n from documents group by 1) select source, n, round(n / sum(n) over (), 6) as share, rank() over (order by n desc) as rank from c")
