@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from textloom.functions.strings import segment
 
@@ -164,12 +167,16 @@ def packed_offsets(starts: Column, ends: Column) -> Column:
     return F.when(fits, F.transform(steps, lambda x: (F.shiftleft(x["gap"].cast("long"), 16) + x["size"])))
 
 
-def unpacked_offsets(packed: Column) -> Column:
-    """An array of (start, end) from packed_offsets()."""
-    zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
+@F.pandas_udf(ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))
+def unpacked_offsets(packed: pd.Series) -> pd.Series:
+    """An array of (start, end) from packed_offsets(): running sums, in Arrow batches."""
 
-    def more(a, x):
-        start = F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0)) + F.shiftright(x, 16)
-        return F.concat(a, F.array(F.struct(start.alias("start"), (start + x.bitwiseAND(65535)).alias("end"))))
+    def one(p):
+        if p is None:
+            return None
+        p = np.asarray(p, np.int64)
+        sizes = p & 65535
+        ends = np.cumsum((p >> 16) + sizes)
+        return [{"start": int(e - n), "end": int(e)} for e, n in zip(ends, sizes, strict=True)]
 
-    return F.aggregate(packed, zero, more)
+    return packed.map(one)

@@ -201,7 +201,7 @@ def bibtex_authors(spark, d):
     return entries.join(names, "key").select("key", F.col("fields")["title"].alias("title"), F.col("fields")["year"].alias("year"), F.array_join("parsed.given", " ").alias("given"), F.col("parsed.surname").alias("surname"), F.col("parsed.heredity").alias("heredity"), F.col("parsed.canopy").alias("canopy"))
 
 
-@query("with w as (select doc_id, regexp_extract_all(text, '[^ \\n]+') as w from documents) select doc_id, len(w) as n, cast(sum(len(x)) as bigint) as chars from (select doc_id, w, unnest(w) as x from w) group by doc_id, w")
+@query("select doc_id, len(w) as n, cast(list_sum(list_transform(w, lambda x: len(x))) as bigint) as chars from (select doc_id, regexp_extract_all(text, '[^ \\n]+') as w from documents) where len(w) > 0")
 def packed_token_offsets(spark, d):
     """Offsets packed into integers and back: the tokens' lengths come out again."""
     sizes = F.transform(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0)), lambda x: F.length(x))
