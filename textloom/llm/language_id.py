@@ -160,7 +160,7 @@ def fit(labelled: DataFrame, fit_texts: int = FIT_TEXTS) -> Model:
                 grams, times = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([index[lang]] * len(grams), pa.int32()), pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], names=["j", "gram", "n"])
 
-        for b in slices(batches, "text", 512 << 10):
+        for b in slices(batches, "text", 256 << 10):
             texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
             grams, at = gram_hashes(texts)
             for i, lang in enumerate(langs):
@@ -214,7 +214,7 @@ def identify(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
 
     def run(batches):
         known = shared.value
-        for b in slices(batches, "text", 512 << 10):
+        for b in slices(batches, "text", 256 << 10):
             langs, scores, accepted = known.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=[*keep, "lang_pred", "score", "accepted"])
 

@@ -44,8 +44,8 @@ HOT = 64
 BUCKET_BYTES, TASK_BYTES = 16 << 20, 128 << 20
 TASK_CONTEXTS = 200_000
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
-FLUSH = 400_000  # anchors that a worker packs at once
-PIECE = 512 << 10  # bytes of text that are hashed at once
+FLUSH = 250_000  # anchors that a worker packs at once
+PIECE = 256 << 10  # bytes of text that are hashed at once
 
 ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("wins", "u1"), ("left", "u1"), ("hot", "u1")])
 RANGE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
