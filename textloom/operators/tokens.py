@@ -159,12 +159,20 @@ def at_span(start: Column, end: Column, other_start: Column, other_end: Column)
     }
 
 
-def packed_offsets(starts: Column, ends: Column) -> Column:
+@F.pandas_udf(ArrayType(LongType()))
+def packed_offsets(starts: pd.Series, ends: pd.Series) -> pd.Series:
     """Token offsets in one integer each: the distance from the token before in the upper 16 bits, the length in the lower. A distance
     or length of 65,536 or more can't be packed; the whole array is null then."""
-    steps = F.transform(starts, lambda s, i: F.struct((s - F.coalesce(F.get(ends, i - 1), F.lit(0))).alias("gap"), (F.get(ends, i) - s).alias("size")))
-    fits = F.forall(steps, lambda x: (x["gap"] >= 0) & (x["gap"] < 1 << 16) & (x["size"] >= 0) & (x["size"] < 1 << 16))
-    return F.when(fits, F.transform(steps, lambda x: (F.shiftleft(x["gap"].cast("long"), 16) + x["size"])))
+
+    def one(s, e):
+        if s is None or e is None:
+            return None
+        s, e = np.asarray(s, np.int64), np.asarray(e, np.int64)
+        gaps, sizes = s - np.concatenate([[0], e[:-1]]), e - s
+        fits = ((gaps >= 0) & (gaps < 1 << 16) & (sizes >= 0) & (sizes < 1 << 16)).all()
+        return list((gaps << 16) + sizes) if fits else None
+
+    return pd.Series([one(s, e) for s, e in zip(starts, ends, strict=True)], dtype=object)
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))

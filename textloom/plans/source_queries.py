@@ -207,7 +207,8 @@ def packed_token_offsets(spark, d):
     sizes = F.transform(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0)), lambda x: F.length(x))
     x = load(spark, d, "documents").select("doc_id", sizes.alias("size")).where("size(size) > 0")
     x = x.select("doc_id", tk.unpacked_offsets(F.transform("size", lambda n: F.shiftleft(F.lit(1).cast("long"), 16) + n)).alias("o"))  # each token one after the last
-    x = x.select("doc_id", tk.packed_offsets(F.transform("o", lambda t: t["start"]), F.transform("o", lambda t: t["end"])).alias("p"))
+    x = x.select("doc_id", F.transform("o", lambda t: t["start"]).alias("s"), F.transform("o", lambda t: t["end"]).alias("e"))
+    x = x.select("doc_id", tk.packed_offsets(F.col("s"), F.col("e")).alias("p"))
     return x.select("doc_id", F.size("p").cast("long").alias("n"), F.aggregate(tk.unpacked_offsets(F.col("p")), F.lit(0).cast("long"), lambda a, t: a + t["end"] - t["start"]).alias("chars"))
 
 
