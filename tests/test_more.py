@@ -107,3 +107,31 @@ def test_divergence_of_all_languages(spark, tmp_path):
     spark.createDataFrame([(i, f"both {chr(97 + i % 26) * (2 + i // 26)}", f"l{i:02d}") for i in range(n)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     out = QUERIES["lang_js_divergence"](spark, str(tmp_path)).collect()
     assert len(out) == n * (n - 1) // 2 and {r.js for r in out} == {0.5}
+
+
+def test_forests_are_stored_and_moved():
+    from collections import Counter
+
+    from textloom.operators import resolution as rs
+
+    s = rs.Settings(cosines={"w": 1.0})
+    f = rs.Forest([{"w": Counter(x)} for x in (["a", "b"], ["a", "b"], ["c"])], s)
+    assert {k for k, *_ in rs.moves(f, 0, 1)} == {"none", "merge left", "merge right"}
+    f.merge(0, 1)
+    assert ("split", 0, None) in rs.moves(f, 0, 1) and all(k != "split" for k, *_ in rs.moves(f, 0, 1, split=False))
+    g = rs.forest_of(rs.forest_rows(f), s)
+    assert g.score() == f.score() and g.root(0) == g.root(1) != g.root(2) and g.next == f.next
+    pairs = list(rs.pair_sequence(5, 50, 3))
+    assert pairs == list(rs.pair_sequence(5, 50, 3)) and all(a != b for a, b in pairs) and not list(rs.pair_sequence(1, 5))
+    assert abs(rs.dense_entropy([1, 1, 1, 1]) - 1) < 1e-12 and rs.dense_entropy([0, 2]) == 0 and rs.dense_entropy([]) == 0
+
+
+def test_topic_shares_of_new_documents(spark):
+    import numpy as np
+
+    from textloom.sources.models import topic_shares_of
+
+    phi = np.array([[0.9, 0.05], [0.05, 0.9], [0.05, 0.05]])
+    docs = spark.createDataFrame([(1, [0, 0, 0]), (2, [1, 1, 99]), (3, []), (4, None)], "doc_id long, words array<int>")
+    out = {r.doc_id: r.theta for r in topic_shares_of(docs, phi, np.array([0.1, 0.1])).collect()}
+    assert out[1][0] > 0.9 and out[2][1] > 0.9 and out[3] == [0.5, 0.5] == out[4]

@@ -189,3 +189,49 @@ def pair_features(pairs: DataFrame) -> DataFrame:
         F.concat(a["kind"], F.lit("-"), b["kind"]).alias("kinds"),
         F.least(F.floor(F.log2(F.greatest(b["first"] - a["last"], F.lit(1)).cast("double"))), F.lit(6)).alias("distance"),
     )
+
+
+def entity_types(mentions: DataFrame, lexicons: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Adds entity_type (person, organisation, location, other): by titles and suffixes in the phrase, then by lexicons (phrase) of
+    whole phrases, the first kind by name where several know it."""
+    words = F.split(F.lower("string"), r"\s+")
+    has = lambda ws: F.arrays_overlap(words, F.array(*map(F.lit, ws)))
+    by_word = F.when(has((*MALE, *FEMALE, "dr", "dr.", "prof", "prof.")), "person").when(has(("inc", "inc.", "ltd", "ltd.", "corp", "corp.", "company", "university", "bank", "institute", "party", "council")), "organisation").when(has(("street", "river", "lake", "mount", "island", "city", "county", "valley", "bay", "ocean", "sea", "region")), "location")
+    out = mentions.withColumn("_t", by_word).withColumn("_p", F.lower("string"))
+    if lexicons:
+        known = None
+        for kind, lexicon in lexicons.items():
+            rows = lexicon.select(F.lower("phrase").alias("_p"), F.lit(kind).alias("_k"))
+            known = rows if known is None else known.union(rows)
+        out = out.join(known.groupBy("_p").agg(F.min("_k").alias("_k")), "_p", "left").withColumn("_t", F.coalesce("_t", "_k")).drop("_k")
+    return out.withColumn("entity_type", F.coalesce("_t", F.lit("other"))).drop("_t", "_p")
+
+
+def tree_phrases(rows: DataFrame, by: str = "sent_id") -> DataFrame:
+    """(sent_id, head, first, last) of the phrase of every noun and pronoun of a dependency tree (sent_id, pos, head, pos_tag): from the
+    first to the last token that hangs from it. Each token's chain of heads is followed inside its sentence's row."""
+    toks = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("pos", "head"))))
+    sents = rows.groupBy(by).agg(toks.alias("heads"), F.collect_list(F.struct("pos", "pos_tag")).alias("toks"))
+    n = F.size("heads")
+
+    def chain(pos):  # the token and all above it
+        step = lambda a, _: F.when(F.element_at(a, -1).isNull(), a).otherwise(F.concat(a, F.array(F.col("heads")[F.element_at(a, -1)])))
+        return F.filter(F.aggregate(F.sequence(F.lit(1), n), F.array(pos), step), lambda x: x.isNotNull())
+
+    pairs = sents.select(by, F.explode("toks").alias("t"), "heads").select(by, F.col("t.pos").alias("member"), F.explode(chain(F.col("t.pos"))).alias("pos"))
+    nouns = rows.where(F.col("pos_tag").rlike("^(?:NN|PRP)")).select(by, "pos")
+    return pairs.join(nouns, [by, "pos"]).groupBy(by, F.col("pos").alias("head")).agg(F.min("member").alias("first"), F.max("member").alias("last"))
+
+
+def relation_features(candidates: DataFrame, toks: DataFrame) -> DataFrame:
+    """(doc_id, sent, a, b, features) of candidate pairs: the heads, their order, how many words stand between, and those words."""
+    key = ["doc_id", "sent", "a", "b"]
+    lo, hi = F.least("a.last", "b.last"), F.greatest("a.first", "b.first")
+    rows = candidates.withColumn("_lo", lo).withColumn("_hi", hi)
+    between = rows.join(toks.select("doc_id", "sent", "pos", F.lower("string").alias("w")), ["doc_id", "sent"]).where("pos > _lo and pos < _hi")
+    words = between.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("words"))
+    out = rows.join(words, key, "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    near = F.when(F.size("words") < 1, "none").when(F.size("words") < 4, "few").otherwise("many")
+    last = lambda m: F.element_at(F.split(F.lower(m), " "), -1)
+    feats = F.concat(F.array(F.concat(F.lit("a="), last(F.col("a.string"))), F.concat(F.lit("b="), last(F.col("b.string"))), F.when(F.col("a.first") < F.col("b.first"), "a<b").otherwise("b<a"), F.concat(F.lit("between="), near)), F.transform(F.array_distinct("words"), lambda w: F.concat(F.lit("w="), w)))
+    return out.select("doc_id", "sent", F.col("a.string").alias("a"), F.col("b.string").alias("b"), feats.alias("features"))

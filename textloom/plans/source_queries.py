@@ -236,3 +236,31 @@ def skipped_headers(spark, d):
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey offset 10 limit 25")
 def cursor_page(spark, d):
     return load(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(10).limit(25)
+
+
+@query("select 'E' || n_nationkey as entity, 'E' || n_nationkey || '-1' as mention, case when n_regionkey < 2 then 'NAM' else 'NOM' end as kind, n_nationkey * 3 as first, n_nationkey * 3 + length(n_name) // 4 as last from nation")
+def mention_annotations(spark, d):
+    """Mentions of annotation files by raw offsets, mapped to tokens of four characters."""
+    path = scratch(spark, "mentions")
+    n = load(spark, d, "nation")
+    at = F.col("n_nationkey") * 12
+    xml = F.format_string("<doc><entity ID='E%1$d'><entity_mention ID='E%1$d-1' TYPE='%2$s'><extent><charseq START='%3$d' END='%4$d'>x</charseq></extent></entity_mention></entity></doc>", "n_nationkey", F.when(F.col("n_regionkey") < 2, "NAM").otherwise("NOM"), at, at + F.length("n_name"))
+    n.select(xml.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = corpora.read_mentions_xml(spark, path).withColumn("doc_id", F.lit(1))
+    toks = spark.range(400).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("pos"), (F.col("id") * 4).cast("int").alias("start"), (F.col("id") * 4 + 4).cast("int").alias("end"))
+    return found.join(corpora.mentions_on_tokens(found, toks), ["doc_id", "mention"]).select("entity", "mention", "kind", "first", "last")
+
+
+@query("select vec_id, i - 1 as dim, embedding[i]::double as x from (select vec_id, embedding, unnest(range(1, 9)) as i from embeddings)")
+def stored_arrays(spark, d):
+    """Vectors as one array of a model, stored in blocks and read back."""
+    import numpy as np
+
+    from textloom.sources import models
+
+    path = scratch(spark, "model")
+    e = load(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v")).orderBy("vec_id").toArrow()
+    models.save_arrays(spark, {"v": np.array(e.column("v").to_pylist(), np.float32), "ids": e.column("vec_id").to_numpy()}, path)
+    a = models.load_arrays(spark, path)
+    rows = [(int(i), k, float(x)) for i, v in zip(a["ids"], a["v"], strict=True) for k, x in enumerate(v)]
+    return spark.createDataFrame(rows, "vec_id long, dim int, x double")

@@ -114,3 +114,34 @@ def _log_sum(x: pd.Series) -> float:
 def user_accumulator(spark, d):
     """A user-defined aggregate in Arrow batches."""
     return load(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(_log_sum(F.col("l_quantity") / 10), 4).alias("total"))
+
+
+@query("select c_custkey, case when c_custkey % 4 = 0 then 'person' when c_custkey % 4 = 1 then 'organisation' when c_custkey % 4 = 2 then 'location' else 'other' end as entity_type from customer")
+def mention_entity_types(spark, d):
+    from textloom.operators import mentions as mn
+
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("Mrs. "), "c_name")).when(k == 1, F.concat("c_name", F.lit(" Inc."))).otherwise(F.col("c_name"))
+    c = load(spark, d, "customer")
+    return mn.entity_types(c.select("c_custkey", name.alias("string")), {"location": c.where("c_custkey % 4 = 2").select(F.col("c_name").alias("phrase"))}).select("c_custkey", "entity_type")
+
+
+@query("with t as (select l_orderkey as sent_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 as pos, l_returnflag as f from lineitem), n as (select sent_id, max(pos) as last from t group by 1) select sent_id, pos as head, pos as first, last from t join n using (sent_id) where f = 'N'")
+def phrases_of_trees(spark, d):
+    """Every token hangs from the one before it; those with flag N are nouns."""
+    from textloom.operators import mentions as mn
+    from textloom.plans.source_queries import _rows
+
+    rows = _rows(spark, d).select(F.col("doc").alias("sent_id"), "pos", F.when(F.col("pos") > 0, F.col("pos") - 1).alias("head"), F.when(F.col("tag") == "N", "NN").otherwise("X").alias("pos_tag"))
+    return mn.tree_phrases(rows)
+
+
+@query("with t as (select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 as pos, l_partkey, l_returnflag as f from lineitem), m as (select * from t where f = 'R'), o as (select *, lead(pos) over (partition by doc_id order by pos) as next, lead(l_partkey) over (partition by doc_id order by pos) as np from m), p as (select doc_id, pos as x, next as y, l_partkey as a, np as b, 'a<b' as dir from o where next is not null union all select doc_id, pos, next, np, l_partkey, 'b<a' from o where next is not null) select doc_id, 'p' || a as a, 'p' || b as b, 'a=p' || a || ' b=p' || b || ' ' || dir || ' between=' || case when y - x - 1 < 1 then 'none' when y - x - 1 < 4 then 'few' else 'many' end as features, count(*) as n from p group by 1, 2, 3, 4")
+def relation_pair_features(spark, d):
+    from textloom.operators import mentions as mn
+    from textloom.plans.source_queries import _rows
+
+    toks = _rows(spark, d).select(F.col("doc").alias("doc_id"), "sent", "pos", F.col("word").alias("string"), "tag")
+    m = toks.where("tag = 'R'").select("doc_id", "sent", F.col("pos").alias("first"), F.col("pos").alias("last"), "string")
+    f = mn.relation_features(mn.relation_candidates(m, 1), toks)
+    return f.select("doc_id", "a", "b", F.array_join(F.slice("features", 1, 4), " ").alias("features")).groupBy("doc_id", "a", "b", "features").agg(F.count("*").alias("n"))

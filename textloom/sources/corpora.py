@@ -124,3 +124,23 @@ def to_json(rows: DataFrame, into: str = "json") -> DataFrame:
 
 def from_json(rows: DataFrame, schema: str, column: str = "json") -> DataFrame:
     return rows.select(F.from_json(column, schema).alias("r")).select("r.*")
+
+
+def read_mentions_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(file, entity, mention, kind, start, end) of entity mentions in annotation files, one file a value: raw character offsets, the end
+    exclusive."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    base = "//entity/entity_mention"
+    x = lambda q: F.xpath("value", F.lit(q))
+    cols = {"mention": f"{base}/@ID", "kind": f"{base}/@TYPE", "start": f"{base}/extent/charseq/@START", "end": f"{base}/extent/charseq/@END"}
+    rows = files.select(F.input_file_name().alias("file"), F.explode(F.arrays_zip(*(x(q).alias(c) for c, q in cols.items()))).alias("m"))
+    entity = F.regexp_replace("m.mention", r"-[^-]*$", "")
+    return rows.select("file", entity.alias("entity"), "m.mention", "m.kind", F.col("m.start").cast("int").alias("start"), (F.col("m.end").cast("int") + 1).alias("end"))
+
+
+def mentions_on_tokens(mentions: DataFrame, toks: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, mention, first, last): raw offsets mapped to the tokens (by, pos, start, end) that they overlap; mentions between tokens have
+    none and are left out."""
+    t = toks.select(by, "pos", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    met = mentions.join(t, by).where("_s < end and start < _e")
+    return met.groupBy(by, "mention").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
