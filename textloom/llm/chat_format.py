@@ -9,7 +9,8 @@ The template marks turns by control strings; inside texts and roles each control
 
 Null roles and texts are empty. Rows of a conversation are ordered by turn, then role, then text. A record of an unknown layout
 has null turns, so it is seen and not lost. A conversation must fit Spark's limits for one string and one variant value;
-a record that is too large for a variant is an error.
+a record that is too large for a variant is an error. Repeated rows are turns of their own. Further columns are ignored; an empty
+table gives no conversations (the query then has the planted one only).
 """
 
 from __future__ import annotations

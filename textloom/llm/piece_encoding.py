@@ -5,7 +5,7 @@ normaliser records for each normalised byte the source byte it came from. The li
 piece's span in the normalised text then projects through that record to bytes of the source text.
 
 Null text counts as empty; empty text has no ids, no spans and decodes to an empty string. Repeated rows give repeated results;
-further columns are ignored except those named in `keep`.
+further columns are ignored except those named in `keep`. Texts are taken whole, however long; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ broadcast); the frequencies of all others are joined to the table by a shuffle,
 A pre-token outside the frequent ones can't be hot.
 
 Null text is empty: 0 bytes, 0 tokens. Special strings (as in the library's default) split the text and count as one token.
-Repeated rows of the same id are counted as separate rows through their own row key.
+Repeated rows of the same id, and rows without one, are counted as separate rows through their own row key. Texts are taken whole,
+however long; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
