@@ -72,3 +72,15 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in (0, 0, 1):
         ev.incremental_vocabulary(docs, k, str(tmp_path / "voc"))
     assert {r.term: r.n for r in ev.vocabulary_so_far(spark, str(tmp_path / "voc")).collect()} == {"a": 4, "b": 2}
+
+
+def test_entities_of_a_stream_keep_their_first_document(spark, tmp_path):
+    schema = "doc_id long, string string"
+    for k, rows in enumerate([[(3, "Ann"), (2, "ann"), (4, "Bob")], [(1, "ANN"), (5, "Eve"), (6, None)], [(9, "bob")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = ev.stream_entities(stream).writeStream.outputMode("append").format("memory").queryName("entities").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    rows = {(r.name, r.doc_id): (r.entity, r.seen) for r in spark.table("entities").collect()}
+    assert len(rows) == 6 and len({rows[k][0] for k in rows if k[0] == "ann"}) == 1 and {rows[k][1] for k in rows if k[0] == "ann"} == {1, 2, 3}
+    assert rows[("eve", 5)] == (5, 1) and rows[("bob", 4)][0] == rows[("bob", 9)][0]

@@ -35,3 +35,25 @@ def incremental_vocabulary(batch: DataFrame, batch_id: int, state: str) -> None:
 
 def vocabulary_so_far(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.parquet(state).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def stream_entities(mentions: DataFrame, doc: str = "doc_id", name: str = "string") -> DataFrame:
+    """(name, doc_id, entity, seen): cross-document coreference over a stream of mentions. State is kept for each lower-cased name: the
+    first document that had it, whose id is the entity, and how many mentions there were so far. Within a micro-batch documents go by id."""
+    import pandas as pd
+
+    kind = mentions.schema[doc].dataType.simpleString()
+
+    def update(key, batches, state):
+        first, seen = state.get if state.exists else (None, 0)
+        rows = sorted(d for pdf in batches for d in pdf[doc])
+        out = []
+        for d in rows:
+            first = int(d) if first is None else first
+            seen += 1
+            out.append((key[0], d, first, seen))
+        state.update((first, seen))
+        yield pd.DataFrame(out, columns=["name", doc, "entity", "seen"])
+
+    keyed = mentions.select(F.lower(name).alias("name"), doc).where("name is not null")
+    return keyed.groupBy("name").applyInPandasWithState(update, f"name string, {doc} {kind}, entity long, seen long", "entity long, seen long", "append", "NoTimeout")
