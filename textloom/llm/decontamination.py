@@ -26,8 +26,8 @@ from textloom.llm.common import broadcast_if_small, materialise, table
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: a word of a text that isn't lower-cased yet
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: what separates the words of a text that isn't lower-cased yet
+RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
@@ -36,12 +36,31 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lowered, SEPARATORS), ""), F.array().cast("array<string>"))
 
 
+def count_words(text: Column) -> Column:
+    """size(words_of(text)), without making the words: separators are fewer to find."""
+    at = lambda i: F.substring(text, i, 1).rlike(RAW_SEPARATOR).cast("int")
+    return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(RAW_SEPARATOR + "+")) + 1 - at(1) - at(-1)).otherwise(0)
+
+
 def _sliding(values: str, width: int, best) -> Column:
-    """The best of each `width` consecutive values."""
+    """best() of each `width` consecutive values."""
     whole = F.slice(values, 1, F.greatest(F.size(values) - (width - 1), F.lit(0)))
     return F.transform(whole, lambda x, i: best(x, *(F.get(values, i + j) for j in range(1, width))))
 
 
+def _sliding_least(df: DataFrame, values: str, width: int, into: str) -> DataFrame:
+    """Adds the least of each `width` consecutive values: arrays are zipped with themselves, shifted by 1, 2, 4, ..., which is cheaper than
+    to look up each value `width` times. Every step is a column, so that none is computed twice."""
+    now, reach, names = values, 1, []
+    while reach < width:
+        step = min(reach, width - reach)
+        name, n = f"_least{reach}", F.greatest(F.size(now) - step, F.lit(0))
+        df = df.withColumn(name, F.zip_with(F.slice(now, 1, n), F.slice(now, step + 1, n), lambda x, y: F.least(x, y)))
+        names.append(name)
+        now, reach = name, reach + step
+    return df.withColumn(into, F.col(now)).drop(*names)
+
+
 def fingerprinted(df: DataFrame, window: int) -> DataFrame:
     """Adds words, hashes, and prints: (p, key) of the k-grams that are the least of some window."""
     k = window // 2
@@ -49,10 +68,16 @@ def fingerprinted(df: DataFrame, window: int) -> DataFrame:
     df = df.withColumn("words", words_of(F.col("text"))).drop("text")
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     df = df.withColumn("grams", _sliding("hashes", k, lambda *x: F.xxhash64(*x)))
-    df = df.withColumn("least", _sliding("grams", grams, F.least))
-    # a k-gram is kept if it is as small as the least of one of the windows it is in
-    kept = F.transform("grams", lambda x, i: F.when(x == F.greatest(*(F.get("least", i - j) for j in range(grams))), F.struct(i.alias("p"), x.alias("key"))))
-    return df.withColumn("prints", F.when(F.size("least") > 0, F.filter(kept, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<p:int,key:bigint>>"))).drop("grams", "least")
+    df = _sliding_least(df, "grams", grams, "least")
+
+    def print_at(x, i):  # a k-gram is kept if it is the least of one of the windows it is in
+        is_least = x == F.get("least", i)
+        for j in range(1, grams):
+            is_least = is_least | (x == F.get("least", i - j))
+        return F.when(is_least, F.struct(i.alias("p"), x.alias("key")))
+
+    kept = F.filter(F.transform("grams", print_at), lambda x: x.isNotNull())
+    return df.withColumn("prints", F.when(F.size("least") > 0, kept).otherwise(F.array().cast("array<struct<p:int,key:bigint>>"))).drop("grams", "least")
 
 
 def benchmark_items(items: DataFrame) -> DataFrame:
@@ -138,7 +163,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep:
     size = hit.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
     few = broadcast_if_small(hit, sum(size), BROADCAST_ROWS)
     kept = [F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)]
-    out = _marked(docs.select(*kept, "doc_id", "text")).select(*(f"keep_{i}" for i in range(len(keep))), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("none"), F.col("mark").alias("key_mark"), F.col("n").alias("key_n"))
+    out = _marked(docs.select(*kept, "doc_id", "text")).select(*(f"keep_{i}" for i in range(len(keep))), F.coalesce(count_words(F.col("text")), F.lit(0)).cast("long").alias("n_words"), F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("none"), F.col("mark").alias("key_mark"), F.col("n").alias("key_n"))
     same = (F.col("key") == F.coalesce("d", F.lit(0))) & (F.col("none") == F.col("no_id")) & (F.col("key_mark") == F.col("mark")) & (F.col("key_n") == F.col("n"))
     out = out.join(few, same, "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
