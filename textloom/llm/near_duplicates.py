@@ -43,6 +43,8 @@ _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIPS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
 _KEYS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
+#: odd factors of a shingle's words, for each of the two hashes
+_PLACES = _rng.integers(1, 1 << 63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = (0x2545F4914F6CDD1D, 0x71D67FFFEDA60001)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -68,8 +70,10 @@ def word_hashes(col: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return hash_spans(data, starts, stops, _SEEDS), np.searchsorted(starts, ends)
 
 
-def shingle_sets(col: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each distinct shingle of each text, sorted, one text after another, and where each text's begin."""
+def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each distinct shingle of each text, sorted, one text after another, and where each text's begin. A shingle's hash is
+    a sum of its words' hashes, which are not sums of anything, times a factor for each place, mixed."""
+    words = WORDS
     hashes, at = word_hashes(col)
     n = len(col)
     counts = np.diff(at)
@@ -79,17 +83,21 @@ def shingle_sets(col: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndar
     short = np.flatnonzero((counts > 0) & (counts < words))
     owner = np.concatenate([doc[: max(many, 0)][whole], short])
     values = []
-    for h in hashes:
+    for h, places in zip(hashes, _PLACES, strict=True):
         value = np.zeros(max(many, 0), np.uint64)
         for k in range(words if many > 0 else 0):
-            value = mix((value ^ h[k : k + many]) + np.uint64(k + 1))
-        less = np.full(len(short), len(short) and 7, np.uint64)
+            value += h[k : k + many] * places[k]
+        less = counts[short].astype(np.uint64)
         for k in range(words - 1):
             has = counts[short] > k
-            less[has] = mix((less[has] ^ h[at[short[has]] + k]) + np.uint64(k + 1))
-        values.append(np.concatenate([value[whole], less]))
-    order = np.lexsort((values[1], values[0], owner))
-    a, b, owner = values[0][order], values[1][order], owner[order]
+            less[has] += h[at[short[has]] + k] * places[k]
+        values.append(mix(np.concatenate([value[whole], less])))
+    order = np.lexsort((values[0], owner))
+    a, b = values[0][order], values[1][order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # hardly ever
+        order = np.lexsort((values[1], values[0], owner))
+        a, b = values[0][order], values[1][order]
+    owner = owner[order]
     keep = np.ones(len(a), bool)
     keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])
     a, b, owner = a[keep], b[keep], owner[keep]
