@@ -105,7 +105,11 @@ def test_keys_hold_the_pigeonhole():
     assert all(set(x) & set(y) for x, y in zip(nd.chunk_keys(a), nd.chunk_keys(b)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 20, 15_000])
+def test_components(spark, monkeypatch, one_task):
+    from textloom.llm import graph
+
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     out = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert out == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
