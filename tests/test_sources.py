@@ -84,3 +84,30 @@ def test_entities_of_a_stream_keep_their_first_document(spark, tmp_path):
     rows = {(r.name, r.doc_id): (r.entity, r.seen) for r in spark.table("entities").collect()}
     assert len(rows) == 6 and len({rows[k][0] for k in rows if k[0] == "ann"}) == 1 and {rows[k][1] for k in rows if k[0] == "ann"} == {1, 2, 3}
     assert rows[("eve", 5)] == (5, 1) and rows[("bob", 4)][0] == rows[("bob", 9)][0]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """Splits shorter than a line, than a sentence and than a file give what whole files give, and no file meets in one task."""
+    import random
+
+    r = random.Random(3)
+    want = set()
+    for f in range(3):
+        lines = [r.choice(["", "a b", "# x", "c" * 30, "-D-"]) for _ in range(400 * f)]
+        put(tmp_path / "in" / f"f {f}.txt", "\n".join(lines) + "\n" * bool(lines))
+        doc, sent, pos, fresh = 0, -1, 0, True
+        for line in lines:
+            if line in ("", "-D-"):
+                doc, fresh = doc + (line == "-D-"), True
+                continue
+            sent, pos, fresh = (sent + 1, 0, False) if fresh else (sent, pos + 1, False)
+            want.add((f"{f}", doc, sent, pos, line.split(" ")[0]))
+    for size in ("64b", "1000b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = src.read_columns(spark, str(tmp_path / "in"), ["w"], " ", document="-D-")
+            assert {(x.file[-5], x.doc, x.sent, x.pos, x.w) for x in rows.collect()} == want
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "Window" not in plan and "Exchange" not in plan
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")

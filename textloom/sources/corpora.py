@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from textloom.sources.text import numbered_lines, read_columns
+from textloom.sources.text import marked_lines, read_columns
 
 
 def bracket_spans(cells: list[str]) -> list[tuple[str, int, int]]:
@@ -44,10 +44,7 @@ SPANS = "array<struct<label:string,first:int,last:int>>"
 
 def read_conll2011(spark: SparkSession, path: str) -> DataFrame:
     """(file, doc, part, sent, words, tags, ner, constituents, coref): a sentence per row; `#begin document` starts documents."""
-    lines = numbered_lines(spark, path)
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.col("line").startswith("#begin document")
-    lines = lines.withColumn("d", F.sum(begins.cast("int")).over(w)).withColumn("gap", F.sum((F.trim("line") == "").cast("int")).over(w))
+    lines = marked_lines(spark, path, F.trim("line") == "", F.col("line").startswith("#begin document")).withColumnRenamed("doc", "d")
     f = F.split(F.trim("line"), r"\s+")
     rows = lines.where(~F.col("line").startswith("#") & (F.trim("line") != "")).select("file", "d", "gap", "n", f.alias("f")).where(F.size("f") > 11)
     cell = lambda i: F.get("f", F.lit(i)) if i >= 0 else F.element_at("f", i)
@@ -91,9 +88,7 @@ def read_sectioned(spark: SparkSession, path: str, begin: str = r"(?i)<doc[^>]*\
 def read_encyclopedia(spark: SparkSession, path: str) -> DataFrame:
     """(title, text) of plain-text dumps whose articles begin with `[[title]]` alone on a line."""
     title = F.regexp_extract("line", r"^\[\[([^\]]+)\]\][ \t]*$", 1)
-    lines = numbered_lines(spark, path).withColumn("title", title)
-    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("article", F.sum((F.col("title") != "").cast("int")).over(so_far)).where("article > 0")
+    lines = marked_lines(spark, path, document=title != "").withColumn("title", title).withColumnRenamed("doc", "article").where("article > 0")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("title") == "", F.struct("n", "line")))), lambda x: x["line"]), "\n")
     rows = lines.groupBy("file", "article").agg(F.max("title").alias("title"), body.alias("text"))
     return rows.select("title", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))

@@ -1,9 +1,11 @@
 """Readers and writers of text corpora. Line-based formats are read by Spark's text source; sentence and document numbers are
-running sums over a file's lines, so files are the unit that a window holds together."""
+running sums over a file's lines, from sums per split of the files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def read_documents(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
@@ -36,25 +38,103 @@ def _groups(pattern: str) -> int:
     return re.compile(pattern).groups
 
 
+def _spans_of_splits(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the runs of equal rows."""
+    if not len(keys):
+        return []
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True))
+
+
+class _Split:
+    """Counts down the lines of one split: lines, gaps, documents, the last gap's place and the lines that follow a gap."""
+
+    def __init__(self, base=(0, 0, 0, -1, 0, True)):
+        self.n, self.gaps, self.docs, self.last, self.sents, self.after = base
+
+    def take(self, marks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(n, gap, doc, pos, sent) of the next lines, from their marks: 1 for a gap, 2 for a document's start."""
+        gap, n = (marks & 1).astype(bool), self.n + np.arange(len(marks))
+        begins = ~gap & np.concatenate([[self.after], gap[:-1]])
+        last = np.maximum.accumulate(np.where(gap, n, self.last))
+        gaps, docs, sents = self.gaps + np.cumsum(gap), self.docs + np.cumsum(marks >> 1 & 1), self.sents + np.cumsum(begins)
+        self.n, self.gaps, self.docs, self.last, self.sents, self.after = int(n[-1]) + 1, int(gaps[-1]), int(docs[-1]), int(last[-1]), int(sents[-1]), bool(gap[-1])
+        return n, gaps, docs, n - last - 1, sents - 1
+
+
+def marked_lines(spark: SparkSession, path: str, gap: Column | None = None, document: Column | None = None) -> DataFrame:
+    """(file, file_id, n, line, gap, doc, pos, sent): lines with their place in their file, the gaps and the starts of documents so far,
+    the place after the last gap and the number of runs of other lines so far, from 0. Conditions are on `line`.
+
+    Files are split like any text. Each split is counted once for itself, a row a split goes to the driver, and the lines are numbered
+    where they are read from the sums of the splits before: nothing is shuffled or sorted, and no file or split is held."""
+    mark = (F.coalesce(gap, F.lit(False)) if gap is not None else F.lit(False)).cast("int") + (F.coalesce(document, F.lit(False)) if document is not None else F.lit(False)).cast("int") * 2
+    m = F.col("_metadata")
+    same = lambda p: F.xxhash64(F.regexp_replace(p, "^([^:/]+):/+", "$1:/"))  # one of Spark's two lists of paths has file:///, the other file:/
+    lines = spark.read.text(path).select(same(m["file_path"]).alias("f"), m["file_block_start"].alias("b"), m["file_block_length"].alias("z"), F.col("value").alias("line"))
+    lines = lines.withColumn("mark", mark.cast("byte"))
+    at = ["f", "b", "z"]
+    key = lambda batch: np.stack([batch.column(c).to_numpy() for c in at], 1)
+
+    def count(batches):
+        open_: dict[tuple, list] = {}
+        for batch in batches:
+            keys, marks = key(batch), batch.column("mark").to_numpy()
+            for i, j in _spans_of_splits(keys):
+                k = tuple(keys[i].tolist())
+                if k not in open_:
+                    open_[k] = [not marks[i] & 1, _Split((0, 0, 0, -1, 0, False))]
+                open_[k][1].take(marks[i:j])
+        rows = [(*k, token, s.n, s.gaps, s.docs, s.last, s.sents, s.after) for k, (token, s) in open_.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["f", "b", "z", "token", "n", "gaps", "docs", "last", "sents", "after"])
+
+    per = lines.select(*at, "mark").mapInArrow(count, "f long, b long, z long, token boolean, n long, gaps long, docs long, last long, sents long, after boolean")
+    names = spark.read.text(path).inputFiles()
+    hashed = {r.f: r.p for r in spark.createDataFrame([(x,) for x in names], "p string").select("p", same(F.col("p")).alias("f")).collect()} if names else {}
+    bases: dict[tuple, tuple] = {}
+    files: dict[int, int] = {}
+    for f, b, z, token, n, gaps, docs, last, sents, after in sorted(map(tuple, per.collect())):
+        if f not in files:
+            files[f], so_far = len(files), (0, 0, 0, -1, 0, True)
+        bases[f, b, z] = (files[f], so_far)
+        so_far = (so_far[0] + n, so_far[1] + gaps, so_far[2] + docs, so_far[0] + last if last >= 0 else so_far[3], so_far[4] + sents + (token and so_far[5]), after)
+    shared = spark.sparkContext.broadcast(bases)
+
+    def number(batches):
+        now, split, file = None, None, 0
+        for batch in batches:
+            keys, marks = key(batch), batch.column("mark").to_numpy()
+            parts, ids = [], []
+            for i, j in _spans_of_splits(keys):
+                k = tuple(keys[i].tolist())
+                if k != now:
+                    if k not in shared.value:
+                        raise RuntimeError("files were split differently when they were counted")
+                    now, (file, base) = k, shared.value[k]
+                    split = _Split(base)
+                parts.append(split.take(marks[i:j]))
+                ids.append(np.full(j - i, file))
+            if parts:
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), batch.column("line"), *(pa.array(c) for c in columns)], names=["file_id", "line", "n", "gap", "doc", "pos", "sent"])
+
+    out = lines.select(*at, "mark", "line").mapInArrow(number, "file_id long, line string, n long, gap long, doc long, pos long, sent long")
+    return out.withColumn("file", F.get(F.split(F.lit("\n".join(hashed.get(f, str(f)) for f in files)), "\n"), F.col("file_id").cast("int")))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line): lines in their order in each file. Files are split like any text; a line's number is its place within its
-    split and the lines of the splits before it, so no file is ever held as one value."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    order = Window.partitionBy("file").orderBy("block", "at")
-    return lines.select("file", (F.row_number().over(order) - 1).alias("n"), "line")
+    """(file, n, line): lines in their order in each file."""
+    return marked_lines(spark, path).select("file", "n", "line")
 
 
 def read_columns(spark: SparkSession, path: str, names: list[str], separator: str = r"\s+", document: str | None = None) -> DataFrame:
     """(file, doc, sent, pos, *names): a token per line; blank lines end sentences, lines that begin with `document` documents."""
-    lines = numbered_lines(spark, path)
     blank = F.trim("line") == ""
     starts = F.col("line").startswith(document) if document else F.lit(False)
-    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("doc", F.sum(starts.cast("int")).over(so_far)).withColumn("gap", F.sum((blank | starts).cast("int")).over(so_far)).where(~blank & ~starts)
-    rows = rows.withColumn("sent", F.dense_rank().over(Window.partitionBy("file").orderBy("gap")) - 1)
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("file", "sent").orderBy("n")) - 1)
+    rows = marked_lines(spark, path, blank | starts, starts).where(~blank & ~starts)
     fields = F.split("line", separator)
-    return rows.select("file", "doc", "sent", "pos", *(F.get(fields, i).alias(name) for i, name in enumerate(names)))
+    return rows.select("file", "doc", F.col("sent").cast("int").alias("sent"), F.col("pos").cast("int").alias("pos"), *(F.get(fields, i).alias(name) for i, name in enumerate(names)))
 
 
 def read_owpl(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
@@ -174,13 +254,12 @@ def write_topic_state(docs: DataFrame, alphas: list[float], path: str) -> None:
 
 def read_topic_state(spark: SparkSession, path: str) -> tuple[DataFrame, list[float]]:
     """What write_topic_state() wrote: (name, words, topics), and the alphas."""
-    lines = numbered_lines(spark, path)
-    alphas = lines.where("line like '/alphas %'").select("line").first()
-    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.where("line not like '/alphas %'").withColumn("doc", F.sum(F.col("line").startswith("/name ").cast("int")).over(so_far))
+    alphas = spark.read.text(path).where("value like '/alphas %'").first()
+    named = F.col("line").startswith("/name ")
+    rows = marked_lines(spark, path, document=named).where("line not like '/alphas %'")
     word = F.struct("n", F.split("line", " ")[0].alias("w"), F.split("line", " ")[1].cast("int").alias("z"))
-    per = rows.groupBy("file", "doc").agg(F.max(F.when(F.col("line").startswith("/name "), F.expr("substring(line, 7)"))).alias("name"), F.array_sort(F.collect_list(F.when(~F.col("line").startswith("/name "), word))).alias("x"))
-    return per.select("name", F.transform("x", lambda x: x["w"]).alias("words"), F.transform("x", lambda x: x["z"]).alias("topics")), [float(a) for a in alphas["line"].split()[1:]] if alphas else []
+    per = rows.groupBy("file_id", "doc").agg(F.max(F.when(named, F.expr("substring(line, 7)"))).alias("name"), F.array_sort(F.collect_list(F.when(~named, word))).alias("x"))
+    return per.select("name", F.transform("x", lambda x: x["w"]).alias("words"), F.transform("x", lambda x: x["z"]).alias("topics")), [float(a) for a in alphas["value"].split()[1:]] if alphas else []
 
 
 def save_documents(annotated: DataFrame, path: str) -> None:
