@@ -57,3 +57,21 @@ def test_tags_and_forms(spark):
     df = spark.createDataFrame([("NNS", "city", "cities"), ("VBZ", "box", "boxes"), ("??", "wolf", "wolves"), ("PRP$", "day", "days"), ("IN", "child", "children")], "t string, one string, many string")
     out = df.select(tg.universal_tag(F.col("t")).alias("u"), "one", "many", tg.plural(F.col("one")).alias("p"), tg.singular(F.col("many")).alias("s")).collect()
     assert [r.u for r in out] == ["NOUN", "VERB", "X", "PRON", "ADP"] and all((r.p, r.s) == (r.many, r.one) for r in out)
+
+
+def test_words_of_tags_by_batches(spark):
+    """Nulls, empty arrays, characters of several bytes, unequal lengths and long arrays; the time is in proportion to the characters."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import tagging as tg
+
+    rows = [(["a", "é", "𝄞", "b"], ["B", "E", "S", "S"]), (None, ["S"]), (["a"], None), ([], []), (["a", "b"], ["M", "M", "S"]), (["a", "b", "c"], ["M", "B"]), (["x", None, "y"], ["B", "M", "E"]), (["p", "q"], [None, "M"])]
+    df = spark.createDataFrame(rows, "c array<string>, t array<string>").coalesce(1)
+    got = [r.w for r in df.select(tg.words_of_tags(F.col("c"), F.col("t")).alias("w")).collect()]
+    assert got == [["aé", "𝄞", "b"], None, None, [], ["ab", ""], ["a", "b"], ["xy"], ["pq"]]
+    long = spark.range(1).select(F.array_repeat(F.lit("word"), 50_000).alias("w"))
+    start = time.time()
+    back = long.select("w", tg.words_of_tags(F.split(F.array_join("w", ""), ""), tg.boundary_tags(F.col("w"))).alias("b"))
+    assert back.where("w = b").count() == 1 and time.time() - start < 30

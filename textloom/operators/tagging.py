@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -150,11 +151,32 @@ def boundary_tags(words: Column) -> Column:
     return F.flatten(F.transform(F.filter(words, lambda w: w != ""), one))
 
 
-def words_of_tags(chars: Column, tags_: Column) -> Column:
-    """Words from characters and their boundary tags: a word ends at E and S, and before B and S."""
-    ends = F.transform(tags_, lambda t, i: F.when(t.isin("E", "S") | F.coalesce(F.get(tags_, i + 1), F.lit("S")).isin("B", "S"), i + 1))
-    ends = F.filter(ends, lambda e: e.isNotNull())
-    return F.transform(ends, lambda e, i: F.array_join(F.slice(chars, F.when(i > 0, F.get(ends, i - 1)).otherwise(0) + 1, e - F.when(i > 0, F.get(ends, i - 1)).otherwise(0)), ""))
+@F.arrow_udf(ArrayType(StringType()))
+def words_of_tags(chars: pa.Array, tags_: pa.Array) -> pa.Array:
+    """Words from characters and their boundary tags: a word ends at E and S, and before B and S. Words are cut from the joined characters
+    of a whole Arrow batch by their places, in one step for each character."""
+    known = pc.and_(chars.is_valid(), tags_.is_valid())
+    n, m = (np.asarray(pc.fill_null(pc.list_value_length(x), 0), np.int64) for x in (chars, tags_))
+    letters, marks = chars.flatten(), tags_.flatten()
+    if (n != m).any():  # characters without a tag are in no word; tags without a character add none
+        row, at = np.repeat(np.arange(len(m)), m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        place = np.where(at < n[row], (np.cumsum(n) - n)[row] + at, -1)
+        letters = letters.take(pa.array(place, mask=place < 0))
+    letters = pc.fill_null(letters.cast(pa.string()), "")
+    marks = marks.cast(pa.string())
+    closes = pc.is_in(marks, pa.array(["E", "S"])).to_numpy(zero_copy_only=False)
+    opens = pc.is_in(pc.fill_null(marks, "S"), pa.array(["B", "S"])).to_numpy(zero_copy_only=False)
+    last = np.cumsum(m)[m > 0] - 1
+    after = np.concatenate([opens[1:], [True]])[: len(opens)]
+    ends = closes | after
+    ends[last] = True
+    stops = np.flatnonzero(ends) + 1
+    if not len(stops):
+        return pa.array([[] if k else None for k in known.to_pylist()], pa.list_(pa.string()))
+    places = np.frombuffer(letters.buffers()[1], np.int32)[letters.offset : letters.offset + len(letters) + 1]
+    words = pa.StringArray.from_buffers(len(stops), pa.py_buffer(places[np.concatenate([[0], stops])].copy()), letters.buffers()[2])
+    per = np.bincount(np.repeat(np.arange(len(m)), m)[stops - 1], minlength=len(m))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), words, mask=pc.invert(known))
 
 
 def train_segmenter(sentences: DataFrame, **options) -> ChainModel:
