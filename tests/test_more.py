@@ -135,3 +135,17 @@ def test_topic_shares_of_new_documents(spark):
     docs = spark.createDataFrame([(1, [0, 0, 0]), (2, [1, 1, 99]), (3, []), (4, None)], "doc_id long, words array<int>")
     out = {r.doc_id: r.theta for r in topic_shares_of(docs, phi, np.array([0.1, 0.1])).collect()}
     assert out[1][0] > 0.9 and out[2][1] > 0.9 and out[3] == [0.5, 0.5] == out[4]
+
+
+def test_offsets_by_batches(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import tokens as tk
+
+    rows = [([0, 5], [4, 9]), ([], []), (None, [1]), ([1], None), ([3], [70000]), ([2], [3]), ([5], [2])]
+    df = spark.createDataFrame(rows, "s array<long>, e array<long>").coalesce(1).select("s", "e", tk.packed_offsets(F.col("s"), F.col("e")).alias("p"))
+    got = df.select("s", "e", "p", tk.unpacked_offsets(F.col("p")).alias("o")).collect()
+    assert [r.p for r in got] == [[4, (1 << 16) + 4], [], None, None, None, [(2 << 16) + 1], None]
+    assert [r.o and [tuple(x) for x in r.o] for r in got] == [[(0, 4), (5, 9)], [], None, None, None, [(2, 3)], None]
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    assert tk.packed_offsets.evalType == 250  # an Arrow function: no Python object for each offset
