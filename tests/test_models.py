@@ -215,3 +215,24 @@ def test_constructions(spark):
     p = spark.createDataFrame([((0, 1, "Ann Lee", "NAM", "f", "s"), (9, 9, "Lee", "NAM", "u", "s"))], f"m1 {s}, m2 {s}")
     r = mn.pair_features(p).first()
     assert (r.same_string, r.same_head, r.words_included, r.gender_match, r.number_match, r.kinds, r.distance) == (False, True, True, None, True, "NAM-NAM", 3)
+
+
+def test_components_by_two_shared_items(spark):
+    """Against all pairs, with links by items that aren't neighbours, ids of one item and nulls; ids are never paired."""
+    combinations = itertools.combinations
+
+    for seed, (ids, items, many) in enumerate([(40, 30, 3), (60, 12, 3), (30, 40, 8)]):
+        r = random.Random(seed)
+        has = {i: set(r.sample(range(items), r.randint(1, many))) for i in range(ids)}
+        rows = [(i, x) for i, xs in has.items() for x in xs] * 2 + [(None, 1), (None, 2), (5, None)]
+        label = {}
+        links = [(a, b) for a, b in combinations(has, 2) if len(has[a] & has[b]) > 1]
+        for a, b in links:
+            label.setdefault(a, a), label.setdefault(b, b)
+        for _ in has:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        got = {x.node: x.component for x in rel.shared_components(spark.createDataFrame(rows, "id long, item long")).collect()}
+        assert got == label
+    users = spark.range(4000).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("item"))  # pairs would be 8 million
+    assert rel.shared_components(users).where("component = 0").count() == 4000

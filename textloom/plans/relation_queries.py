@@ -193,10 +193,9 @@ def supplier_components(spark, d):
 
 @query("with recursive e as (select distinct user_id as a, date_trunc('hour', ts) as h from events), l as (select x.a as a, y.a as b from e x join e y on x.h = y.h and x.a < y.a group by 1, 2 having count(*) >= 2), g as (select a, b from l union all select b, a from l), r as (select a as node, least(a, b) as component from g union select g.a, r.component from r join g on g.b = r.node where r.component < g.a) select node, min(component) as component from r group by node")
 def user_components(spark, d):
-    """Users connected through two or more hours in which both were seen."""
-    e = load(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("h")).distinct()
-    pairs = rel.pairs_within(e, "h", "user_id").groupBy("a", "b").count().where("count >= 2").select("a", "b")
-    return rel.components(pairs)
+    """Users connected through two or more hours in which both were seen. No two users of an hour are paired."""
+    e = load(spark, d, "events").select(F.col("user_id").alias("id"), F.date_trunc("hour", "ts").alias("item"))
+    return rel.shared_components(e)
 
 
 @query("with x as (select l_suppkey as r, l_returnflag || l_linestatus || cast(l_linenumber as varchar) as c, count(*) as v from lineitem group by 1, 2) select c, count(*) as nnz, cast(sum(v) as bigint) as total, max(v) as top from x group by c")
