@@ -113,3 +113,14 @@ def test_resolved_parts(spark):
 def test_every_query_without_sql_is_tested_here():
     tested = "annotated_tokens sentence_counts named_entities tok_stems sentences_by_training chain_tags forward_tags tree_quality boosted_quality linear_quality topic_shares word_vectors ranked_cells resolved_parts"
     assert set(QUERIES) - set(ORACLES) <= set(tested.split())
+
+
+def test_names_are_compared_once_for_all_their_copies(spark, tmp_path):
+    """Rows of repeated names give all their pairs, from a comparison of different names alone; ids below and above each other's."""
+    rows = [(i, ["tin can", "tin pan", "steel rod", None][i * 7 % 4], "B", 1 if i % 5 else None) for i in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    out = QUERIES["edit_distance_pairs"](spark, str(tmp_path))
+    want = {(a, b, S.edit_distance(n, m)) for a, n, _, s in rows for b, m, _, t in rows if a < b and n and m and s and t and S.edit_distance(n, m) <= 6}
+    got = [tuple(r) for r in out.select("a", "b", "distance").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "levenshtein" not in out._jdf.queryExecution().optimizedPlan().toString()  # names were compared before parts were paired

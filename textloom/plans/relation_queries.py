@@ -176,10 +176,21 @@ def canopy_pairs(spark, d):
 
 @query("with p as (select p_partkey, p_name, p_brand, p_size from part) select x.p_partkey as a, y.p_partkey as b, levenshtein(x.p_name, y.p_name) as distance from p x join p y on x.p_brand = y.p_brand and x.p_size = y.p_size and x.p_partkey < y.p_partkey where levenshtein(x.p_name, y.p_name) <= 6")
 def edit_distance_pairs(spark, d):
-    p = load(spark, d, "part")
-    b = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"), "p_brand", "p_size")
-    pairs = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"), "p_brand", "p_size").join(b, ["p_brand", "p_size"]).where("a < b")
-    return pairs.select("a", "b", S.weighted_edit_distance(F.col("na"), F.col("nb")).cast("long").alias("distance")).where("distance <= 6")
+    """Each two different names of a block are compared once; the parts that have them are joined to the near ones."""
+    p = load(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    block = ["p_brand", "p_size"]
+    n = p.select(*block, F.col("p_name").alias("na")).distinct()
+    near = n.join(n.withColumnRenamed("na", "nb"), block).where("na <= nb").withColumn("distance", S.weighted_edit_distance(F.col("na"), F.col("nb")).cast("long")).where("distance <= 6")
+    x, y = (p.select(*block, F.col("p_name").alias(name), F.col("p_partkey").alias(key)) for name, key in (("na", "x"), ("nb", "y")))
+    near = rel.cut(near)
+    sizes = p.groupBy(*block, "p_name").count()
+    total = near.join(sizes.toDF(*block, "na", "ca"), [*block, "na"]).join(sizes.toDF(*block, "nb", "cb"), [*block, "nb"]).agg(F.sum(F.col("ca") * F.col("cb"))).first()[0] or 0
+    # few parts make many pairs: each name's parts are dealt out, so that tasks are as many as the pairs ask for
+    tasks, deals = max(1, min(10_000, total // 1_000_000)), 16
+    left = near.join(x, [*block, "na"]).withColumn("deal", F.pmod(F.xxhash64("x"), F.lit(deals)).cast("int")).repartition(tasks, *block, "nb", "deal")
+    right = y.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))).repartition(tasks, *block, "nb", "deal")
+    pairs = left.join(right, [*block, "nb", "deal"]).where("na < nb or x < y").where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 @query("with recursive e as (select distinct l_suppkey as s, l_partkey as p from lineitem), g as (select s as a, list(distinct b) as bs from (select x.s, y.s as b from e x join e y on x.p = y.p) group by 1), r as (select s as node, s as component from (select distinct s from e) union select g.a, r.component from r join (select a, unnest(bs) as b from g) g on g.b = r.node where r.component < g.a) select node, min(component) as component from r group by node")
