@@ -124,3 +124,9 @@ def test_names_are_compared_once_for_all_their_copies(spark, tmp_path):
     got = [tuple(r) for r in out.select("a", "b", "distance").collect()]
     assert len(got) == len(want) and set(got) == want
     assert "levenshtein" not in out._jdf.queryExecution().optimizedPlan().toString()  # names were compared before parts were paired
+
+
+@pytest.mark.parametrize("name", ["tree_quality", "boosted_quality", "linear_quality"])
+def test_learners_read_what_was_written_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents" not in plan and "regexp" not in plan and "Join" not in plan
