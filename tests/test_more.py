@@ -149,3 +149,26 @@ def test_offsets_by_batches(spark):
     assert [r.o and [tuple(x) for x in r.o] for r in got] == [[(0, 4), (5, 9)], [], None, None, None, [(2, 3)], None]
     assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
     assert tk.packed_offsets.evalType == 250  # an Arrow function: no Python object for each offset
+
+
+def test_only_lengths_of_the_phrases_are_looked_up(spark):
+    from textloom.operators import tokens as tk
+
+    docs = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "c")], "doc_id long, text string")
+    for phrases, want in ((["b c d", "x y z"], {(1, 1, 3, "b c d")}), (["c", "a b", "a b c d"], {(1, 2, 1, "c"), (3, 0, 1, "c"), (1, 0, 2, "a b")}), ([], set())):
+        found = tk.phrases_in(docs, spark.createDataFrame([(p,) for p in phrases], "phrase string"), 3)
+        assert {tuple(r) for r in found.collect()} == want
+    plan = tk.phrases_in(docs, spark.createDataFrame([("b c d",)], "phrase string"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "+ 2)" not in plan and "+ 3)" in plan
+
+
+def test_ceaf_of_repeated_documents(spark):
+    """Equal documents get equal scores, whatever their number, next to documents with other cells and a large one."""
+    from textloom.operators import evaluation as ev
+
+    kinds = [[("a", "x"), ("a", "x"), ("b", "y")], [("a", "x"), ("a", "y"), ("b", "y")], [(f"g{i}", f"p{i // 2}") for i in range(40)]]
+    rows = [(d, i, g, p) for d in range(300) for i, (g, p) in enumerate(kinds[d % 3])]
+    df = spark.createDataFrame(rows, "doc_id long, point long, gold string, predicted string")
+    for by_entity, want in ((False, [(3.0, 3, 3), (2.0, 3, 3), (20.0, 40, 40)]), (True, [(2.0, 2, 2), (4 / 3, 2, 2), (20 * 2 / 3, 40, 20)])):
+        got = {r.doc_id: (round(r.score, 6), r.n_gold, r.n_predicted) for r in ev.ceaf(df, by_entity).collect()}
+        assert got == {d: (round(want[d % 3][0], 6), *want[d % 3][1:]) for d in range(300)}
