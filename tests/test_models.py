@@ -172,6 +172,30 @@ def test_resolution():
     assert sum(n.mentions for n in f.nodes.values() if n.parent is None) == 4
 
 
+def test_trees_are_scored_by_kinds_of_leaves():
+    """Scores kept from step to step are those of the whole trees, and equal leaves of a tree are scored once."""
+    s = resolution.Settings(cosines={"w": 1.0})
+    f = resolution.Forest([{"w": Counter(["tin", ("can", "pan", "rod")[i % 3]])} for i in range(60)], s)
+    for seed in range(5):
+        resolution.sample(f, 100, seed)
+        for r in [i for i, n in f.nodes.items() if n.parent is None]:
+            total, stack = s.exists, [r]
+            while stack:
+                n = f.nodes[stack.pop()]
+                total += 0 if n.mention else s.between
+                for c in n.children:
+                    stack.append(c)
+                    total += resolution.child_parent_cosine(f.nodes[c].bags["w"], n.bags["w"]) - s.shift
+            assert abs(f.score_tree(r) - total) < 1e-9
+    assert max(sum(map(bool, n.alike.values())) + len(n.others) for n in f.nodes.values()) < max(len(n.children) for n in f.nodes.values())
+
+
+def test_canopies_are_dealt_out_by_mentions(spark):
+    rows = spark.range(9_000).selectExpr("concat('c', id % 4500) as canopy", "id", "map('w', 1.0D) as words")
+    out = resolution.resolve(rows, resolution.Settings(cosines={"words": 1.0}), ["words"], 1)
+    assert out.rdd.getNumPartitions() == 5
+
+
 def test_components_of_a_path_against_the_order_of_its_nodes(spark):
     path = [0, *range(200, 0, -1)]
     e = spark.createDataFrame(list(zip(path, path[1:], strict=False)) + [(900, 901)], "a long, b long")
