@@ -161,6 +161,27 @@ def test_topics_and_vectors(spark):
     assert m1 < 1 and m2 > 9.5
 
 
+def test_vectors_of_words_that_share_contexts(spark):
+    """Words of one set of sentences come close to each other; and the counts of a vocabulary are summed once, not for each word."""
+
+    class Counts(list):
+        walks = 0
+
+        def __iter__(self):
+            Counts.walks += 1
+            return super().__iter__()
+
+    counts, docs = Counts([720] * 10), spark.createDataFrame([([i % 10, 3, 4],) for i in range(20)], "words array<int>")
+    assert embeddings.skip_grams(docs, [str(i) for i in range(10)], counts, size=4, passes=1, bag=True).shape == (10, 4) and Counts.walks < 10
+    r = np.random.default_rng(3)
+    a, b, n = (r.random((100, 8)) - 0.5) / 8, np.zeros((100, 8)), 1500
+    words = np.concatenate([r.integers(0, 50, 12) + 50 * (i % 2) for i in range(n)])
+    for _ in range(5):
+        embeddings._descend(a, b, words, np.repeat(np.arange(n), 12), topics.AliasTable(np.ones(100)), r, 2, 3, 0.05, False, 133)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    assert (a @ a.T)[:50, :50].mean() > 0.5 + abs((a @ a.T)[:50, 50:].mean())
+
+
 def test_resolution():
     s = resolution.Settings(cosines={"w": 4.0})
     mentions = [{"w": Counter(x.split())} for x in ("ann lee", "ann lee", "bob ray", "bob ray")]
