@@ -281,3 +281,23 @@ def test_components_by_two_shared_items(spark):
         assert got == label
     users = spark.range(4000).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("item"))  # pairs would be 8 million
     assert rel.shared_components(users).where("component = 0").count() == 4000
+
+
+def test_cells_ranked_in_levels_are_those_ranked_one_by_one(spark):
+    """Independent steps taken together, in parts of 50 cells, give what a loop over all cells gives."""
+    from unittest import mock
+
+    cells = spark.createDataFrame([(i * 7 % 30, i * i % 40) for i in range(600)], "r int, c int").distinct().orderBy("r", "c")
+    with mock.patch.object(embeddings, "STEP_CELLS", 50):
+        u, v = embeddings.rank_cells(cells, 30, 40, size=4, passes=1, shards=1)
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(0, 0.1, (30, 4)), rng.normal(0, 0.1, (40, 4))
+    pdf = cells.repartition(1, "c").toPandas()
+    r, seen = np.random.default_rng([1, 0, int(pdf["c"].iloc[0])]), set(zip(pdf["r"], pdf["c"], strict=True))
+    for i, c in pdf.sample(frac=1, random_state=1).itertuples(index=False):
+        if ((j := int(r.integers(30))), c) in seen:
+            continue
+        g = 1 / (1 + np.exp((a[i] - a[j]) @ b[c]))
+        di, dj, dc = g * b[c] - 0.01 * a[i], -g * b[c] - 0.01 * a[j], g * (a[i] - a[j]) - 0.01 * b[c]
+        a[i], a[j], b[c] = a[i] + 0.1 * di, a[j] + 0.1 * dj, b[c] + 0.1 * dc
+    assert np.allclose(u, a) and np.allclose(v, b)
