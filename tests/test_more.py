@@ -172,3 +172,14 @@ def test_ceaf_of_repeated_documents(spark):
     for by_entity, want in ((False, [(3.0, 3, 3), (2.0, 3, 3), (20.0, 40, 40)]), (True, [(2.0, 2, 2), (4 / 3, 2, 2), (20 * 2 / 3, 40, 20)])):
         got = {r.doc_id: (round(r.score, 6), r.n_gold, r.n_predicted) for r in ev.ceaf(df, by_entity).collect()}
         assert got == {d: (round(want[d % 3][0], 6), *want[d % 3][1:]) for d in range(300)}
+
+
+def test_canopy_pairs_are_made_once_and_not_shuffled(spark):
+    from textloom.operators import relations as rel
+
+    rows = [(i, [k for k in "abcd" if (i * 5 + ord(k)) % 3]) for i in range(30)]
+    out = rel.canopy_pairs(spark.createDataFrame(rows, "i long, ks array<string>"), "i", F.col("ks"))
+    want = sorted((a, b) for a, x in rows for b, y in rows if a < b and set(x) & set(y))
+    assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
