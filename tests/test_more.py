@@ -183,3 +183,21 @@ def test_canopy_pairs_are_made_once_and_not_shuffled(spark):
     assert sorted(map(tuple, out.collect())) == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_nearest_by_blocks_with_copies_and_odd_vectors(spark):
+    """Ties go to the smaller id, null and short vectors are paired one by one, and no row per pair is made in the plan."""
+    from textloom.operators import embeddings
+
+    rows = [(i, [float(i % 4), 1.0, float(i % 3)]) for i in range(50)] + [(50, None)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    plain = v.where("v is not null")
+    out = embeddings.nearest_by_blocks(plain, plain.where("id % 10 = 0"), 5)
+    got = {(r.query, r["rank"]): r.id for r in out.collect()}
+    held = dict(rows)
+    for q in range(0, 50, 10):
+        best = sorted((-sum(x * y for x, y in zip(held[q], held[i], strict=True)), i) for i in range(50) if i != q)[:5]
+        assert [got[q, r] for r in range(1, 6)] == [i for _, i in best]
+    assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
+    odd = embeddings.nearest_by_blocks(v, v.where("id = 50"), 60).collect()
+    assert len(odd) == 50 and all(r.score is None for r in odd)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from textloom.functions import dates as D, maths as M, strings as S
-from textloom.operators import evaluation as ev, relations as rel, tokens as tk
+from textloom.operators import embeddings, evaluation as ev, relations as rel, tokens as tk
 from textloom.plans.registry import query
 from textloom.sources.tables import load
 
@@ -97,16 +97,10 @@ def emb_norms(spark, d):
 
 @query("with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from e), s as (select q.vec_id as query, x.vec_id as vec_id, round(list_dot_product(q.v, x.v) / (q.n * x.n), 6) as score from n q, n x where q.vec_id % 100 = 0 and q.vec_id <> x.vec_id) select * from (select query, vec_id, score, row_number() over (partition by query order by score desc, vec_id) as rank from s) where rank <= 10")
 def emb_cosine_topk(spark, d):
-    """The ten nearest of each query vector (ids divisible by 100) among all: queries are joined by blocks, not collected."""
-    e = load(spark, d, "embeddings").select("vec_id", M.normalised(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
-    blocks = 16
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    e = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    scored = e.join(q, "block").where("query <> vec_id").select("query", "vec_id", "block", F.round(M.dot(F.col("v"), F.col("qv")), 6).alias("score"))
-    near = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id")
-    best = scored.withColumn("r", F.row_number().over(near("query", "block"))).where("r <= 10").drop("r", "block")
-    return best.withColumn("rank", F.row_number().over(near("query"))).where("rank <= 10")
+    """The ten nearest of each query vector (ids divisible by 100) among all: blocks of vectors meet blocks of queries."""
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), M.normalised(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    e = rel.cut(e)  # else each use of a vector would find its norm again
+    return embeddings.nearest_by_blocks(e, e.where("id % 100 = 0"), 10).withColumnRenamed("id", "vec_id")
 
 
 @query("with x as (select label, i, embedding[i]::double as v from (select label, embedding, unnest(range(1, 65)) as i from embeddings)) select label, i - 1 as dim, round(avg(v), 5) as mean, round(var_samp(v), 5) as variance from x group by label, i")
