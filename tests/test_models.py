@@ -301,3 +301,14 @@ def test_cells_ranked_in_levels_are_those_ranked_one_by_one(spark):
         di, dj, dc = g * b[c] - 0.01 * a[i], -g * b[c] - 0.01 * a[j], g * (a[i] - a[j]) - 0.01 * b[c]
         a[i], a[j], b[c] = a[i] + 0.1 * di, a[j] + 0.1 * dj, b[c] + 0.1 * dc
     assert np.allclose(u, a) and np.allclose(v, b)
+
+
+def test_documents_sampled_side_by_side_are_those_sampled_alone():
+    r = np.random.default_rng(2)
+    words = [r.integers(0, 30, n) for n in (0, 5, 80, 80, 1, 33)]
+    zs = [r.integers(0, 4, len(w)) for w in words]
+    counts = r.integers(50, 90, (30, 4)).astype(float)
+    rngs = lambda: [np.random.default_rng(i) for i in range(6)]
+    got = topics.sample_documents(words, zs, counts, counts.sum(0), np.full(4, 0.1), 0.01, rngs())
+    for w, z, g, rng in zip(words, zs, got, rngs(), strict=True):
+        assert (topics.sample_document(w, z.copy(), counts.copy(), counts.sum(0), np.full(4, 0.1), 0.01, rng) == g).all()
