@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.__main__ import main
-from textloom.operators import evaluation as ev, lexicon as lx, structured as st
+from textloom.operators import evaluation as ev, lexicon as lx, relations as rel, structured as st
 from textloom.sources import corpora as co
 
 
@@ -201,3 +201,15 @@ def test_nearest_by_blocks_with_copies_and_odd_vectors(spark):
     assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
     odd = embeddings.nearest_by_blocks(v, v.where("id = 50"), 60).collect()
     assert len(odd) == 50 and all(r.score is None for r in odd)
+
+
+def test_pairs_of_a_frequent_key_are_dealt_to_many_tasks(spark):
+    """One key has most pairs; all pairs come out once, and no task makes a large share of them."""
+    from collections import Counter
+
+    left = spark.range(330).select(F.when(F.col("id") < 300, "x").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"), F.col("id").alias("a"))
+    right = spark.range(240).select(F.when(F.col("id") < 200, "x").otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("k"), F.col("id").alias("c"))
+    out = rel.pairs_by_key(left, right, "k", "a", "c", block=32, task_rows=2000).withColumn("p", F.spark_partition_id()).collect()
+    want = Counter((x.k, x.a, y.c) for x in left.collect() for y in right.collect() if x.k == y.k)
+    assert Counter((r.k, r.a, r.c) for r in out) == want
+    assert max(Counter(r.p for r in out).values()) < len(out) / 4
