@@ -53,6 +53,59 @@ def test_chain_decoding_is_the_best_path():
     assert mask[0, 2] == -np.inf and mask[1, 2] == 0 and mask[1, 3] == -np.inf
 
 
+@pytest.mark.parametrize("tags", [["O", "B"], ["O", "B", "C"]])
+@pytest.mark.parametrize("likelihood", [False, True])
+def test_chain_steps_give_the_results_of_steps_word_by_word(tags, likelihood):
+    """Against sums and updates a word and a feature at a time, to the last bit; texts of 1 to 9 words, repeated words, tagged words. The
+    slots of a known word aren't hashed again."""
+    import zlib
+
+    size, rate, k = 64, 0.1, len(tags)
+    rng = random.Random(3)
+    model = chains.ChainModel(tags, size)
+    w, move = np.zeros((size, k)), np.zeros((k, k))
+    for n in range(60):
+        words = [rng.choice(["a", "Ann", "b2", "x-y", "été", ""]) + ("\x1fT" if n % 7 == 0 and rng.random() < 0.5 else "") for _ in range(rng.randint(1, 9))]
+        y = [rng.randrange(k) for _ in words]
+        slots = [[zlib.crc32(f.encode()) % size for f in fs] for fs in chains.token_features(words)]
+        emit = np.array([w[s].sum(0) for s in slots])
+        score, back = emit[0], []
+        for e in emit[1:]:
+            step = score[:, None] + move
+            back.append(step.argmax(0))
+            score = step.max(0) + e
+        guess = [int(score.argmax())]
+        for b in reversed(back):
+            guess.append(int(b[guess[-1]]))
+        guess = guess[::-1]
+        assert model.decode(words) == [tags[t] for t in guess]
+        if likelihood:
+            p, pairs, _ = chains.forward_backward(emit, move)
+        for i, s in enumerate(slots):
+            if likelihood:
+                g = -p[i]
+                g[y[i]] += 1
+                np.add.at(w, s, rate * g)
+            elif guess[i] != y[i]:
+                np.add.at(w[:, y[i]], s, rate)
+                np.add.at(w[:, guess[i]], s, -rate)
+        if likelihood and len(y) > 1:
+            move -= rate * pairs.sum(0)
+        for a, b in zip(guess, guess[1:]) if not likelihood else ():
+            move[a, b] -= rate
+        for a, b in zip(y, y[1:]):
+            move[a, b] += rate
+        model.step(words, [tags[t] for t in y], rate, likelihood)
+        assert (model.weights == w).all() and (model.move == move).all()
+    crc, calls = zlib.crc32, []
+    chains.zlib = type("", (), {"crc32": lambda f: calls.append(f) or crc(f)})
+    try:
+        model.decode(["a", "Ann"] * 50)
+    finally:
+        chains.zlib = zlib
+    assert len(calls) < 10
+
+
 def test_chain_learns(spark):
     sents = [(["the", "Cat", "saw", "Bob"], ["O", "O", "O", "B"]), (["Bob", "saw", "the", "dog"], ["B", "O", "O", "O"])] * 10
     df = spark.createDataFrame(sents, "words array<string>, tags array<string>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +14,8 @@ def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray | None = None)
     """The best tags of scores (positions, tags) and transitions (from, to); -inf forbids."""
     n, k = emit.shape
     score = emit[0] + (first if first is not None else 0)
+    if k == 2:  # plain numbers are faster than calls on such small arrays; the same sums
+        return _viterbi_of_two(score.tolist(), emit.tolist(), move.tolist())
     back = np.zeros((n, k), int)
     for i in range(1, n):
         step = score[:, None] + move
@@ -24,6 +27,21 @@ def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray | None = None)
     return out[::-1]
 
 
+def _viterbi_of_two(score: list[float], emit: list[list[float]], move: list[list[float]]) -> list[int]:
+    """viterbi() of two tags from the scores at the first place."""
+    (m00, m01), (m10, m11) = move
+    a, b = score
+    back = []
+    for x, y in emit[1:]:
+        stay, come, leave, keep = a + m00, b + m10, a + m01, b + m11
+        back.append((come > stay, keep > leave))
+        a, b = (come if come > stay else stay) + x, (keep if keep > leave else leave) + y
+    out = [int(b > a)]
+    for came in reversed(back):
+        out.append(int(came[out[-1]]))
+    return out[::-1]
+
+
 def forward_backward(emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of tags and of neighbouring pairs, and the log partition function."""
     n, k = emit.shape
@@ -66,12 +84,17 @@ def token_features(words: list[str]) -> list[list[str]]:
         feats = ["bias", *own[i]]
         if said[i]:
             feats += [said[i], *(f"{said[i + k]}@{k}" for k in (-1, 1) if 0 <= i + k < len(words))]
-        for k in (-2, -1, 1, 2):
+        for k in OFFSETS:
             feats += [f"{f}@{k}" for f in own[i + k][:2]] if 0 <= i + k < len(words) else ["<START>" if k < 0 else "<END>"]
         out.append(feats)
     return out
 
 
+OFFSETS = (-2, -1, 1, 2)
+#: words whose slots a model keeps
+MOST_KNOWN = 1 << 18
+
+
 @dataclass
 class ChainModel:
     tags: list[str]
@@ -80,19 +103,50 @@ class ChainModel:
     move: np.ndarray | None = None
     mask: np.ndarray | None = None
     loss: list[float] = field(default_factory=list)
+    _known: dict[str, int] = field(default_factory=dict, repr=False, compare=False)  # rows of the table: slots that come from a word alone
+    _table: np.ndarray = field(default_factory=lambda: np.zeros((0, 12), np.int64), repr=False, compare=False)
 
     def __post_init__(self):
         k = len(self.tags)
         self.weights = np.zeros((self.size, k)) if self.weights is None else self.weights
         self.move = np.zeros((k, k)) if self.move is None else self.move
 
-    def slots(self, words: list[str]) -> list[np.ndarray]:
-        import zlib
-
-        return [np.array([zlib.crc32(f.encode()) % self.size for f in fs]) for fs in token_features(words)]
-
-    def scores(self, slots: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.weights[s].sum(0) for s in slots])
+    def slots(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of the features of token_features(), a row a word in their order, and which of the cells hold one."""
+        crc = lambda f: zlib.crc32(f.encode()) % self.size
+        if any(chr(31) in w for w in words):
+            rows = [[crc(f) for f in fs] for fs in token_features(words)]
+            held = np.arange(max(map(len, rows))) < np.array([len(r) for r in rows])[:, None]
+            out = np.zeros(held.shape, np.int64)
+            out[held] = np.concatenate(rows)
+            return out, held
+        if len(self._known) > MOST_KNOWN:
+            self._known.clear()
+        known, at = self._known, []
+        for w in words:
+            if (i := known.get(w)) is None:
+                i = known[w] = len(known)
+                if i >= len(self._table):
+                    self._table = np.concatenate([self._table, np.zeros((max(1024, len(self._table)), 12), np.int64)])
+                own = token_features([w])[0][1:5]
+                self._table[i] = [crc(f) for f in own] + [crc(f"{f}@{k}") for k in OFFSETS for f in own[:2]]
+            at.append(i)
+        t = self._table[at]
+        out, held = np.zeros((len(words), 13), np.int64), np.ones((len(words), 13), bool)
+        out[:, 0], out[:, 1:5] = crc("bias"), t[:, :4]
+        for j, k in enumerate(OFFSETS):
+            here = slice(5 + 2 * j, 7 + 2 * j)
+            inside, beyond = (slice(-k, None), slice(0, -k)) if k < 0 else (slice(0, max(len(words) - k, 0)), slice(max(len(words) - k, 0), None))
+            there = slice(0, max(len(words) + k, 0)) if k < 0 else slice(k, None)
+            out[inside, here] = t[there, 4 + 2 * j : 6 + 2 * j]
+            out[beyond, 5 + 2 * j], held[beyond, 6 + 2 * j] = crc("<START>" if k < 0 else "<END>"), False
+        return out, held
+
+    def scores(self, slots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Sums of weights, feature after feature, whatever the number of words."""
+        w = self.weights[slots[0].T]
+        w[~slots[1].T] = 0
+        return w.sum(0)
 
     def decode(self, words: list[str]) -> list[str]:
         if not len(words):
@@ -102,24 +156,27 @@ class ChainModel:
 
     def step(self, words: list[str], gold: list[str], rate: float = 0.1, likelihood: bool = True) -> None:
         """One example's update: of the likelihood, or of the structured perceptron."""
-        slots, y = self.slots(words), [self.tags.index(t) for t in gold]
-        emit = self.scores(slots)
+        slots, held = self.slots(words)
+        y = [self.tags.index(t) for t in gold]
+        emit = self.scores((slots, held))
         if likelihood:
             p, pairs, z = forward_backward(emit, self.move)
             self.loss.append(z - sum(emit[i, t] for i, t in enumerate(y)) - sum(self.move[a, b] for a, b in zip(y, y[1:])))
-            for i, s in enumerate(slots):
-                g = -p[i]
-                g[y[i]] += 1
-                np.add.at(self.weights, s, rate * g)
+            g = -p
+            g[np.arange(len(y)), y] += 1
+            np.add.at(self.weights, slots[held], np.repeat(rate * g, held.sum(1), 0))
             if len(y) > 1:
                 self.move -= rate * pairs.sum(0)
         else:
             guess = viterbi(emit, self.move)
             self.loss.append(float(guess != y))
-            for i, s in enumerate(slots):
-                if guess[i] != y[i]:
-                    np.add.at(self.weights[:, y[i]], s, rate)
-                    np.add.at(self.weights[:, guess[i]], s, -rate)
+            got, want = np.array(guess), np.array(y)
+            wrong = np.flatnonzero(got != want)
+            # word after word, first to the right tag, then from the guessed one
+            cells = slots[wrong, None, :] * len(self.tags) + np.stack([want[wrong], got[wrong]], 1)[:, :, None]
+            by = np.broadcast_to(np.array([rate, -rate])[:, None], cells.shape)
+            used = np.broadcast_to(held[wrong, None, :], cells.shape)
+            np.add.at(self.weights.reshape(-1), cells[used], by[used])
             for a, b in zip(guess, guess[1:]):
                 self.move[a, b] -= rate
         for a, b in zip(y, y[1:]):
