@@ -213,3 +213,24 @@ def test_pairs_of_a_frequent_key_are_dealt_to_many_tasks(spark):
     want = Counter((x.k, x.a, y.c) for x in left.collect() for y in right.collect() if x.k == y.k)
     assert Counter((r.k, r.a, r.c) for r in out) == want
     assert max(Counter(r.p for r in out).values()) < len(out) / 4
+
+
+def test_marks_within_a_row_are_those_of_the_tables(spark):
+    """Nested, crossing, touching and single mentions, several at one place, none, and a text without tokens."""
+    texts = {1: (5, [(0, 4, 9), (0, 2, 8), (2, 4, 7), (3, 3, 6), (3, 3, 10)]), 2: (2, []), 3: (0, []), 4: (1, [(0, 0, 5)])}
+    rows = spark.createDataFrame([(d, n, m) for d, (n, m) in texts.items()], "doc_id long, n int, m array<struct<first:int,last:int,entity:long>>")
+    got = {r.doc_id: r.marks for r in rows.select("doc_id", co.coref_marks(F.col("n"), F.col("m")).alias("marks")).collect()}
+    toks = spark.createDataFrame([(d, i) for d, (n, _) in texts.items() for i in range(n)], "doc_id long, pos int")
+    table = co.coref_column(rows.select("doc_id", F.explode("m").alias("x")).select("doc_id", "x.*"), toks).orderBy("doc_id", "pos").collect()
+    assert got == {d: [r.coref for r in table if r.doc_id == d] for d in texts}
+
+
+def test_corpus_is_dealt_out_by_sentences(spark, tmp_path):
+    """Sentences longer than an Arrow batch come back whole and in order; what is shuffled are rows of lines, not of fields or names."""
+    n = 25_000
+    text = "#begin document (d); part 000\n" + "\n".join(f"d 0 {i} w{i} N * - - - - * {'(1' if i == 0 else '1)' if i == n - 1 else '-'}" for i in range(n)) + "\n\nd 0 0 x N * - - - - * (2)\n#end document\n"
+    out = co.read_conll2011(spark, put(tmp_path / "c.txt", text))
+    long, short = out.orderBy("sent").collect()
+    assert long.words == [f"w{i}" for i in range(n)] and [tuple(s) for s in long.coref] == [("1", 0, n - 1)] and short.words == ["x"] and (long.sent, short.sent) == (0, 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [file_id" in plan and "split(trim(line" not in plan

@@ -91,15 +91,17 @@ def treebank_round_trip(spark, d):
 @query("with t as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 as pos, l_suppkey, l_returnflag from lineitem), m as (select doc, pos as first, pos as last, l_suppkey as label from t where l_returnflag = 'R' union all select doc, 0, max(pos), 1000000 + doc from t group by doc having max(pos) > 0) select 'd' || doc as doc, cast(first as integer) as first, cast(last as integer) as last, cast(label as varchar) as label, count(*) as n from m group by 1, 2, 3, 4")
 def coref_round_trip(spark, d):
     """Mentions as bracket marks in a column of twelve, read back as spans; a mention of a whole order encloses the others."""
-    rows = _rows(spark, d)
-    one = rows.where("tag = 'R'").select(F.col("doc").alias("doc_id"), F.col("pos").alias("first"), F.col("pos").alias("last"), F.col("supplier").alias("entity"))
-    whole = rows.groupBy(F.col("doc").alias("doc_id")).agg(F.lit(0).alias("first"), F.max("pos").alias("last")).where("last > 0").withColumn("entity", F.col("doc_id") + 1_000_000)
-    marks = corpora.coref_column(one.union(whole), rows.withColumn("doc_id", F.col("doc")))
-    lines = rows.join(marks.withColumnRenamed("doc_id", "doc"), ["doc", "pos"])
-    line = F.concat_ws(" ", F.concat(F.lit("d"), "doc"), F.lit("0"), F.col("pos").cast("string"), "word", "tag", F.lit("* - - - -"), F.lit("*"), "coref")
+    # an order's lines in their order, dealt out once; mentions, marks and text are made within the row
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    t = load(spark, d, "lineitem").where("l_orderkey is not null").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(line)).alias("t"))
+    last = F.size("t") - 1
+    mention = lambda first, last, entity: F.struct(first.alias("first"), last.alias("last"), entity.cast("long").alias("entity"))
+    one = F.filter(F.transform("t", lambda x, i: F.when(x["l_returnflag"] == "R", mention(i, i, x["l_suppkey"]))), lambda m: m.isNotNull())
+    whole = F.when(last > 0, F.array(mention(F.lit(0), last, F.col("doc") + 1_000_000))).otherwise(F.slice(one, 1, 0))
+    docs = t.select("doc", "t", F.concat(one, whole).alias("m")).select("doc", "t", corpora.coref_marks(F.size("t"), F.col("m")).alias("marks"))
+    cells = lambda x, i: F.concat_ws(" ", F.concat(F.lit("d"), "doc"), F.lit("0"), i.cast("string"), F.concat(F.lit("p"), x["l_partkey"]), x["l_returnflag"], F.lit("* - - - -"), F.lit("*"), F.get("marks", i))
     path = scratch(spark, "coref")
-    docs = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("t"))
-    docs.select(F.concat(F.lit("#begin document (d"), F.col("doc").cast("string"), F.lit("); part 000\n"), F.array_join(F.transform("t", lambda x: x["line"]), "\n"), F.lit("\n\n#end document")).alias("value")).write.text(path)
+    docs.select(F.concat(F.lit("#begin document (d"), F.col("doc").cast("string"), F.lit("); part 000\n"), F.array_join(F.transform("t", cells), "\n"), F.lit("\n\n#end document")).alias("value")).write.text(path)
     back = corpora.read_conll2011(spark, path).select("doc", F.explode("coref").alias("m"))
     return back.groupBy("doc", "m.first", "m.last", "m.label").agg(F.count("*").alias("n"))
 

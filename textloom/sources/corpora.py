@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from textloom.sources.text import marked_lines, read_columns
+from textloom.sources.text import lines_and_names, marked_lines, read_columns
+
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def bracket_spans(cells: list[str]) -> list[tuple[str, int, int]]:
@@ -44,34 +48,70 @@ SPANS = "array<struct<label:string,first:int,last:int>>"
 
 def read_conll2011(spark: SparkSession, path: str) -> DataFrame:
     """(file, doc, part, sent, words, tags, ner, constituents, coref): a sentence per row; `#begin document` starts documents."""
-    lines = marked_lines(spark, path, F.trim("line") == "", F.col("line").startswith("#begin document")).withColumnRenamed("doc", "d")
-    f = F.split(F.trim("line"), r"\s+")
-    rows = lines.where(~F.col("line").startswith("#") & (F.trim("line") != "")).select("file", "d", "gap", "n", f.alias("f")).where(F.size("f") > 11)
-    cell = lambda i: F.get("f", F.lit(i)) if i >= 0 else F.element_at("f", i)
-    sents = rows.groupBy("file", "d", "gap").agg(F.array_sort(F.collect_list(F.struct("n", cell(0).alias("doc"), cell(1).alias("part"), cell(3).alias("word"), cell(4).alias("tag"), cell(5).alias("tree"), cell(10).alias("ner"), cell(-1).alias("coref")))).alias("t"))
+    lines, name = lines_and_names(spark, path, F.trim("line") == "", F.col("line").startswith("#begin document"))
+    rows = lines.where(~F.col("line").startswith("#") & (F.trim("line") != "")).select("file_id", F.col("doc").alias("number"), "gap", "n", "line")
+    key = ["file_id", "number", "gap"]
+
+    def gather(batches):
+        """Neighbouring lines of a sentence in one row, so that what is dealt out are sentences, not tokens; a batch may cut one."""
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in key], 1)
+            at = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), (keys[1:] != keys[:-1]).any(1)])).tolist()
+            text = b.column("line").to_pylist()
+            first = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(first) for c in (*key, "n")), pa.array(["\n".join(text[i:j]) for i, j in zip(at, [*at[1:], len(text)], strict=True)], pa.string())], names=[*key, "n", "lines"])
+
+    parts = rows.mapInArrow(gather, "file_id long, number long, gap long, n long, lines string")
+    sents = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "lines"))).alias("t")).select(*key, F.array_join("t.lines", "\n").alias("lines"))
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for file, d, gap, t in pdf[["file", "d", "gap", "t"]].itertuples(index=False):
-                col = lambda name, t=t: [x[name] for x in t]
+            for file, d, gap, lines in pdf[[*key, "lines"]].itertuples(index=False):
+                t = [f for x in lines.split("\n") if len(f := _SPACE.split(x.strip(" "))) > 11]
+                if not t:
+                    continue
+                col = lambda i, t=t: [f[i] for f in t]
                 as_rows = lambda spans: [{"label": a, "first": b, "last": c} for a, b, c in spans]
-                rows.append((file, t[0]["doc"], t[0]["part"], int(d), int(gap), col("word"), col("tag"), as_rows(constituents([re.sub(r"\*", "", x) for x in col("ner")])), as_rows(constituents(col("tree"))), as_rows(bracket_spans(col("coref")))))
-            yield pd.DataFrame(rows, columns=["file", "doc", "part", "number", "gap", "words", "tags", "ner", "constituents", "coref"])
+                rows.append((int(file), t[0][0], t[0][1], int(d), int(gap), col(3), col(4), as_rows(constituents([x.replace("*", "") for x in col(10)])), as_rows(constituents(col(5))), as_rows(bracket_spans(col(-1)))))
+            yield pd.DataFrame(rows, columns=[*key[:1], "doc", "part", *key[1:], "words", "tags", "ner", "constituents", "coref"])
 
-    out = sents.mapInPandas(run, f"file string, doc string, part string, number int, gap int, words array<string>, tags array<string>, ner {SPANS}, constituents {SPANS}, coref {SPANS}")
-    return out.withColumn("sent", F.dense_rank().over(Window.partitionBy("file", "number").orderBy("gap")) - 1).drop("gap")
+    out = sents.mapInPandas(run, f"file_id long, doc string, part string, number int, gap int, words array<string>, tags array<string>, ner {SPANS}, constituents {SPANS}, coref {SPANS}")
+    out = out.withColumn("sent", F.dense_rank().over(Window.partitionBy("file_id", "number").orderBy("gap")) - 1)
+    return out.select(name.alias("file"), "doc", "part", "number", "words", "tags", "ner", "constituents", "coref", "sent")
 
 
 def coref_column(mentions: DataFrame, toks: DataFrame) -> DataFrame:
     """(doc_id, pos, coref): token rows with the bracket marks of mentions (doc_id, first, last, entity)."""
     e = F.col("entity").cast("string")
-    marks = mentions.where("first < last").select("doc_id", F.col("first").alias("pos"), F.lit(0).alias("k"), F.concat(F.lit("("), e).alias("m"))
-    marks = marks.union(mentions.where("first < last").select("doc_id", "last", F.lit(2), F.concat(e, F.lit(")")))).union(mentions.where("first = last").select("doc_id", "first", F.lit(1), F.concat(F.lit("("), e, F.lit(")"))))
-    per = marks.groupBy("doc_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]), "|").alias("coref"))
+    mark = lambda pos, k, m: F.struct(F.col(pos).alias("pos"), F.lit(k).alias("k"), m.alias("m"))
+    of = F.when(F.col("first") < F.col("last"), F.array(mark("first", 0, F.concat(F.lit("("), e)), mark("last", 2, F.concat(e, F.lit(")"))))).when(F.col("first") == F.col("last"), F.array(mark("first", 1, F.concat(F.lit("("), e, F.lit(")")))))
+    marks = mentions.select("doc_id", F.explode(of).alias("x")).select("doc_id", "x.*")
+    per = marks.groupBy("doc_id", "pos").agg(_joined_marks(F.array_sort(F.collect_list(F.struct("k", "m")))).alias("coref"))
     return toks.select("doc_id", "pos").join(per, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("coref", F.lit("-")).alias("coref"))
 
 
+def _joined_marks(marks: Column) -> Column:
+    return F.array_join(F.transform(marks, lambda x: x["m"]), "|")
+
+
+def coref_marks(n: Column, mentions: Column) -> Column:
+    """The column of coref_column() for one text of n tokens: an array, from an array of mentions (first, last, entity). Every place looks
+    at every mention, so it is for short texts."""
+
+    def at(i):
+        own = F.transform(F.filter(mentions, lambda m: (m["first"] == i) | (m["last"] == i) & (m["first"] < m["last"])), lambda m: _mark(m, i))
+        return F.when(F.size(own) > 0, _joined_marks(F.array_sort(own))).otherwise("-")
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), at)).otherwise(F.array().cast("array<string>"))
+
+
+def _mark(m: Column, i: Column) -> Column:
+    e, long = m["entity"].cast("string"), m["first"] < m["last"]
+    opens = m["first"] == i
+    return F.struct(F.when(~long, 1).when(opens, 0).otherwise(2).alias("k"), F.when(~long, F.concat(F.lit("("), e, F.lit(")"))).when(opens, F.concat(F.lit("("), e)).otherwise(F.concat(e, F.lit(")"))).alias("m"))
+
+
 def read_treebank(spark: SparkSession, path: str) -> DataFrame:
     """Rows of word, tag, head and relation, tab-separated, heads from 1 with 0 as root."""
     return read_columns(spark, path, ["form", "pos_tag", "head", "deprel"], r"\t").withColumn("head", F.col("head").try_cast("int"))

@@ -68,6 +68,12 @@ def marked_lines(spark: SparkSession, path: str, gap: Column | None = None, docu
 
     Files are split like any text. Each split is counted once for itself, a row a split goes to the driver, and the lines are numbered
     where they are read from the sums of the splits before: nothing is shuffled or sorted, and no file or split is held."""
+    lines, name = lines_and_names(spark, path, gap, document)
+    return lines.withColumn("file", name)
+
+
+def lines_and_names(spark: SparkSession, path: str, gap: Column | None = None, document: Column | None = None) -> tuple[DataFrame, Column]:
+    """marked_lines() without file, and that column: a name by file_id, so that names need not be shuffled."""
     mark = (F.coalesce(gap, F.lit(False)) if gap is not None else F.lit(False)).cast("int") + (F.coalesce(document, F.lit(False)) if document is not None else F.lit(False)).cast("int") * 2
     m = F.col("_metadata")
     same = lambda p: F.xxhash64(F.regexp_replace(p, "^([^:/]+):/+", "$1:/"))  # one of Spark's two lists of paths has file:///, the other file:/
@@ -120,7 +126,7 @@ def marked_lines(spark: SparkSession, path: str, gap: Column | None = None, docu
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), batch.column("line"), *(pa.array(c) for c in columns)], names=["file_id", "line", "n", "gap", "doc", "pos", "sent"])
 
     out = lines.select(*at, "mark", "line").mapInArrow(number, "file_id long, line string, n long, gap long, doc long, pos long, sent long")
-    return out.withColumn("file", F.get(F.split(F.lit("\n".join(hashed.get(f, str(f)) for f in files)), "\n"), F.col("file_id").cast("int")))
+    return out, F.get(F.split(F.lit("\n".join(hashed.get(f, str(f)) for f in files)), "\n"), F.col("file_id").cast("int"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
