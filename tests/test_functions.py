@@ -86,3 +86,28 @@ def test_windows_in_arrays_are_those_over_rows(spark):
     assert rows(tk.neighbours(toks, (-2, 1))) == rows(tk.neighbours_in(docs, (-2, 1)))
     assert rows(tk.conjunctions(toks, -1, 1)) == rows(tk.conjunctions_in(docs, -1, 1))
     assert rows(tk.window_bag(toks, 2, 1)) == rows(tk.bags_in(docs, 2, 1))
+
+
+def test_forms_and_shapes_of_marks_take_one_pattern(spark):
+    """Against the replacements one after another; all single characters of some ranges, and words of mixed kinds."""
+    import re
+
+    def shape(w, longest):
+        out = "".join("\x01" if c.isupper() else "\x02" if c.islower() else "\x03" if c.isdecimal() else "\x04" if c in " \t\n\x0b\f\r" else c for c in w)
+        for mark, shown in zip("\x01\x02\x03\x04", "Aa1 ", strict=True):
+            out = re.sub(mark + "{%d,}" % (longest + 1), mark * longest, out).replace(mark, shown)
+        return out
+
+    def norm(w):
+        for pattern, plain in sg._PLAIN:
+            w = re.sub(pattern, plain.replace("\\", "\\\\"), w)
+        return w
+
+    words = [chr(c) for c in [*range(1, 170), *range(0xBB, 0xC0), *range(0xC0, 0x100), *range(0x2010, 0x2030), 0x20AC]] + "US$ HK€ '' `` .. ... -- --- don’t &amp; &lt; -LRB- a\\/b AAAbbb111 !!?? x-1 3½ A.B. [] ABCdé12--3 \x01\x01\x01 a\x02".split(" ")
+    df = spark.createDataFrame([(w,) for w in [*words, "", None, "a  \t b"]], "w string")
+    got = df.select("w", sg.normal_form(F.col("w")).alias("n"), *(S.shape(F.col("w"), k).alias(f"s{k}") for k in (1, 2, 3)))
+    skip = {"\u00aa", "\u00ba"}  # letters whose case is told differently by the two languages
+    for r in got.collect():
+        assert r.w is None and r.n is None and r.s2 is None or r.w in skip or (r.n, r.s1, r.s2, r.s3) == (norm(r.w), *(shape(r.w, k) for k in (1, 2, 3))), r
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == plan.count("regexp_replace(") <= 13 + 3 * 5

@@ -142,7 +142,9 @@ def normal_form(token: Column) -> Column:
     out = token
     for pattern, plain in _PLAIN:
         out = F.regexp_replace(out, pattern, plain.replace("$", "\\$"))
-    return F.when(token.rlike(r"^[\p{L}0-9]+$"), token).otherwise(out)  # plain words stay as they are
+    # what no pattern finds stays as it is: told by one pattern, after plain words, which hold nothing that any finds
+    same = token.rlike(r"^[\p{L}0-9]+$") | ~token.rlike("|".join(pattern for pattern, _ in _PLAIN))
+    return F.when(same, token).otherwise(out)
 
 
 def sentences_of(toks: DataFrame) -> DataFrame:
