@@ -111,3 +111,18 @@ def test_forms_and_shapes_of_marks_take_one_pattern(spark):
         assert r.w is None and r.n is None and r.s2 is None or r.w in skip or (r.n, r.s1, r.s2, r.s3) == (norm(r.w), *(shape(r.w, k) for k in (1, 2, 3))), r
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == plan.count("regexp_replace(") <= 13 + 3 * 5
+
+
+def test_conjunction_counts_come_from_bounded_tables(spark, monkeypatch):
+    """Counts over several offsets, of null, empty and short texts; a task's table is passed on when it is full, and no task aggregates
+    features before they are dealt out."""
+    from textloom.operators import tokens as tk
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "A", "a b", "The a b a b, the A B", "x\u00e9y z " * 30])], "doc_id long, text string")
+    monkeypatch.setattr(tk, "MOST_COUNTED", 3)
+    for left, right in ((0, 1), (-1, 1), (0, 2), (-2, -1), (1, 1)):
+        got = tk.conjunction_counts(docs, left, right)
+        want = tk.conjunctions_in(docs, left, right).groupBy("feature").count()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString(), plan

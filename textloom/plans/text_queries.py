@@ -188,7 +188,7 @@ def neighbor_features(spark, d):
 
 @query(f"with {TOKENS}, x as (select doc_id, pos, term as l, lead(term) over (partition by doc_id order by pos) as r from t) select feature, count(*) as n from (select l || '@0_&_' || r || '@1' as feature from x where r is not null) group by feature having count(*) > 1")
 def feature_conjunctions(spark, d):
-    return tk.conjunctions_in(load(spark, d, "documents"), 0, 1).groupBy("feature").agg(F.count("*").alias("n")).where("n > 1")
+    return tk.conjunction_counts(load(spark, d, "documents"), 0, 1).where("n > 1")
 
 
 @query(f"with {TOKENS} select doc_id, pos, string_agg(term, ' ') over (partition by doc_id order by pos rows between 4 preceding and 1 preceding) as prev_bag, string_agg(term, ' ') over (partition by doc_id order by pos rows between 1 following and 4 following) as next_bag from t")
