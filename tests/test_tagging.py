@@ -75,3 +75,20 @@ def test_words_of_tags_by_batches(spark):
     start = time.time()
     back = long.select("w", tg.words_of_tags(F.split(F.array_join("w", ""), ""), tg.boundary_tags(F.col("w"))).alias("b"))
     assert back.where("w = b").count() == 1 and time.time() - start < 30
+
+
+def test_abbreviations_from_counted_tokens(spark, monkeypatch):
+    """Counts of tokens, passed on in parts, give the scores of a row a token; only different tokens reach the patterns."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from textloom.functions.segmentation import abbreviation_scores
+    from textloom.operators import tokens as tk
+
+    docs = spark.createDataFrame([(1, "Dr. No met  dr. Who.\u00a0x\nHe left. etc. " * 20), (2, None), (3, ""), (4, " No. 5 e.g. this e.g. that; No dr")], "doc_id long, text string")
+    monkeypatch.setattr(tk, "MOST_COUNTED", 4)
+    rows = lambda toks: sorted((r.word, r.n, r.d, round(r.score, 9)) for r in abbreviation_scores(toks).collect())
+    each = docs.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "string"))
+    counted = tk.counted(docs, re.compile(r"[^ \t\n\x0b\f\r]+").findall, "string")
+    assert rows(counted) == rows(each) != [] and counted.count() < each.count() / 2

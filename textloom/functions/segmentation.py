@@ -211,9 +211,11 @@ def log_likelihood(n: Column, n_dot: Column, n_word: Column, n_both: Column) ->
 def abbreviation_scores(toks: DataFrame) -> DataFrame:
     """(word, score) for unsupervised sentence training: how strongly each word form, without its stop, goes with one.
 
-    toks is (doc_id, pos, string) of tokens split at white space; short words and inner stops count for, stopless uses against."""
-    words = toks.select(F.lower(F.regexp_replace("string", r"\.$", "")).alias("word"), F.col("string").endswith(".").cast("int").alias("dot")).where(F.col("word").rlike(r"\p{L}"))
-    per = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("dot").alias("d"))
+    toks is (string) of tokens split at white space, a row each, or with `uses` a row for so many; short words and inner stops count for,
+    stopless uses against."""
+    uses = F.col("uses") if "uses" in toks.columns else F.lit(1).cast("long")
+    words = toks.select(F.lower(F.regexp_replace("string", r"\.$", "")).alias("word"), F.col("string").endswith(".").cast("int").alias("dot"), uses.alias("uses")).where(F.col("word").rlike(r"\p{L}"))
+    per = words.groupBy("word").agg(F.sum("uses").alias("n"), F.sum(F.col("dot") * F.col("uses")).alias("d"))
     whole = per.agg(F.sum("n").alias("all"), F.sum("d").alias("dots"))
     x = per.join(F.broadcast(whole)).where("d > 0 and n < all")  # one row
     ratio = F.when((F.col("dots") > 0) & (F.col("dots") < F.col("all")), log_likelihood(F.col("all"), F.col("dots"), F.col("n"), F.col("d"))).otherwise(0.0)

@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from textloom.functions.segmentation import abbreviation_scores
 from textloom.operators.chains import ChainModel, licit, tag, train_chain
+from textloom.operators.tokens import counted
 
 #: coarse tags of the treebank tags
 UNIVERSAL = {
@@ -235,7 +236,7 @@ def unsupervised_sentences(docs: DataFrame, mode: str = "joint", threshold: floa
     (document), or there are none (none). Over `most` abbreviations is an error."""
     known: set[str] = set()
     if mode == "joint":
-        words = docs.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "string"))
+        words = counted(docs, re.compile(r"[^ \t\n\x0b\f\r]+").findall, "string")
         found = abbreviation_scores(words).where(F.col("score") >= threshold).select("word")
         if (n := found.count()) > most:
             raise ValueError(f"{n} abbreviations")
