@@ -126,3 +126,13 @@ def test_conjunction_counts_come_from_bounded_tables(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString(), plan
+
+
+def test_tfidf_cuts_texts_once(spark):
+    """Both sides of the join with document counts read one shuffle of term counts."""
+    from textloom.operators import statistics as st, tokens as tk
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = st.tfidf_top(tk.tokens(docs), 200, 3)
+    assert out.count() > 0 and len(out.collect()) > 0
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
